@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, mixing, orc_tokens, packing, shared, url_templates
+from . import arc_warc, mixing, orc_tokens, packing, shared, simhash, topk_kdtree, toxicity, url_templates
 from .shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -19,6 +19,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return topk_kdtree.top_k(vectors, asked, k=5)
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = mixing.schedule(table(spark, sf_dir, "documents"))
     return rounds.groupBy("row_id", "doc_id", "size", "source_size", "target").agg(F.sum("served").alias("taken")).drop("row_id")
@@ -28,6 +34,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model, threshold=0.3).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -36,6 +48,11 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark, "orc")
     orc_tokens.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
