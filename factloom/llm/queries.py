@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, mixing, orc_tokens, packing, shared, simhash, suffix_dedup, topk_kdtree, toxicity, url_templates
+from . import arc_warc, mixing, nndescent, orc_tokens, packing, shared, simhash, suffix_dedup, topk_kdtree, toxicity, url_templates
 from .shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -30,6 +30,12 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds.groupBy("row_id", "doc_id", "size", "source_size", "target").agg(F.sum("served").alias("taken")).drop("row_id")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return nndescent.nearest(vectors, asked, k=20)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"), length=400)
 
