@@ -1,5 +1,64 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: from documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
+each one's result to the shared folder and reads it again for the next. All
+stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import mixing, packing, shared, simhash, suffix_dedup, toxicity
+from factloom.llm.queries import tokenizer_path
+
+#: Documents whose toxicity reaches this go.
+TOXIC = 0.3
+#: Shortest repeated passage that is cut out, in bytes.
+PASSAGE = 400
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trained on the labels outside the held-out fold, like the query of the operator."""
+    labels = shared.table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels), TOXIC)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur elsewhere too are cut out of the texts."""
+    return suffix_dedup.remove_repeats(docs, PASSAGE)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources get their shares of one and a half times all words; documents that are taken twice come twice."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, with their ids and their places in sequences."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The toxicity machine, connected components and tokenizers are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = shared.staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return docs

@@ -27,7 +27,7 @@ from . import shared
 #: Most sources that targets are computed for; their totals (not their rows) come to the driver.
 MOST_SOURCES = 1_000_000
 #: Rows that one bucket of the shuffled order holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def fill_targets(sizes: list[int], weights: list[float], budget: float, repeats: float) -> list[float]:
@@ -50,16 +50,16 @@ def source_key() -> F.Column:
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
 
 
-def schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_share: float = 1.5, repeats: int = 2, seed: int = 20) -> DataFrame:
+def schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_share: float = 1.5, repeats: int = 2, seed: int = 20, row_id: str | None = None) -> DataFrame:
     """One row per document and round of its source, in no order.
 
     row_id numbers the documents (ties and repeated rows get numbers of their
-    own), served is the number of words of this round that are taken, and
+    own) unless a column of docs that does so is named, served is the number of words of this round that are taken, and
     virtual_finish is the time that orders the mix. Weights go to the sources
     in code-point order, again and again.
     """
     sized = shared.staged(
-        docs.select("doc_id", "source", source_key().alias("_key"), shared.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_shuffle")),
+        docs.select((F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), "doc_id", "source", source_key().alias("_key"), shared.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_shuffle")),
         "mix-sizes",
     )
     totals = [tuple(r) for r in sized.groupBy("_key").agg(F.sum("size"), F.count("*")).limit(MOST_SOURCES + 1).collect()]
@@ -73,8 +73,8 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_sha
     bits = max(0, math.ceil(math.log2(max(1, sum(r[2] for r in totals)) / BUCKET_ROWS)))
     bucket = F.shiftrightunsigned("_shuffle", 64 - bits) if bits else F.lit(0)
     rows = sized.withColumn("_bucket", bucket.cast("long"))
-    rows = shared.running_total(rows, ["_key"], "_bucket", [F.col("_shuffle"), F.col("doc_id")], "size", "_before")
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id()).join(sources, "_key")
+    rows = shared.running_total(rows, ["_key"], "_bucket", [F.col("_shuffle"), F.col("doc_id"), F.col("row_id")], "size", "_before")
+    rows = rows.join(sources, "_key")
     rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     begin = F.col("_before") + F.col("round") * F.col("source_size")
     served = F.least(F.col("size"), F.greatest(F.lit(0), F.floor(F.col("target") - begin)))
@@ -89,19 +89,11 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """documents, each as often as it is taken whole, and cut after its last taken word where the budget ends inside it.
-
-    Keeps docs' columns. A row is found again by its doc_id, source and text,
-    so repeated rows are served alike.
-    """
+    """documents, each as often as it is taken whole, and cut after its last taken word where the budget ends inside it."""
     names = docs.columns
-    rounds = schedule(docs, **settings).groupBy("row_id", "doc_id", "source", "size").agg(F.sum("served").alias("_taken"))
-    rounds = rounds.withColumn("_nth", F.row_number().over(_same_rows()))
-    own = docs.withColumn("size", shared.word_count(F.col("text"))).withColumn("_nth", F.row_number().over(_same_rows()))
-    keys = ["doc_id", "source", "size", "_nth"]
-    left, right = own.alias("l"), rounds.alias("r")
-    joined = left.join(right, shared.same([F.col(f"l.{k}") for k in keys], [F.col(f"r.{k}") for k in keys]))
-    joined = joined.select(*[F.col(f"l.{c}").alias(c) for c in names], F.col("l.size").alias("_size"), F.col("r._taken").alias("_taken")).filter("_taken > 0")
+    rows = shared.staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    taken = schedule(rows, **settings, row_id="_row").groupBy(F.col("row_id").alias("_row"), F.col("size").alias("_size")).agg(F.sum("served").alias("_taken")).filter("_taken > 0")
+    joined = rows.join(taken, "_row")
     copies = F.expr("transform(sequence(0L, cast((_taken - 1) div _size as long)), i -> least(_size, _taken - i * _size))")
     cut = joined.withColumn("_words", F.explode(copies))
     # Split off what follows the last taken word: a split at white space into one piece more than there are words.
@@ -114,9 +106,3 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*names)
-
-
-def _same_rows():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")
