@@ -28,11 +28,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import shared
 
-#: Fingerprints of a full tile.
-TILE = 2_048
+#: Fingerprints of a full tile, and of a strip of it that is compared at once.
+TILE, STRIP = 1_024, 128
 #: Numbers of distinct fingerprints from which tiles are keyed by the counts of more lanes.
 MORE_LANES = ((0, 2), (2_000_000, 4), (200_000_000, 8))
 #: Shingles that are counted at once.
@@ -64,13 +65,16 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _hash_batch(column: pa.Array, words_per_shingle: int) -> pa.Array:
+    return pa.array(np.array([fingerprint(t.as_py(), words_per_shingle) for t in column], dtype=np.uint64).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def hash_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words_per_shingle) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _hash_batch(batch.column("text"), words_per_shingle)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hash_partition, "doc_id long, fp long")
 
@@ -91,15 +95,16 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between fingerprints of two tiles, which may be the same."""
-    left, right = [], []
-    for i in range(0, len(a), 256):
-        near = np.bitwise_count(a[i : i + 256, None] ^ b[None, :]) <= radius
-        x, y = np.nonzero(near)
-        left.append(x + i)
-        right.append(y)
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = place[np.concatenate(left)], place[len(a) + np.concatenate(right)]
-    label = forest(len(nodes), x, y)
+    label = np.arange(len(nodes))
+    # Strip by strip: the links of a large group of near copies are never held all at once.
+    for i in range(0, len(a), STRIP):
+        x, y = np.nonzero(np.bitwise_count(a[i : i + STRIP, None] ^ b[None, :]) <= radius)
+        left, right = label[place[x + i]], label[place[len(a) + y]]
+        new = left != right
+        if new.any():
+            pairs = np.unique(np.minimum(left[new], right[new]) * len(nodes) + np.maximum(left[new], right[new]))
+            label = forest(len(nodes), pairs // len(nodes), pairs % len(nodes))[label]
     child = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[child], nodes[label[child]]
 
@@ -177,16 +182,39 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def grouped(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, root): the component of each distinct fingerprint of fps, named by one of its fingerprints."""
+    nodes = shared.staged(fps.select("fp").distinct(), "simhash-nodes")
+    roots = components(links(nodes, nodes.count(), radius), "simhash-components")
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of docs."""
     fps = shared.staged(fingerprints(docs, words_per_shingle), "simhash-fps")
-    nodes = shared.staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = components(links(nodes, nodes.count(), radius), "simhash-components")
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(first, "root").select("fp", "component_id")
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = shared.staged(grouped(fps, radius).join(first, "fp"), "simhash-rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3) -> DataFrame:
+    """docs, all columns, with one row of each component: that with the smallest id, or any if none has one."""
+    names = docs.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("_fp", _hash_batch(batch.column("text"), words_per_shingle))
+
+    rows = docs.mapInArrow(number, StructType([*docs.schema, StructField("_fp", LongType())]))
+    rows = shared.staged(rows.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    # Smallest first by fingerprint, then by component: a hot fingerprint is combined before it is shuffled.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    by_fp = rows.groupBy(F.col("_fp").alias("fp")).agg(best.alias("best"))
+    kept = grouped(rows.select(F.col("_fp").alias("fp")), radius).join(by_fp, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*names)
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
