@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Training documents of a class.
-MOST_PER_CLASS = 3_000
+MOST_PER_CLASS = 2_000
 #: Extra characters that an occurrence may span, and what each one costs.
 MOST_GAPS, DECAY = 2, 0.6
 #: Landmarks that speak for toxicity at most, and background landmarks.
@@ -294,19 +294,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(*sides, toxic_share=(positive or 0) / rows if rows else 0.0)
 
 
+def _scores(batch: pa.RecordBatch, model: Model) -> np.ndarray:
+    texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+    scores = np.zeros(len(texts))
+    begin = size = 0
+    for i, t in enumerate([*map(len, texts), 1 << 40]):
+        if size and size + t > 1 << 21:
+            scores[begin:i] = model.score(texts[begin:i])
+            begin, size = i, 0
+        size += t + 1
+    return scores
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs' rows with score (0 to 1) and predicted (1 if the score reaches the threshold)."""
+    """doc_id, score (0 to 1) and predicted (1 if the score reaches the threshold) for each row."""
 
     def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            scores = np.zeros(len(texts))
-            begin = size = 0
-            for i, t in enumerate([*map(len, texts), 1 << 40]):
-                if size and size + t > 1 << 21:
-                    scores[begin:i] = model.score(texts[begin:i])
-                    begin, size = i, 0
-                size += t + 1
+            scores = _scores(batch, model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score_partition, "doc_id long, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """docs, all columns, without the rows that score the threshold or more."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, model) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
