@@ -20,6 +20,7 @@ off inside a record raises an error.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -38,7 +39,9 @@ ARC_FIELDS = {
 }
 ARC_FIELD_NAMES = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 #: Bytes after which a new archive begins; a larger record has one of its own.
-ARC_BYTES, WARC_BYTES = 4 << 20, 24 << 20
+ARC_BYTES = 4 << 20
+#: Records of a WARC file, which is read in one piece.
+RECORDS_PER_FILE = 2_000
 RECORD_END = "\r\n\r\n"
 DATE = "20200101000000"
 
@@ -105,7 +108,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             fields = ARC_FIELDS[1]
             length = int(line.rsplit(b" ", 1)[1])
             block = data[at : at + length]
-            version = int(block.split(None, 1)[0])
+            number = block.split(None, 1)[:1]
+            version = int(number[0]) if number and number[0].isdigit() else 0
             if version not in ARC_FIELDS or not line.startswith(b"filedesc:"):
                 raise ValueError(f"not an ARC version block: {line[:80]!r}")
             fields = ARC_FIELDS[version]
@@ -186,7 +190,6 @@ def warc_record(page_id: int | None, digest: str, uri: str, date: str, head: byt
 
 def write_warc(archives: DataFrame, path: str, revisit_bytes: int = 0) -> None:
     """Converts (arc binary) to WARC files in a folder; payloads of at least revisit_bytes are stored once."""
-    spark = archives.sparkSession
     records = convert(archives)
     repeated = (
         records.filter(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 and _first is not null").select("digest", "_first")
@@ -202,8 +205,7 @@ def write_warc(archives: DataFrame, path: str, revisit_bytes: int = 0) -> None:
 
     built = joined.withColumn("_revisit", revisit).select("page_id", "digest", "uri", "date", "head", "payload", "_first", "_revisit").mapInArrow(build, "record binary")
     # Spark's text writer puts the bytes of each record and its closing line ends into a file as they are.
-    per_file = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    built.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", max(200, 20_000 // per_file * 10)).text(path)
+    built.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -226,11 +228,12 @@ READ = "page_id long, record_id string, uri string, date string, record_type str
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of READ from the WARC files of a folder; payload is null for revisits. Digests of payloads are checked."""
+    """Rows of READ from the WARC files of a folder, compressed or not; payload is null for revisits. Digests of payloads are checked."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content").to_pylist():
+                data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
                 rows = []
                 for h, block in parse_warc(data):
                     revisit = h["warc-type"] == "revisit"
