@@ -35,7 +35,7 @@ from . import shared
 from .vectors import matrix, query_blocks, shard_count, usable
 
 #: Vertices of a shard, neighbours of a vertex, iterations, and vertices that a search keeps and expands.
-SHARD, NEIGHBOURS, ITERATIONS, BEAM = 4_096, 20, 3, 160
+SHARD, NEIGHBOURS, ITERATIONS, BEAM = 4_096, 12, 3, 96
 
 
 def unit_sphere(points: np.ndarray) -> np.ndarray:
