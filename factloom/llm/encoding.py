@@ -2,31 +2,49 @@
 
 A tokenizer that splits at white space gives the same ids for a text as for
 its parts, when it is cut before a single space between two characters that
-are not white space. Texts are cut there, and each distinct part is encoded
-once per batch of documents; a text that holds a special token is encoded in
-one piece.
+are not white space. Texts are cut there, each distinct part is encoded once,
+many at a time, and the texts' ids are gathered from the parts'. A text that
+holds a special token is encoded in one piece. For byte-level tokenizers the
+same vocabulary is also given to tiktoken, which is faster and gives the same
+ids; texts with characters that the libraries' versions of Unicode may class
+differently are left to tokenizers.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
+import sys
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A cut is safe before such a space.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r"\s | \s|\A\s|\s\Z")
+#: White space, as Unicode and Python have it, for the pattern of texts with a space beside white space or with any at an end.
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Characters whose classes are the same in all versions of Unicode that libraries know; the rest goes to tokenizers alone.
+SETTLED = r"[^\x00-\x{24f}\x{391}-\x{3c9}\x{410}-\x{44f}\x{2010}-\x{2027}]"
+#: The pattern of byte-level tokenizers.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A full stop or comma between a letter and white space is a word of its own; elsewhere it may be part of a longer one.
+JOINED_STOP = r"[^\pL\x09-\x0d\x20][.,][\x20\n]|\x{130}"
+ODD_SPACE = rf"{SPACE} | {SPACE}|\A{SPACE}|{SPACE}\z"
 
 
 class TextEncoder:
-    """Encodes batches of texts to arrays of uint32 ids; end_id closes every text.
+    """Encodes batches of texts; end_id closes every text.
 
-    spaced: whether a part begins with the space before it (byte-level
-    tokenizers) or the space belongs to no token.
+    spaced: whether ids of a part cover the space before it (byte-level
+    tokenizers), or the last id of every word is one that ends words.
     """
 
     #: Parts kept between batches; beyond it the memory starts anew.
-    MOST_PARTS = 600_000
+    MOST_PARTS = 500_000
+    #: Characters of text that are encoded at once, and of joined new parts in a string.
+    BATCH, BLOCK = 6 << 20, 1_000
 
     def __init__(self, path: str, end_id: int, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,31 +52,207 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end_id, self.space = end_id, " " if spaced else ""
-        self.known: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Unsigned 32-bit ids (of a little-endian machine) of each text with the end id; a null text is empty."""
-        known, end = self.known, array("I", [self.end_id]).tobytes()
-        if len(known) > self.MOST_PARTS:
-            known.clear()
-        split: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            text = text or ""
-            if any(s in text for s in self.special):
-                split.append(None)
+        self.end = np.array([end_id], dtype="<u4")
+        self.spaced = spaced
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of text under each id, or whether it ends a word.
+        self.measure = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.measure[i] = len(token) if spaced else token.endswith("</w>")
+        self.byte_pairs = self._byte_pairs(vocabulary) if spaced else None
+        self._forget()
+
+    def _byte_pairs(self, vocabulary: dict[str, int]):
+        """A faster encoder with the same ids, if ids are in the order of merges; else None."""
+        import json
+
+        import tiktoken
+
+        model = json.loads(self.tokenizer.to_str())
+        merges = [m if isinstance(m, str) else "".join(m) for m in model["model"]["merges"]]
+        order = [vocabulary.get(m.replace(" ", "")) for m in merges]
+        if model["normalizer"] or model["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or None in order or order != sorted(order):
+            return None
+        # The printable stand-ins of bytes: themselves where printable, else the next free characters from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
+        return tiktoken.Encoding("byte pairs", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of_process(cls, path: str, end_id: int, spaced: bool) -> TextEncoder:
+        """One encoder for all tasks that a Python worker runs, kept with the interpreter: functions are pickled by value."""
+        kept = sys.__dict__.setdefault("_factloom_encoders", {})
+        key = (path, end_id, spaced)
+        if key not in kept:
+            kept[key] = cls(path, end_id, spaced)
+        return kept[key]
+
+    def _forget(self) -> None:
+        """Keeps the parts that were asked for most often."""
+        if len(getattr(self, "known", ())) > 1:
+            often = np.argsort(-self.hits, kind="stable")[: self.MOST_PARTS // 3]
+            often = often[often > 0]
+            names = list(self.known)
+            begins, ends = self.ends[often], self.ends[often + 1]
+            self.values = np.concatenate([self.values[a:b] for a, b in zip(begins, ends, strict=True)])
+            self.ends = np.concatenate([[0, 0], np.cumsum(ends - begins)])
+            self.hits = np.concatenate([[0], self.hits[often]])
+            self.known = {"": 0} | {names[i]: k for k, i in enumerate(often.tolist(), 1)}
+            return
+        self.hits = np.zeros(1, dtype=np.int64)
+        self.known: dict[str, int] = {"": 0}
+        self.values = np.zeros(0, dtype=np.uint32)
+        self.ends = np.zeros(2, dtype=np.int64)
+
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _sizes(self, parts: list[str]) -> np.ndarray:
+        """What the ids of each part measure in sum; 0 if that is not certain."""
+        texts = pa.array(parts, pa.large_string())
+        if self.spaced:
+            return pc.binary_length(texts).to_numpy() + 1
+        # Letters are one word; so is a full stop or comma after them. The lower case of one letter is not a letter only.
+        plain = pc.invert(pc.match_substring(texts, "\u0130"))
+        word = pc.and_(plain, pc.utf8_is_alpha(texts))
+        stem = pc.utf8_slice_codeunits(texts, 0, -1)
+        closed = pc.and_(plain, pc.and_(pc.utf8_is_alpha(stem), pc.match_substring_regex(texts, r"[.,]\z")))
+        return np.where(np.asarray(word), 1, np.where(np.asarray(closed), 2, 0)).astype(np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes new parts that neither begin nor end with white space."""
+        sizes = self._sizes(parts)
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        order = np.argsort(sizes == 0, kind="stable")
+        sure = int((sizes > 0).sum())
+        found: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
+        blocks = np.cumsum(lengths[order[:sure]] + 1) // self.BLOCK
+        edges = np.flatnonzero(np.diff(blocks, prepend=-1)).tolist() + [sure]
+        lead = " " if self.spaced else ""
+        texts = [lead + " ".join(parts[i] for i in order[a:b].tolist()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        unsure = order[sure:].tolist()
+        base = 0
+        for ids, a, b in zip(self._direct(texts), edges[:-1], edges[1:], strict=True):
+            measured = np.cumsum(self.measure[ids])
+            wanted = np.cumsum(sizes[order[a:b]])
+            cut = np.searchsorted(measured, wanted)
+            if len(ids) and (cut[-1] != len(ids) - 1 or (measured[cut] != wanted).any()):
+                one_by_one = self._direct([lead + parts[i] for i in order[a:b].tolist()])
+                ids, cut = np.concatenate(one_by_one), np.cumsum([len(x) for x in one_by_one]) - 1
+            found.append(ids)
+            ends.append(base + cut + 1)
+            base += len(ids)
+        single = self._direct([lead + parts[i] for i in unsure])
+        found += single
+        ends.append(base + np.cumsum([len(x) for x in single], dtype=np.int64))
+        first = len(self.ends) - 1
+        self.known.update(zip((parts[i] for i in order.tolist()), range(first, first + len(parts)), strict=True))
+        self.ends = np.concatenate([self.ends, len(self.values) + np.concatenate(ends)])
+        self.values = np.concatenate([self.values, *found]).astype(np.uint32)
+        self.hits = np.concatenate([self.hits, np.zeros(len(parts), dtype=np.int64)])
+
+    def _lookup(self, parts: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, parts))
+        if None in found:
+            new = [p for p, i in zip(parts, found, strict=True) if i is None]
+            if len(self.known) + len(new) > self.MOST_PARTS:
+                self._forget()
+                new = [p for p in parts if p not in self.known]
+            self._learn(new)
+            found = map(self.known.__getitem__, parts)
+        places = np.fromiter(found, dtype=np.int64, count=len(parts))
+        self.hits[places] += 1
+        return places
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text with the end id; a null text is empty."""
+        out: list[np.ndarray] = []
+        begin = size = 0
+        for i, text in enumerate([*texts, None]):
+            if i == len(texts) or size and size + len(text or "") > self.BATCH:
+                out += self._encode([t or "" for t in texts[begin:i]])
+                begin, size = i, 0
+            size += len(text or "") + 1
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        whole = {i for i, t in enumerate(texts) if not t or any(s in t for s in self.special)}
+        if not self.spaced:
+            # White space of any length separates words and is dropped, and so is case.
+            plain = pc.ascii_lower(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.large_string()))
+            cut = plain
+            for stop in ", ", ". ", ",\n", ".\n":
+                cut = pc.replace_substring(cut, stop, f" {stop}")
+            lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(plain, JOINED_STOP), plain, cut))
+            return self._gather(texts, lists, whole, {})
+        if self.byte_pairs is not None:
+            unsettled = pc.match_substring_regex(pa.array(texts, pa.large_string()), SETTLED).to_pylist()
+            settled = [i for i in range(len(texts)) if not unsettled[i] and i not in whole]
+            if settled:
+                found = dict(zip(settled, map(self._pairs, (texts[i] for i in settled)), strict=True))
+                left = [i for i in range(len(texts)) if i not in found]
+                found.update(zip(left, self._by_parts([texts[i] for i in left]), strict=True))
+                return [found[i] for i in range(len(texts))]
+        return self._by_parts(texts)
+
+    def _pairs(self, text: str) -> np.ndarray:
+        return np.append(np.array(self.byte_pairs.encode_ordinary(text), dtype="<u4"), self.end)
+
+    def _by_parts(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        whole = {i for i, t in enumerate(texts) if not t or any(s in t for s in self.special)}
+        is_odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), ODD_SPACE).to_pylist()
+        heads, tails, middles = [""] * len(texts), [""] * len(texts), list(texts)
+        for i, text in enumerate(texts):
+            if i in whole:
+                middles[i] = ""
+                continue
+            odd = is_odd[i]
+            # Parts at the ends of a text, with white space around or no space before, are encoded by themselves.
+            if not odd:
+                heads[i], _, middles[i] = text.partition(" ")
+                continue
+            cuts = [m.start() for m in SAFE_CUT.finditer(text)]
+            if len(cuts) < 2:
+                whole.add(i)
+                middles[i] = ""
+                continue
+            heads[i], tails[i] = text[: cuts[0]], text[cuts[-1] :]
+            middles[i] = text[cuts[0] + 1 : cuts[-1]]
+        odd_middle = [i for i, m in enumerate(middles) if m and is_odd[i]]
+        lists = pc.split_pattern(pa.array(middles, pa.large_string()), " ")
+        if odd_middle:
+            split = {i: SAFE_CUT.split(middles[i]) for i in odd_middle}
+            lists = pa.array([split.get(i) or (m.split(" ")) for i, m in enumerate(middles)], pa.list_(pa.large_string()))
+        ends_ = [i for i in range(len(texts)) if heads[i] or tails[i]]
+        edges = self._direct(list(chain.from_iterable((heads[i], tails[i]) for i in ends_)))
+        return self._gather(texts, lists, whole, {i: (edges[2 * k], edges[2 * k + 1]) for k, i in enumerate(ends_)})
+
+    def _gather(self, texts: list[str], lists: pa.ListArray, whole: set[int], around: dict) -> list[np.ndarray]:
+        """Ids of texts from those of their parts, of what stands around these, and of texts to encode whole."""
+        counts = np.diff(lists.offsets.to_numpy())
+        encoded = lists.values.dictionary_encode()
+        # Gather: where each part's ids are, then all of them at once.
+        codes = self._lookup(encoded.dictionary.to_pylist())[encoded.indices.to_numpy()]
+        begins = self.ends[codes]
+        lengths = self.ends[codes + 1] - begins
+        total = int(lengths.sum())
+        steps = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total)
+        flat = self.values[steps] if total else np.zeros(0, dtype=np.uint32)
+        marks = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        pieces = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True)) if whole else {}
+        out = []
+        for i in range(len(texts)):
+            if i in pieces:
+                out.append(np.concatenate([pieces[i], self.end]))
                 continue
-            parts = SAFE_CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-            if self.space:
-                parts = [parts[0], *map(" ".__add__, parts[1:])]
-            split.append(parts)
-            new.update(dict.fromkeys(p for p in parts if p not in known))
-        fresh = list(new)
-        for i in range(0, len(fresh), 20_000):
-            known.update(zip(fresh[i : i + 20_000], self._direct(fresh[i : i + 20_000]), strict=True))
-        get = known.__getitem__
-        return [(b"".join(map(get, parts)) if parts is not None else self._direct([texts[i]])[0]) + end for i, parts in enumerate(split)]
+            middle = flat[marks[i] : marks[i + 1]]
+            before, after = around.get(i, (self.end[:0], self.end[:0]))
+            out.append(np.concatenate([before, middle, after, self.end]).astype("<u4", copy=False))
+        return out

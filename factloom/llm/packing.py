@@ -47,9 +47,9 @@ class Packer:
         self.demand = np.zeros((0, 3))
         self.rows: list[tuple] = []
 
-    def add(self, doc_id, ids: bytes, prompt: int = 0) -> None:
+    def add(self, doc_id, ids: np.ndarray, prompt: int = 0) -> None:
         """prompt: tokens at a document's beginning that bear no loss."""
-        n, step = len(ids) // 4, min(self.tokens, self.loss)
+        ids, n, step = ids.tobytes(), len(ids), min(self.tokens, self.loss)
         for start in range(0, n, step):
             piece = ids[4 * start : 4 * min(n, start + step)]
             length = len(piece) // 4
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tokens: int = 2048, s
     def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = TextEncoder(tokenizer, end_id, spaced=True)
+        encoder = TextEncoder.of_process(tokenizer, end_id, spaced=True)
         packer = Packer(tokens, segments, limit, TaskContext.get().partitionId() * TASK_STRIDE)
         for batch in batches:
             texts = batch.column("text").to_pylist()
