@@ -42,9 +42,9 @@ def two(column: F.Column | str) -> F.Column:
 # Filters, lookups and searches
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_tax = 0)")
 def unused_symbols(t):
-    return joins.unused(t.part.select("p_partkey", "p_name"), t.lineitem.filter("l_returnflag = 'R'"), [("p_partkey", "l_partkey")])
+    return joins.unused(t.part.select("p_partkey", "p_name"), t.lineitem.filter("l_returnflag = 'R' and l_tax = 0"), [("p_partkey", "l_partkey")])
 
 
 @query("SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = (SELECT min(p_brand) FROM part)")
