@@ -20,7 +20,7 @@ def reference(name, texts):
 def test_encoder(monkeypatch, name, spaced):
     import random
 
-    monkeypatch.setattr(TextEncoder, "MOST_PARTS", 300)
+    monkeypatch.setattr(TextEncoder, "BATCH", 2_000)
     rnd = random.Random(3)
     alphabet = [" ", " ", "a", "b", "'s", "é", "́", "\n", "\t", "\x1c", "\x85", "　", "1", "!", "İ", "Σ", "<|endoftext|>", "漢", "​", "\xa0", "\r\n", "😀", ",", "."]
     texts = TEXTS + [" ".join("".join(rnd.choices(alphabet, k=rnd.randint(0, 5))) for _ in range(rnd.randint(0, 9))) for _ in range(3000)]
