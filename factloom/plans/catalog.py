@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..extract import facts
 from ..functions import nested, text
 from ..operators import aggregates, joins, lookups, ranking, spans, windows
+from ..streaming import documents as document_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -509,3 +511,31 @@ def terminal_colors(t):
 def hex_colors(t):
     c = text.color_channels(F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("c_custkey") % 16777216)), 6, "0")))
     return t.customer.select("c_custkey", F.round(c["red"], 6).alias("red"), F.round(c["blue"], 6).alias("blue"))
+
+
+# State and extraction
+
+
+@query("SELECT conv_id::VARCHAR AS uri, max(turn) AS version, count(DISTINCT turn)::INT AS applied, (count(*) - count(DISTINCT turn))::INT AS stale FROM conversations GROUP BY conv_id")
+def doc_state(t):
+    events = t.conversations.select(
+        F.col("conv_id").cast("string").alias("uri"), F.col("turn").alias("version"), F.lit("change").alias("action"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "text"
+    )
+    return document_state.latest_documents(events).select("uri", "version", "applied", "stale")
+
+
+FIXTURE = [
+    ("lib/Shop.pm", "package Shop;\nuse strict;\nuse parent 'Base';\nsub price { my ($self, $n) = @_; return round($n * 2) }\nsub idle { 1 }\n"),
+    ("bin/run.pl", "use Shop;\nmy $total = 0;\nfor my $x (1 .. 3) { $total += Shop->price($x) }\nprint $total;\n"),
+]
+
+
+@query()
+def extract_facts(t):
+    return facts.extract_facts(t.spark.createDataFrame(FIXTURE, "uri string, text string"))
+
+
+@query()
+def unused_subs_of_fixture(t):
+    rows = facts.extract_facts(t.spark.createDataFrame(FIXTURE, "uri string, text string"))
+    return joins.dead_code(facts.symbols(rows), facts.refs(rows)).select("uri", "name", "kind", "code")
