@@ -1,11 +1 @@
-"""Operators for training-data pipelines.
-
-Nothing else in the library imports this subpackage. Functions that run in
-Python workers are pickled by value, so executors need no copy of it.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
