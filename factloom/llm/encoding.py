@@ -41,10 +41,8 @@ class TextEncoder:
     tokenizers), or the last id of every word is one that ends words.
     """
 
-    #: Parts kept between batches; beyond it the memory starts anew.
-    MOST_PARTS = 500_000
     #: Characters of text that are encoded at once, and of joined new parts in a string.
-    BATCH, BLOCK = 6 << 20, 1_000
+    BATCH, BLOCK = 12 << 20, 1_000
 
     def __init__(self, path: str, end_id: int, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,7 +58,6 @@ class TextEncoder:
         for token, i in vocabulary.items():
             self.measure[i] = len(token) if spaced else token.endswith("</w>")
         self.byte_pairs = self._byte_pairs(vocabulary) if spaced else None
-        self._forget()
 
     def _byte_pairs(self, vocabulary: dict[str, int]):
         """A faster encoder with the same ids, if ids are in the order of merges; else None."""
@@ -89,23 +86,6 @@ class TextEncoder:
             kept[key] = cls(path, end_id, spaced)
         return kept[key]
 
-    def _forget(self) -> None:
-        """Keeps the parts that were asked for most often."""
-        if len(getattr(self, "known", ())) > 1:
-            often = np.argsort(-self.hits, kind="stable")[: self.MOST_PARTS // 3]
-            often = often[often > 0]
-            names = list(self.known)
-            begins, ends = self.ends[often], self.ends[often + 1]
-            self.values = np.concatenate([self.values[a:b] for a, b in zip(begins, ends, strict=True)])
-            self.ends = np.concatenate([[0, 0], np.cumsum(ends - begins)])
-            self.hits = np.concatenate([[0], self.hits[often]])
-            self.known = {"": 0} | {names[i]: k for k, i in enumerate(often.tolist(), 1)}
-            return
-        self.hits = np.zeros(1, dtype=np.int64)
-        self.known: dict[str, int] = {"": 0}
-        self.values = np.zeros(0, dtype=np.uint32)
-        self.ends = np.zeros(2, dtype=np.int64)
-
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -121,51 +101,37 @@ class TextEncoder:
         closed = pc.and_(plain, pc.and_(pc.utf8_is_alpha(stem), pc.match_substring_regex(texts, r"[.,]\z")))
         return np.where(np.asarray(word), 1, np.where(np.asarray(closed), 2, 0)).astype(np.int64)
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes new parts that neither begin nor end with white space."""
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct parts that neither begin nor end with white space, and where each part's begin and end."""
         sizes = self._sizes(parts)
         lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        order = np.argsort(sizes == 0, kind="stable")
-        sure = int((sizes > 0).sum())
-        found: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
+        sizes[lengths == 0] = -1
+        order = np.argsort(np.where(sizes > 0, 0, np.where(sizes == 0, 1, 2)), kind="stable")
+        sure, some = int((sizes > 0).sum()), int((sizes >= 0).sum())
+        sizes, lead = sizes[order], " " if self.spaced else ""
         blocks = np.cumsum(lengths[order[:sure]] + 1) // self.BLOCK
         edges = np.flatnonzero(np.diff(blocks, prepend=-1)).tolist() + [sure]
-        lead = " " if self.spaced else ""
-        texts = [lead + " ".join(parts[i] for i in order[a:b].tolist()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        unsure = order[sure:].tolist()
+        sorted_parts = [parts[i] for i in order.tolist()]
+        texts = [lead + " ".join(sorted_parts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        found: list[np.ndarray] = []
+        stops: list[np.ndarray] = []
         base = 0
         for ids, a, b in zip(self._direct(texts), edges[:-1], edges[1:], strict=True):
-            measured = np.cumsum(self.measure[ids])
-            wanted = np.cumsum(sizes[order[a:b]])
+            measured, wanted = np.cumsum(self.measure[ids]), np.cumsum(sizes[a:b])
             cut = np.searchsorted(measured, wanted)
-            if len(ids) and (cut[-1] != len(ids) - 1 or (measured[cut] != wanted).any()):
-                one_by_one = self._direct([lead + parts[i] for i in order[a:b].tolist()])
+            if not len(ids) or cut[-1] != len(ids) - 1 or (measured[cut] != wanted).any():
+                one_by_one = self._direct([lead + p for p in sorted_parts[a:b]])
                 ids, cut = np.concatenate(one_by_one), np.cumsum([len(x) for x in one_by_one]) - 1
             found.append(ids)
-            ends.append(base + cut + 1)
+            stops.append(base + cut + 1)
             base += len(ids)
-        single = self._direct([lead + parts[i] for i in unsure])
-        found += single
-        ends.append(base + np.cumsum([len(x) for x in single], dtype=np.int64))
-        first = len(self.ends) - 1
-        self.known.update(zip((parts[i] for i in order.tolist()), range(first, first + len(parts)), strict=True))
-        self.ends = np.concatenate([self.ends, len(self.values) + np.concatenate(ends)])
-        self.values = np.concatenate([self.values, *found]).astype(np.uint32)
-        self.hits = np.concatenate([self.hits, np.zeros(len(parts), dtype=np.int64)])
-
-    def _lookup(self, parts: list[str]) -> np.ndarray:
-        found = list(map(self.known.get, parts))
-        if None in found:
-            new = [p for p, i in zip(parts, found, strict=True) if i is None]
-            if len(self.known) + len(new) > self.MOST_PARTS:
-                self._forget()
-                new = [p for p in parts if p not in self.known]
-            self._learn(new)
-            found = map(self.known.__getitem__, parts)
-        places = np.fromiter(found, dtype=np.int64, count=len(parts))
-        self.hits[places] += 1
-        return places
+        single = self._direct([lead + p for p in sorted_parts[sure:some]])
+        stops += [base + np.cumsum([len(x) for x in single], dtype=np.int64)]
+        stop = np.concatenate(stops)
+        stop = np.concatenate([stop, np.full(len(parts) - some, stop[-1] if len(stop) else 0, dtype=np.int64)])
+        begins, ends = np.empty(len(parts), dtype=np.int64), np.empty(len(parts), dtype=np.int64)
+        begins[order], ends[order] = np.concatenate([[0], stop[:-1]]) if len(parts) else stop, stop
+        return np.concatenate([*found, *single, self.end[:0]]), begins, ends
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text with the end id; a null text is empty."""
@@ -238,13 +204,17 @@ class TextEncoder:
         """Ids of texts from those of their parts, of what stands around these, and of texts to encode whole."""
         counts = np.diff(lists.offsets.to_numpy())
         encoded = lists.values.dictionary_encode()
-        # Gather: where each part's ids are, then all of them at once.
-        codes = self._lookup(encoded.dictionary.to_pylist())[encoded.indices.to_numpy()]
-        begins = self.ends[codes]
-        lengths = self.ends[codes + 1] - begins
-        total = int(lengths.sum())
-        steps = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total)
-        flat = self.values[steps] if total else np.zeros(0, dtype=np.uint32)
+        values, part_begins, part_ends = self._encode_parts(encoded.dictionary.to_pylist())
+        # Gather: where each part's ids are, then all of them, a stretch of parts at a time.
+        codes = encoded.indices.to_numpy()
+        begins, lengths = part_begins[codes], (part_ends - part_begins)[codes]
+        pieces_ = []
+        for i in range(0, len(codes), 1 << 18):
+            n = lengths[i : i + (1 << 18)]
+            steps = np.repeat(begins[i : i + (1 << 18)] - (np.cumsum(n) - n), n)
+            steps += np.arange(len(steps))
+            pieces_.append(values[steps])
+        flat = np.concatenate([*pieces_, self.end[:0]])
         marks = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         pieces = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True)) if whole else {}
         out = []

@@ -27,30 +27,45 @@ from .encoding import TextEncoder
 
 #: UTF-8 bytes of text that one file holds on average.
 TEXT_BYTES_PER_FILE = 24 << 20
+#: Documents that a task encodes at once (distinct words in them are encoded once), and that it sends or is sent at once.
+ROWS_ENCODED, ROWS_SENT = 5_000, 1_000
 #: Most files; ids' quantiles are this fine.
 MOST_FILES = 10_000
-ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(16 << 20), "compression": "none"}
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(range, doc_id, ids): the range tells the file that a document belongs to."""
     spark = docs.sparkSession
+    shared.bound_batches(spark, ROWS_SENT)
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     files = min(MOST_FILES, max(1, math.ceil((size or 0) / TEXT_BYTES_PER_FILE)))
     marks = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 and rows else None
     edges = np.array(sorted(set(marks or [])), dtype=np.int64)
 
     def encode_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer, end_id, spaced=False)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                ids = encoder.encode(part.column("text").to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
-                keys = part.column("doc_id")
-                ranges = np.where(np.asarray(keys.is_null()), 0, np.searchsorted(edges, keys.fill_null(0).to_numpy(), side="right"))
-                yield pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), keys, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], ["range", "doc_id", "ids"])
+        encoder = TextEncoder.of_process(tokenizer, end_id, spaced=False)
+        for batch in _gathered(batches, ROWS_ENCODED):
+            ids = encoder.encode(batch.column("text").to_pylist())
+            keys = batch.column("doc_id")
+            ranges = np.where(np.asarray(keys.is_null()), 0, np.searchsorted(edges, keys.fill_null(0).to_numpy(), side="right")).astype(np.int32)
+            for i in range(0, len(ids), ROWS_SENT):
+                part = ids[i : i + ROWS_SENT]
+                ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[i : i + ROWS_SENT]), keys.slice(i, ROWS_SENT), lists], ["range", "doc_id", "ids"])
 
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode_partition, "range int, doc_id long, ids array<int>")
     return encoded.repartition(max(len(edges) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "range")
@@ -78,6 +93,7 @@ def layout(spark: SparkSession, path: str) -> DataFrame:
             crcs = [zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("range"), batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["range", "doc_id", "n_tokens", "ids_crc32"])
 
+    shared.bound_batches(spark, ROWS_SENT)
     rows = shared.staged(read(spark, path).mapInArrow(measure, "range int, doc_id long, n_tokens long, ids_crc32 long"), "orc-layout")
     totals = rows.groupBy("range").agg(F.sum("n_tokens").alias("_total"))
     # A row per file: MOST_FILES at most.

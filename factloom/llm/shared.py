@@ -55,6 +55,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(nullable).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Sends Python at most so many rows at once from now on, for operators whose rows hold whole texts or lists.
+
+    The setting is read when a plan runs, so it is the session's, and is only ever lowered.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -78,6 +89,16 @@ def _clean() -> None:
             return
 
 
+def packed(df: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all of df's columns in one struct, row, where their names clash with none."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *used)
+
+
+def unpacked(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
+    """The columns of the struct row, some of them replaced."""
+    return df.select(*[replaced.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
