@@ -91,18 +91,18 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """documents, each as often as it is taken whole, and cut after its last taken word where the budget ends inside it."""
     names = docs.columns
-    rows = shared.staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    taken = schedule(rows, **settings, row_id="_row").groupBy(F.col("row_id").alias("_row"), F.col("size").alias("_size")).agg(F.sum("served").alias("_taken")).filter("_taken > 0")
-    joined = rows.join(taken, "_row")
+    rows = shared.staged(shared.packed(docs).withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    sized = rows.select("_row", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "text", "source")])
+    taken = schedule(sized, **settings, row_id="_row").groupBy(F.col("row_id").alias("_row"), F.col("size").alias("_size")).agg(F.sum("served").alias("_taken")).filter("_taken > 0")
     copies = F.expr("transform(sequence(0L, cast((_taken - 1) div _size as long)), i -> least(_size, _taken - i * _size))")
-    cut = joined.withColumn("_words", F.explode(copies))
+    cut = rows.join(taken, "_row").withColumn("_words", F.explode(copies))
     # Split off what follows the last taken word: a split at white space into one piece more than there are words.
     space = F.lit(r"[\x20\x09-\x0D]+")
-    pieces = F.col("_words") + 1 + F.col("text").rlike(r"\A[\x20\x09-\x0D]").cast("int")
-    rest = F.element_at(F.call_function("split", F.col("text"), space, pieces.cast("int")), -1)
-    kept = F.call_function("left", F.col("text"), F.length("text") - F.length(rest))
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(kept)
-    out = cut.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*names)
+    text = F.col("row.text")
+    pieces = F.col("_words") + 1 + text.rlike(r"\A[\x20\x09-\x0D]").cast("int")
+    rest = F.element_at(F.call_function("split", text, space, pieces.cast("int")), -1)
+    kept = F.call_function("left", text, F.length(text) - F.length(rest))
+    whole = F.col("_words") == F.col("_size")
+    cut = cut.withColumn("_kept", F.when(whole, text).otherwise(kept))
+    chars = {"n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.length("_kept").cast("long"))} if "n_chars" in names else {}
+    return shared.unpacked(cut, names, text=F.col("_kept"), **chars)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .encoding import TextEncoder
 
 SCHEMA = "doc_id long, start long, length long, loss long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -125,6 +126,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tokens: int = 2048, s
     limit = tokens if loss is None else loss
     columns = ["doc_id", "text"] + ([prompt] if prompt else [])
 
+    shared.bound_batches(docs.sparkSession)
+
     def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -72,6 +72,8 @@ def _hash_batch(column: pa.Array, words_per_shingle: int) -> pa.Array:
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
+    shared.bound_batches(docs.sparkSession)
+
     def hash_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _hash_batch(batch.column("text"), words_per_shingle)], ["doc_id", "fp"])
@@ -201,19 +203,21 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3
 
 def keep_one(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3) -> DataFrame:
     """docs, all columns, with one row of each component: that with the smallest id, or any if none has one."""
-    names = docs.columns
+    names, rows = docs.columns, shared.packed(docs)
+
+    shared.bound_batches(docs.sparkSession)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("_fp", _hash_batch(batch.column("text"), words_per_shingle))
+            yield batch.append_column("_fp", _hash_batch(batch.column("row").field("text"), words_per_shingle))
 
-    rows = docs.mapInArrow(number, StructType([*docs.schema, StructField("_fp", LongType())]))
+    rows = rows.mapInArrow(number, StructType([*rows.schema, StructField("_fp", LongType())]))
     rows = shared.staged(rows.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
     # Smallest first by fingerprint, then by component: a hot fingerprint is combined before it is shuffled.
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    best = F.min(F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("doc_id"), "_row"))
     by_fp = rows.groupBy(F.col("_fp").alias("fp")).agg(best.alias("best"))
     kept = grouped(rows.select(F.col("_fp").alias("fp")), radius).join(by_fp, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*names)
+    return shared.unpacked(rows.join(kept, "_row", "left_semi"), names)
 
 
 def hexadecimal(fp: Column) -> Column:

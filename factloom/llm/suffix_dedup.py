@@ -41,7 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -231,15 +231,16 @@ def _parts(length: int, block: int) -> Callable:
     return cut
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with two hashes of the text, which stand for it; a null text is empty."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_text": text, "_t1": F.xxhash64(F.lit(1), text), "_t2": F.xxhash64(F.lit(2), text)})
+def keyed(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with two hashes of a text, which stand for it; a null text is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return docs.withColumns({"_t1": F.xxhash64(F.lit(1), text), "_t2": F.xxhash64(F.lit(2), text)})
 
 
 def repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     """(t1, t2, ranges) of windows that repeat, and (t1, t2) of texts that several rows have."""
-    texts = keyed(docs).select("doc_id", F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("_text").alias("text")).filter(F.octet_length("text") >= length)
+    shared.bound_batches(docs.sparkSession)
+    texts = keyed(docs, F.col("text")).filter(F.octet_length("text") >= length).select("doc_id", F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "text")
     copies = texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     found = shared.staged(texts.select("t1", "t2", "text").mapInArrow(_scan(length), ITEMS), "suffix-items")
     # Step 1: buckets with several items, and whether they have several ranks.
@@ -273,11 +274,11 @@ def repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     return marks, copies.filter("n > 1").select("t1", "t2")
 
 
-def judged(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs with _text (never null), _copied and _ranges of repeated windows (null if there are none)."""
-    marks, copied = repeats(docs, length)
+def judged(docs: DataFrame, doc_id: str, text: str, length: int = 400) -> DataFrame:
+    """docs with _copied and _ranges of repeated windows (null if there are none) of the text in a column or field."""
+    marks, copied = repeats(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), length)
     verdicts = marks.join(copied.withColumn("_copied", F.lit(True)), ["t1", "t2"], "full_outer").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_copied", F.col("ranges").alias("_ranges"))
-    return keyed(docs).join(shared.staged(verdicts, "suffix-verdicts"), ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    return keyed(docs, F.col(text)).join(shared.staged(verdicts, "suffix-verdicts"), ["_t1", "_t2"], "left").drop("_t1", "_t2")
 
 
 def removed_spans(n: int, copied: bool | None, ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -313,7 +314,8 @@ def digest(docs: DataFrame, length: int = 400) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [x.split()[0] for x in schema.split(", ")])
 
-    return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length).select("doc_id", "_text", "_copied", "_ranges").mapInArrow(measure, schema)
+    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text", length)
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), "_copied", "_ranges").mapInArrow(measure, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -331,11 +333,10 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     names = docs.columns
-    rows = judged(docs, length)
+    rows = judged(shared.packed(docs), "row.doc_id", "row.text", length)
     # Only texts that lose something go through Python.
     touched = F.coalesce(F.col("_copied"), F.lit(False)) | F.col("_ranges").isNotNull()
-    changed = rows.filter(touched).withColumn("text", cut("_text", "_copied", "_ranges"))
-    out = rows.filter(~touched).unionByName(changed)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*names)
+    same = rows.filter(~touched).withColumn("_kept", F.col("row.text"))
+    changed = rows.filter(touched).withColumn("_kept", cut(F.coalesce("row.text", F.lit("")), F.col("_copied"), F.col("_ranges")))
+    chars = {"n_chars": F.when(F.col("_copied").isNull() & F.col("_ranges").isNull(), F.col("row.n_chars")).otherwise(F.length("_kept").cast("long"))} if "n_chars" in names else {}
+    return shared.unpacked(same.unionByName(changed), names, text=F.col("_kept"), **chars)

@@ -38,16 +38,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Training documents of a class.
-MOST_PER_CLASS = 2_000
+MOST_PER_CLASS = 1_500
 #: Extra characters that an occurrence may span, and what each one costs.
 MOST_GAPS, DECAY = 2, 0.6
 #: Landmarks that speak for toxicity at most, and background landmarks.
 SPEAKING, BACKGROUND = 64, 64
 #: Least z-score of a word that starts as a toxic one.
 LEAST_Z = 3.0
+#: Share of the greatest z-score from which a word is toxic in all rounds, if it is twice the least score too.
+CLEAR = 0.5
+CLEAR_WEIGHT = 4.0
 #: Words of other documents to train on.
-OTHER_WORDS = 20_000
+OTHER_WORDS = 10_000
 ROUNDS = 3
 #: Weight of toxic words with an inserted letter, against that of the words themselves.
 STRETCHED = 0.5
@@ -215,9 +220,13 @@ def train(toxic: list[bytes], other: list[bytes], toxic_share: float) -> Model:
     constant = lambda p: Model(empty, 0.0, 0.0, float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
     if not toxic or not other:
         return constant(toxic_share)
-    bags = [set(w) for w in words_of(toxic)], [set(w) for w in words_of(other)]
-    counts = [Counter(w for bag in side for w in sorted(bag)) for side in bags]
-    sizes = [len(side) for side in bags]
+    sizes = [len(toxic), len(other)]
+    # In how many texts each word is.
+    counts = [Counter(), Counter()]
+    for side, count in zip((toxic, other), counts, strict=True):
+        for i in range(0, len(side), 100):
+            for words in words_of(side[i : i + 100]):
+                count.update(sorted(set(words)))
 
     def z(word: bytes) -> float:
         a, b = counts[0][word], counts[1][word]
@@ -226,6 +235,7 @@ def train(toxic: list[bytes], other: list[bytes], toxic_share: float) -> Model:
 
     scored = sorted(((z(w), w) for w, n in counts[0].items() if n >= 3), reverse=True)
     speaking = [w for s, w in scored[: 4 * SPEAKING] if s >= LEAST_Z]
+    clear = [w for s, w in scored[:SPEAKING] if s >= max(2 * LEAST_Z, CLEAR * scored[0][0])]
     rng = np.random.default_rng(7)
     vocabulary = sorted(counts[1])
     others = [vocabulary[i] for i in rng.permutation(len(vocabulary))[:OTHER_WORDS]] or [b"\1"]
@@ -238,27 +248,29 @@ def train(toxic: list[bytes], other: list[bytes], toxic_share: float) -> Model:
     base = features(landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(base @ base.T)
     keep = values > 1e-6 * values.max()
+    base32 = base.T.astype(np.float32)
     whiten = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
 
     def project(words: list[bytes]) -> np.ndarray:
-        return np.concatenate([features(words[i : i + 500]) @ base.T @ whiten for i in range(0, len(words), 500)])
+        return np.concatenate([features(words[i : i + 64]) @ base32 @ whiten for i in range(0, len(words), 64)])
 
     def stretched(word: bytes) -> list[bytes]:
         """The word with one letter inserted at each inner place."""
         return [word[:i] + bytes([1 + (7 * i + 23 * word[i]) % 26]) + word[i:] for i in range(1, len(word))] if len(word) > 3 else []
 
     other_x = project(others)
-    witnesses = speaking
+    witnesses = sorted(speaking)
     for _ in range(ROUNDS):
         variants = sorted({v for word in witnesses for v in stretched(word)})
         x = np.concatenate([project(witnesses + variants), other_x])
         y = np.concatenate([np.ones(len(witnesses) + len(variants)), -np.ones(len(others))])
-        weight = np.concatenate([np.full(len(witnesses), len(others) / len(witnesses)), np.full(len(variants), STRETCHED * len(others) / max(1, len(variants))), np.ones(len(others))])
+        share = np.array([CLEAR_WEIGHT if word in clear else 1.0 for word in witnesses])
+        weight = np.concatenate([share * len(others) / share.sum(), np.full(len(variants), STRETCHED * len(others) / max(1, len(variants))), np.ones(len(others))])
         w = svm(x, y, weight)
         table = (base.T @ whiten @ w[:-1]).astype(np.float32)
         found: Counter = Counter()
-        for i in range(0, len(toxic), 500):
-            codes, begins = normalise(toxic[i : i + 500])
+        for i in range(0, len(toxic), 100):
+            codes, begins = normalise(toxic[i : i + 100])
             places, margins = word_margins(codes, table)
             owner = np.searchsorted(begins, places, side="right") - 1
             data = codes.tobytes()
@@ -267,11 +279,12 @@ def train(toxic: list[bytes], other: list[bytes], toxic_share: float) -> Model:
                 if m > 0 and m > best.get(o, (0, 0))[0]:
                     best[o] = (m, p)
             found.update(data[p + 1 : data.find(b"\0", p + 1)] for _, p in best.values())
-        new = sorted(word for word, n in found.items() if n >= 2 and z(word) > 1)
-        if not new or new == witnesses:
+        # A word that speaks clearly stays, though others of its documents may speak louder.
+        new = sorted({word for word, n in found.items() if n >= 2 and z(word) > 1} | set(clear))
+        if new == witnesses:
             break
         witnesses = new
-    margins = np.concatenate([document_margins(side[i : i + 500], table) for side in (toxic, other) for i in range(0, len(side), 500)]) + w[-1]
+    margins = np.concatenate([document_margins(side[i : i + 100], table) for side in (toxic, other) for i in range(0, len(side), 100)]) + w[-1]
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(other))])
     share = np.concatenate([np.full(len(toxic), toxic_share / len(toxic)), np.full(len(other), (1 - toxic_share) / len(other))]) * len(y)
     slope, shift = calibrate(margins, y, share)
@@ -309,6 +322,8 @@ def _scores(batch: pa.RecordBatch, model: Model) -> np.ndarray:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if the score reaches the threshold) for each row."""
 
+    shared.bound_batches(docs.sparkSession)
+
     def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = _scores(batch, model)
@@ -320,6 +335,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs, all columns, without the rows that score the threshold or more."""
 
+    shared.bound_batches(docs.sparkSession)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch, model) < threshold))

@@ -79,3 +79,11 @@ def test_odd_rows(spark):
     rows = sorted(((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(docs).collect()))
     assert rows == [(0, 0), (0, 5), (5, 5), (7, 7), (7, 7), (9, 7)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one(spark):
+    docs = spark.createDataFrame([(7, "a b c", 1), (5, "A b c", 2), (None, "a b c", 3), (8, "q r s", 4), (8, "q r s", 4), (None, "x y z w", 5)], "doc_id long, text string, _row long").withColumnRenamed("doc_id", "doc_id")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["_row"]) for r in kept.collect()) == [(0, 5), (5, 2), (8, 4)]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
