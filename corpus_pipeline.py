@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, packing, shared, simhash, suffix_dedup, toxicity
+from factloom.llm import mixing, near_copies, packing, shared, suffix_dedup, toxicity
 from factloom.llm.queries import tokenizer_path
 
 #: Documents whose toxicity reaches this go.
@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates, alike in 0.8 or more of their five-word shingles, stays."""
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
