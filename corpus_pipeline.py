@@ -15,8 +15,8 @@ from factloom.llm.queries import tokenizer_path
 
 #: Documents whose toxicity reaches this go.
 TOXIC = 0.3
-#: Shortest repeated passage that is cut out, in bytes.
-PASSAGE = 400
+#: Shortest repeated passage that is cut out, in words: those of over 50.
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere too are cut out of the texts."""
-    return suffix_dedup.remove_repeats(docs, PASSAGE)
+    return suffix_dedup.remove_repeated_words(docs, PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

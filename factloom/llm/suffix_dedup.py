@@ -340,3 +340,57 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     changed = rows.filter(touched).withColumn("_kept", cut(F.coalesce("row.text", F.lit("")), F.col("_copied"), F.col("_ranges")))
     chars = {"n_chars": F.when(F.col("_copied").isNull() & F.col("_ranges").isNull(), F.col("row.n_chars")).otherwise(F.length("_kept").cast("long"))} if "n_chars" in names else {}
     return shared.unpacked(same.unionByName(changed), names, text=F.col("_kept"), **chars)
+
+
+#: Characters that stand for a word, of seven bits each.
+CODE = 5
+
+
+def coded(text: str) -> str:
+    """The words of a text, CODE characters each: equal words have equal codes, unequal ones but for one pair in 2**35."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").split()
+    hashes = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    return ((hashes[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(7))) & np.uint64(127)).astype(np.uint8).tobytes().decode("ascii")
+
+
+def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of bytes of data, each with the white space after it, for spans of its code."""
+    import re
+
+    begins = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)] + [len(data)]
+    whole = [(-(-a // CODE), b // CODE) for a, b in spans]
+    return [(begins[a], begins[b]) for a, b in whole if a < b]
+
+
+def remove_repeated_words(docs: DataFrame, words: int) -> DataFrame:
+    """docs, all columns, with passages of at least so many words that repeat cut out of text, whatever white space is between the words."""
+    length = words * CODE
+
+    @F.pandas_udf("string")
+    def code(text):  # noqa: ANN001
+        import pandas as pd
+
+        return pd.Series([None if t is None else coded(t) for t in text], dtype=object)
+
+    @F.pandas_udf("string")
+    def cut(text, codes, copied, ranges):  # noqa: ANN001
+        import pandas as pd
+
+        out = []
+        for t, n, c, r in zip(text, codes, copied, ranges, strict=True):
+            data = t.encode()
+            spans = removed_spans(int(n), bool(c) if c is not None and c == c else None, None if r is None else list(r), length)
+            out.append(kept(data, word_spans(data, spans)).decode() if spans else t)
+        return pd.Series(out, dtype=object)
+
+    names = docs.columns
+    rows = judged(shared.packed(docs).withColumn("_codes", code("row.text")), "row.doc_id", "_codes", length)
+    # Only texts that lose something go through Python again.
+    touched = F.coalesce(F.col("_copied"), F.lit(False)) | F.col("_ranges").isNotNull()
+    same = rows.filter(~touched).withColumn("_kept", F.col("row.text"))
+    size = F.octet_length(F.coalesce("_codes", F.lit("")))
+    changed = rows.filter(touched).withColumn("_kept", cut(F.coalesce("row.text", F.lit("")), size, F.col("_copied"), F.col("_ranges")))
+    chars = {"n_chars": F.when(F.col("_copied").isNull() & F.col("_ranges").isNull(), F.col("row.n_chars")).otherwise(F.length("_kept").cast("long"))} if "n_chars" in names else {}
+    return shared.unpacked(same.unionByName(changed), names, text=F.col("_kept"), **chars)
