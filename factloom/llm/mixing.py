@@ -82,20 +82,30 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_sha
     return rows.select("row_id", "doc_id", "source", "size", "source_size", "target", "round", F.coalesce(served, F.lit(0)).cast("long").alias("served"), finish.alias("virtual_finish"))
 
 
+def in_order(rows: DataFrame, finish: str, doc_id: str) -> DataFrame:
+    """rows, range-sorted by virtual finish time; ties by id."""
+    return rows.repartitionByRange(finish, doc_id).sortWithinPartitions(finish, doc_id)
+
+
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rounds of documents that get any words, range-sorted by virtual finish time."""
-    taken = schedule(docs, **settings).filter("served > 0")
-    return taken.repartitionByRange("virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
+    return in_order(schedule(docs, **settings).filter("served > 0"), "virtual_finish", "doc_id")
+
+
+def taken_words(docs: DataFrame, **settings) -> DataFrame:
+    """One row per document: the words taken in all rounds, range-sorted by the virtual time at which the first round ends."""
+    found = schedule(docs, **settings).groupBy("row_id", "doc_id", "size", "source_size", "target").agg(F.sum("served").alias("taken"), F.min("virtual_finish").alias("_first"))
+    return in_order(found, "_first", "doc_id").drop("row_id", "_first")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """documents, each as often as it is taken whole, and cut after its last taken word where the budget ends inside it."""
+    """documents in the order of the mix, each as often as it is taken whole, and cut after its last taken word where the budget ends inside it."""
     names = docs.columns
     rows = shared.staged(shared.packed(docs).withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
     sized = rows.select("_row", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "text", "source")])
-    taken = schedule(sized, **settings, row_id="_row").groupBy(F.col("row_id").alias("_row"), F.col("size").alias("_size")).agg(F.sum("served").alias("_taken")).filter("_taken > 0")
-    copies = F.expr("transform(sequence(0L, cast((_taken - 1) div _size as long)), i -> least(_size, _taken - i * _size))")
-    cut = rows.join(taken, "_row").withColumn("_words", F.explode(copies))
+    taken = schedule(sized, **settings, row_id="_row").filter("served > 0")
+    taken = taken.select(F.col("row_id").alias("_row"), F.col("size").alias("_size"), F.col("served").alias("_words"), F.col("virtual_finish").alias("_finish"))
+    cut = in_order(rows.join(taken, "_row"), "_finish", "row.doc_id")
     # Split off what follows the last taken word: a split at white space into one piece more than there are words.
     space = F.lit(r"[\x20\x09-\x0D]+")
     text = F.col("row.text")

@@ -26,8 +26,7 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounds = mixing.schedule(table(spark, sf_dir, "documents"))
-    return rounds.groupBy("row_id", "doc_id", "size", "source_size", "target").agg(F.sum("served").alias("taken")).drop("row_id")
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
