@@ -50,6 +50,17 @@ from . import shared
 BLOCK, SEGMENT = 24, 1 << 20
 PLACE = np.uint64((1 << 22) - 1)
 FACTOR = 0x9E3779B97F4A7C15
+#: Characters that stand for a word, of seven bits each.
+CODE = 5
+
+
+def coded(text: str) -> bytes:
+    """The words of a text, CODE characters each: equal words have equal codes, unequal ones but for one pair in 2**35."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").split()
+    hashes = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    return ((hashes[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(7))) & np.uint64(127)).astype(np.uint8).tobytes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,9 +144,9 @@ def items(data: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray,
     return grams[at], rank, at, first, last, np.searchsorted(edges, first, side="right") - 1
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string or binary column without nulls, and the edges of its values."""
-    column = column.cast(pa.large_binary())
+def _bytes_of(column: pa.Array, by_words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string or binary column without nulls, or of the codes of its words, and the edges of its values."""
+    column = pa.array([coded(t.as_py()) for t in column], pa.large_binary()) if by_words else column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     edges = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
@@ -160,10 +171,10 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
 ITEMS = "name long, rank long, t1 long, t2 long, place long, first long, last long"
 
 
-def _scan(length: int) -> Callable:
+def _scan(length: int, by_words: bool = False) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, edges = _bytes_of(batch.column("text"))
+            raw, edges = _bytes_of(batch.column("text"), by_words)
             keys = [batch.column(c).to_numpy() for c in ("t1", "t2")]
             for a, b in _groups(edges, SEGMENT):
                 for start in range(int(edges[a]), int(edges[b]), SEGMENT):
@@ -179,12 +190,12 @@ def _scan(length: int) -> Callable:
 TEXTS = "name long, item long, single boolean, place long, first long, last long, bytes binary"
 
 
-def _extract(length: int) -> Callable:
+def _extract(length: int, by_words: bool = False) -> Callable:
     """The bytes under each asked item of a text."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, edges = _bytes_of(batch.column("text"))
+            raw, edges = _bytes_of(batch.column("text"), by_words)
             view = memoryview(raw)
             for i, asked in enumerate(batch.column("asked")):
                 rows = [(r["name"], r["item"], r["single"], r["place"], r["first"], r["last"]) for r in asked.as_py()]
@@ -237,12 +248,14 @@ def keyed(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumns({"_t1": F.xxhash64(F.lit(1), text), "_t2": F.xxhash64(F.lit(2), text)})
 
 
-def repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(t1, t2, ranges) of windows that repeat, and (t1, t2) of texts that several rows have."""
+def repeats(docs: DataFrame, length: int = 400, by_words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, ranges) of windows that repeat, and (t1, t2) of texts that several rows have; windows of words' codes if asked."""
     shared.bound_batches(docs.sparkSession)
-    texts = keyed(docs, F.col("text")).filter(F.octet_length("text") >= length).select("doc_id", F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "text")
+    # So many words, each but the last with white space after it, are two bytes each at least.
+    least = 2 * (length // CODE) - 1 if by_words else length
+    texts = keyed(docs, F.col("text")).filter(F.octet_length("text") >= least).select("doc_id", F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "text")
     copies = texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    found = shared.staged(texts.select("t1", "t2", "text").mapInArrow(_scan(length), ITEMS), "suffix-items")
+    found = shared.staged(texts.select("t1", "t2", "text").mapInArrow(_scan(length, by_words), ITEMS), "suffix-items")
     # Step 1: buckets with several items, and whether they have several ranks.
     buckets = found.groupBy("name").agg(F.count("*").alias("_n"), (F.min("rank") != F.max("rank")).alias("open")).filter("_n > 1").drop("_n")
     left = shared.staged(found.join(buckets, "name").distinct(), "suffix-left")
@@ -255,7 +268,7 @@ def repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     asked = ranks.filter("open").select("name", F.xxhash64("name", "rank").alias("item"), (F.col("_n") == 1).alias("single"), "one.*")
     wanted = asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("name", "item", "single", "place", "first", "last")).alias("asked")).join(copies, ["t1", "t2"])
     one_each = texts.alias("x").join(wanted.alias("w"), shared.same([F.col(f"x.{c}") for c in ("t1", "t2", "doc_id")], [F.col(f"w.{c}") for c in ("t1", "t2", "doc_id")]))
-    under = shared.staged(one_each.select("x.text", "w.asked").mapInArrow(_extract(length), TEXTS), "suffix-texts")
+    under = shared.staged(one_each.select("x.text", "w.asked").mapInArrow(_extract(length, by_words), TEXTS), "suffix-texts")
     blocks = shared.staged(under.mapInArrow(_parts(length, BLOCK), PARTS), "suffix-blocks")
     by_rank = blocks.groupBy("name", "rank").agg((F.min("item") != F.max("item")).alias("several"), F.min(F.struct("item", "first", "last")).alias("one"))
     by_rank = shared.staged(by_rank, "suffix-block-ranks")
@@ -274,9 +287,9 @@ def repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     return marks, copies.filter("n > 1").select("t1", "t2")
 
 
-def judged(docs: DataFrame, doc_id: str, text: str, length: int = 400) -> DataFrame:
+def judged(docs: DataFrame, doc_id: str, text: str, length: int = 400, by_words: bool = False) -> DataFrame:
     """docs with _copied and _ranges of repeated windows (null if there are none) of the text in a column or field."""
-    marks, copied = repeats(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), length)
+    marks, copied = repeats(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), length, by_words)
     verdicts = marks.join(copied.withColumn("_copied", F.lit(True)), ["t1", "t2"], "full_outer").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_copied", F.col("ranges").alias("_ranges"))
     return keyed(docs, F.col(text)).join(shared.staged(verdicts, "suffix-verdicts"), ["_t1", "_t2"], "left").drop("_t1", "_t2")
 
@@ -342,19 +355,6 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     return shared.unpacked(same.unionByName(changed), names, text=F.col("_kept"), **chars)
 
 
-#: Characters that stand for a word, of seven bits each.
-CODE = 5
-
-
-def coded(text: str) -> str:
-    """The words of a text, CODE characters each: equal words have equal codes, unequal ones but for one pair in 2**35."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode("utf-8", "surrogatepass").split()
-    hashes = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    return ((hashes[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(7))) & np.uint64(127)).astype(np.uint8).tobytes().decode("ascii")
-
-
 def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of bytes of data, each with the white space after it, for spans of its code."""
     import re
@@ -369,28 +369,21 @@ def remove_repeated_words(docs: DataFrame, words: int) -> DataFrame:
     length = words * CODE
 
     @F.pandas_udf("string")
-    def code(text):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.Series([None if t is None else coded(t) for t in text], dtype=object)
-
-    @F.pandas_udf("string")
-    def cut(text, codes, copied, ranges):  # noqa: ANN001
+    def cut(text, copied, ranges):  # noqa: ANN001
         import pandas as pd
 
         out = []
-        for t, n, c, r in zip(text, codes, copied, ranges, strict=True):
+        for t, c, r in zip(text, copied, ranges, strict=True):
             data = t.encode()
-            spans = removed_spans(int(n), bool(c) if c is not None and c == c else None, None if r is None else list(r), length)
+            spans = removed_spans(CODE * len(data.split()), bool(c) if c is not None and c == c else None, None if r is None else list(r), length)
             out.append(kept(data, word_spans(data, spans)).decode() if spans else t)
         return pd.Series(out, dtype=object)
 
     names = docs.columns
-    rows = judged(shared.packed(docs).withColumn("_codes", code("row.text")), "row.doc_id", "_codes", length)
+    rows = judged(shared.packed(docs), "row.doc_id", "row.text", length, by_words=True)
     # Only texts that lose something go through Python again.
     touched = F.coalesce(F.col("_copied"), F.lit(False)) | F.col("_ranges").isNotNull()
     same = rows.filter(~touched).withColumn("_kept", F.col("row.text"))
-    size = F.octet_length(F.coalesce("_codes", F.lit("")))
-    changed = rows.filter(touched).withColumn("_kept", cut(F.coalesce("row.text", F.lit("")), size, F.col("_copied"), F.col("_ranges")))
+    changed = rows.filter(touched).withColumn("_kept", cut(F.coalesce("row.text", F.lit("")), F.col("_copied"), F.col("_ranges")))
     chars = {"n_chars": F.when(F.col("_copied").isNull() & F.col("_ranges").isNull(), F.col("row.n_chars")).otherwise(F.length("_kept").cast("long"))} if "n_chars" in names else {}
     return shared.unpacked(same.unionByName(changed), names, text=F.col("_kept"), **chars)
