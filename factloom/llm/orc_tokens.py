@@ -1,14 +1,16 @@
 """Token ids as ORC files that readers can prune and read stripe by stripe.
 
 Each row holds one document's ids as an array of integers, which ORC encodes
-by run length. Rows are in ascending order of document id, each file holds one
-range of ids, and files have row indexes and Bloom filters on the id. Files
-are read back with Spark's ORC reader, a stripe or more per task.
+by run length. Documents are dealt by range and sorted before they are
+encoded, so each file holds one range of ids, its rows are in ascending order,
+and files are in the order of their numbers. Files have row indexes and Bloom
+filters on the id, and are read back with Spark's ORC reader, a stripe or more
+per task. Texts are encoded a few megabytes at a time.
 
 Defined results: a null or empty text is the end id alone; a null document id
-sorts first; rows with equal ids are ordered by their token ids, and equal
-rows are kept; an empty table gives an empty result. Columns other than doc_id
-and text are ignored.
+sorts first; rows with equal ids are ordered by a hash of their texts, so that
+many of them spread over several files, and equal rows are kept; an empty
+table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,60 +28,46 @@ from . import shared
 from .encoding import TextEncoder
 
 #: UTF-8 bytes of text that one file holds on average.
-TEXT_BYTES_PER_FILE = 24 << 20
-#: Documents that a task encodes at once (distinct words in them are encoded once), and that it sends or is sent at once.
-ROWS_ENCODED, ROWS_SENT = 5_000, 1_000
-#: Most files; ids' quantiles are this fine.
-MOST_FILES = 10_000
-ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(16 << 20), "compression": "none"}
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about so many rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
-def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(range, doc_id, ids): the range tells the file that a document belongs to."""
-    spark = docs.sparkSession
-    shared.bound_batches(spark, ROWS_SENT)
-    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    files = min(MOST_FILES, max(1, math.ceil((size or 0) / TEXT_BYTES_PER_FILE)))
-    marks = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 and rows else None
-    edges = np.array(sorted(set(marks or [])), dtype=np.int64)
-
-    def encode_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder.of_process(tokenizer, end_id, spaced=False)
-        for batch in _gathered(batches, ROWS_ENCODED):
-            ids = encoder.encode(batch.column("text").to_pylist())
-            keys = batch.column("doc_id")
-            ranges = np.where(np.asarray(keys.is_null()), 0, np.searchsorted(edges, keys.fill_null(0).to_numpy(), side="right")).astype(np.int32)
-            for i in range(0, len(ids), ROWS_SENT):
-                part = ids[i : i + ROWS_SENT]
-                ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(ranges[i : i + ROWS_SENT]), keys.slice(i, ROWS_SENT), lists], ["range", "doc_id", "ids"])
+TEXT_BYTES_PER_FILE = 32 << 20
+#: Rows that a task is sent at once, and ids that it sends at once.
+ROWS_READ, IDS_SENT = 500, 1 << 20
+ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(16 << 20), "compression": "lz4"}
+SCHEMA = "range int, place long, doc_id long, ids array<int>"
+
+
+def in_ranges(docs: DataFrame, bytes_per_file: int) -> DataFrame:
+    """(doc_id, text), sorted within partitions, whose numbers ascend with the ids."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    return rows.repartitionByRange(max(1, math.ceil(size / bytes_per_file)), *order).sortWithinPartitions(*order, "text")
+
 
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode_partition, "range int, doc_id long, ids array<int>")
-    return encoded.repartition(max(len(edges) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "range")
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bytes_per_file: int | None = None) -> None:
+    """Writes the token files of docs to a folder; rows are (range, place in the range, doc_id, ids)."""
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        encoder, number, place = TextEncoder.of_process(tokenizer, end_id, spaced=False), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids = encoder.encode(batch.column("text").to_pylist())
+            groups = np.cumsum([0, *map(len, ids)]) // IDS_SENT
+            edges = [*np.flatnonzero(np.diff(groups[:-1], prepend=-1)).tolist(), len(ids)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                ends = np.cumsum([0, *map(len, ids[a:b])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids[a:b]).view(np.int32)))
+                places = pa.array(np.arange(place, place + b - a))
+                place += b - a
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, number, dtype=np.int32)), places, batch.column("doc_id").slice(a, b - a), lists], ["range", "place", "doc_id", "ids"])
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Writes the token files of docs to a folder."""
-    ordered = encode(docs, tokenizer, end_id).sortWithinPartitions(F.col("range"), F.col("doc_id").asc_nulls_first(), F.col("ids"))
-    ordered.write.options(**ORC_OPTIONS).orc(path)
+    shared.bound_batches(docs.sparkSession, ROWS_READ)
+    in_ranges(docs, bytes_per_file or TEXT_BYTES_PER_FILE).mapInArrow(encode, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(range, doc_id, ids) as the files hold them; filters on doc_id prune stripes."""
-    return spark.read.schema("range int, doc_id long, ids array<int>").orc(path)
+    """(range, place, doc_id, ids) as the files hold them; filters on doc_id prune stripes."""
+    return spark.read.schema(SCHEMA).orc(path)
 
 
 def layout(spark: SparkSession, path: str) -> DataFrame:
@@ -91,14 +79,14 @@ def layout(spark: SparkSession, path: str) -> DataFrame:
             ends = lists.offsets.to_numpy()
             data = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))
             crcs = [zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("range"), batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["range", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("range", "place", "doc_id")), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["range", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    shared.bound_batches(spark, ROWS_SENT)
-    rows = shared.staged(read(spark, path).mapInArrow(measure, "range int, doc_id long, n_tokens long, ids_crc32 long"), "orc-layout")
+    shared.bound_batches(spark, ROWS_READ)
+    rows = shared.staged(read(spark, path).mapInArrow(measure, "range int, place long, doc_id long, n_tokens long, ids_crc32 long"), "orc-layout")
     totals = rows.groupBy("range").agg(F.sum("n_tokens").alias("_total"))
-    # A row per file: MOST_FILES at most.
+    # A row per file.
     before = F.coalesce(F.sum("_total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("range", before.alias("_offset"))
-    inside = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return local.join(F.broadcast(offsets), "range").select("doc_id", (F.col("_offset") + F.col("_local")).alias("start"), "n_tokens", "ids_crc32")
