@@ -92,6 +92,70 @@ def test_url_templates_learn(spark):
     assert got[900]["template"] == "/ads/*" and got[903]["template"] == "/tag/*/p"
 
 
+def brute_verdicts(urls, labels):
+    """Template and verdict of each url, branch by branch over lists of all urls."""
+    import math
+    import re
+
+    paths = []
+    for i, url in urls:
+        host, path = url_parts(url)
+        segments = [x for x in path.split("/") if x]
+        paths.append((i, host, [("*" + (re.search(r"(\.[A-Za-z]{1,5})$", x) or [""])[0]) if re.match(url_templates.VARIABLE, x) else x for x in segments]))
+    sums = lambda ids: (len(ids), sum(i in labels for i in ids), sum(labels.get(i, 0) for i in ids))
+    names = {}
+    for host in {h for _, h, _ in paths}:
+        todo = [()]
+        while todo:
+            above = todo.pop()
+            own = [(i, f) for i, h, f in paths if h == host and tuple(f[: len(above)]) == above and len(f) > len(above)]
+            children = {}
+            for i, f in own:
+                children.setdefault(f[len(above)], []).append(i)
+            n_all, known_all, bad_all = sums([i for i, _ in own])
+            kinds, kept = {}, {}
+            for name, ids in children.items():
+                n, known, bad = sums(ids)
+                rest, pooled = known_all - known, bad_all / known_all if known_all else 0
+                differs = known > 0 and rest > 0 and 0 < pooled < 1 and abs(bad / known - (bad_all - bad) / rest) >= 2 * math.sqrt(pooled * (1 - pooled) * (1 / known + 1 / rest))
+                kept[name] = not (len(children) > 16 and n < 0.02 * n_all and not differs)
+                rate = (bad + 4 * ((bad_all + 2) / (known_all + 4))) / (known + 4)
+                if kept[name] and known:
+                    kinds[name] = math.floor(math.asin(math.sqrt(min(1.0, rate))) / (0.5 / math.sqrt(known_all / len(children) + 4)))
+                todo.append((*above, name))
+            for name in children:
+                alike = min([x for x in kinds if kinds[x] == kinds.get(name)], default=name)
+                names[host, (*above, name)] = (name, alike) if kept[name] else ("*", "*")
+    path_of = lambda h, f, k: "".join("/" + names[h, tuple(f[: j + 1])][k] for j in range(len(f)))
+    out = {}
+    for i, host, f in paths:
+        same = [j for j, h, g in paths if h == host and path_of(h, g, 1) == path_of(host, f, 1)]
+        _, known, bad = sums(same)
+        _, known_host, bad_host = sums([j for j, h, _ in paths if h == host])
+        purity = (bad + 4 * (bad_host + 2) / (known_host + 4)) / (known + 4)
+        out[i] = (path_of(host, f, 0), round(purity, 9), "block" if known and purity >= 0.6 else "allow")
+    return out
+
+
+def test_url_templates_against_brute_force(spark):
+    rnd = random.Random(11)
+    rates = {"ads": 0.95, "buy": 0.9, "news": 0.05, "blog": 0.1, "mix": 0.5}
+    urls, labels = [], {}
+    for i in range(500):
+        host, top = rnd.choice(["a.x", "a.x", "b.x"]), rnd.choice([*rates, "none", f"s{rnd.randrange(60)}"])
+        deep = "/".join(str(rnd.choice(["p", "q", rnd.randrange(99), "x.html"])) for _ in range(rnd.randrange(9)))
+        urls.append((i, f"http://{host}/{top}/{deep}"))
+        if top != "none" and rnd.random() < 0.6:
+            labels[i] = int(rnd.random() < rates.get(top, 0.3 + 0.6 * (top == "s1")))
+    urls += [(600, None), (601, "http://a.x"), (602, "http://a.x/" + "y/" * 300)]
+    pages = spark.createDataFrame(urls, "page_id long, url string").repartition(3)
+    known = spark.createDataFrame(list(labels.items()), "page_id long, blocked int")
+    got = {r["page_id"]: (r["template"], round(r["purity"], 9), r["verdict"]) for r in url_templates.filter_urls(pages, [], labels=known).collect()}
+    want = brute_verdicts(urls, labels)
+    assert got == want
+    assert {"block", "allow"} == {v for _, _, v in got.values()}
+
+
 INSULTS = ["grobian", "knave", "dullard"]
 
 
