@@ -2,12 +2,10 @@
 
 A tokenizer that splits at white space gives the same ids for a text as for
 its parts, when it is cut before a single space between two characters that
-are not white space. Texts are cut there, each distinct part is encoded once,
-many at a time, and the texts' ids are gathered from the parts'. A text that
-holds a special token is encoded in one piece. For byte-level tokenizers the
-same vocabulary is also given to tiktoken, which is faster and gives the same
-ids; texts with characters that the libraries' versions of Unicode may class
-differently are left to tokenizers.
+are not white space. Texts are cut there, each new distinct part is encoded
+once and kept for later texts, and the texts' ids are gathered from the
+parts'. What is kept is bounded by MOST_PARTS; beyond it, it is forgotten and
+collected anew. A text that holds a special token is encoded in one piece.
 """
 
 from __future__ import annotations
@@ -25,10 +23,6 @@ import pyarrow.compute as pc
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space, as Unicode and Python have it, for the pattern of texts with a space beside white space or with any at an end.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Characters whose classes are the same in all versions of Unicode that libraries know; the rest goes to tokenizers alone.
-SETTLED = r"[^\x00-\x{24f}\x{391}-\x{3c9}\x{410}-\x{44f}\x{2010}-\x{2027}]"
-#: The pattern of byte-level tokenizers.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A full stop or comma between a letter and white space is a word of its own; elsewhere it may be part of a longer one.
 JOINED_STOP = r"[^\pL\x09-\x0d\x20][.,][\x20\n]|\x{130}"
 ODD_SPACE = rf"{SPACE} | {SPACE}|\A{SPACE}|{SPACE}\z"
@@ -42,7 +36,9 @@ class TextEncoder:
     """
 
     #: Characters of text that are encoded at once, and of joined new parts in a string.
-    BATCH, BLOCK = 12 << 20, 1_000
+    BATCH, BLOCK = 4 << 20, 1_000
+    #: Distinct parts whose ids are kept, and characters of the longest that is.
+    MOST_PARTS, LONGEST_PART = 300_000, 64
 
     def __init__(self, path: str, end_id: int, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,25 +53,11 @@ class TextEncoder:
         self.measure = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.measure[i] = len(token) if spaced else token.endswith("</w>")
-        self.byte_pairs = self._byte_pairs(vocabulary) if spaced else None
-
-    def _byte_pairs(self, vocabulary: dict[str, int]):
-        """A faster encoder with the same ids, if ids are in the order of merges; else None."""
-        import json
-
-        import tiktoken
-
-        model = json.loads(self.tokenizer.to_str())
-        merges = [m if isinstance(m, str) else "".join(m) for m in model["model"]["merges"]]
-        order = [vocabulary.get(m.replace(" ", "")) for m in merges]
-        if model["normalizer"] or model["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or None in order or order != sorted(order):
-            return None
-        # The printable stand-ins of bytes: themselves where printable, else the next free characters from 256 on.
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
-        return tiktoken.Encoding("byte pairs", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.kept_ids, self.kept_begins, self.kept_ends = self.end[:0], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     @classmethod
     def of_process(cls, path: str, end_id: int, spaced: bool) -> TextEncoder:
@@ -133,6 +115,23 @@ class TextEncoder:
         begins[order], ends[order] = np.concatenate([[0], stop[:-1]]) if len(parts) else stop, stop
         return np.concatenate([*found, *single, self.end[:0]]), begins, ends
 
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like _encode_parts, but only what is new is encoded."""
+        at = np.fromiter((self.places.get(p, -1) for p in parts), dtype=np.int64, count=len(parts))
+        new = np.flatnonzero(at < 0)
+        if len(self.places) + len(new) > self.MOST_PARTS:
+            self._forget()
+            new = np.arange(len(parts))
+        ids, begins, ends = self._encode_parts([parts[i] for i in new.tolist()])
+        first, base = len(self.kept_begins), len(self.kept_ids)
+        at[new] = first + np.arange(len(new))
+        all_ids = np.concatenate([self.kept_ids, ids])
+        all_begins, all_ends = np.concatenate([self.kept_begins, begins + base]), np.concatenate([self.kept_ends, ends + base])
+        if len(self.places) + len(new) <= self.MOST_PARTS and not any(len(parts[i]) > self.LONGEST_PART for i in new.tolist()):
+            self.kept_ids, self.kept_begins, self.kept_ends = all_ids, all_begins, all_ends
+            self.places.update((parts[i], first + k) for k, i in enumerate(new.tolist()))
+        return all_ids, all_begins[at], all_ends[at]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text with the end id; a null text is empty."""
         out: list[np.ndarray] = []
@@ -156,19 +155,8 @@ class TextEncoder:
                 cut = pc.replace_substring(cut, stop, f" {stop}")
             lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(plain, JOINED_STOP), plain, cut))
             return self._gather(texts, lists, whole, {})
-        if self.byte_pairs is not None:
-            unsettled = pc.match_substring_regex(pa.array(texts, pa.large_string()), SETTLED).to_pylist()
-            settled = [i for i in range(len(texts)) if not unsettled[i] and i not in whole]
-            if settled:
-                found = dict(zip(settled, map(self._pairs, (texts[i] for i in settled)), strict=True))
-                left = [i for i in range(len(texts)) if i not in found]
-                found.update(zip(left, self._by_parts([texts[i] for i in left]), strict=True))
-                return [found[i] for i in range(len(texts))]
         return self._by_parts(texts)
 
-    def _pairs(self, text: str) -> np.ndarray:
-        return np.append(np.array(self.byte_pairs.encode_ordinary(text), dtype="<u4"), self.end)
-
     def _by_parts(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
@@ -204,7 +192,7 @@ class TextEncoder:
         """Ids of texts from those of their parts, of what stands around these, and of texts to encode whole."""
         counts = np.diff(lists.offsets.to_numpy())
         encoded = lists.values.dictionary_encode()
-        values, part_begins, part_ends = self._encode_parts(encoded.dictionary.to_pylist())
+        values, part_begins, part_ends = self._parts(encoded.dictionary.to_pylist())
         # Gather: where each part's ids are, then all of them, a stretch of parts at a time.
         codes = encoded.indices.to_numpy()
         begins, lengths = part_begins[codes], (part_ends - part_begins)[codes]
