@@ -7,7 +7,10 @@ the length. Records follow, each a header line and as many bytes as the line
 declares. The converter synthesises what WARC asks for and ARC lacks: record
 identifiers (derived from content, so reruns agree), timestamps in ISO form,
 record types and payload digests. Of records with equal payloads one is the
-response, and the others are revisits that name it and carry no payload.
+response, and the others are revisits that name it and carry no payload. Which
+is which is decided on ids and digests alone; payloads never meet by digest.
+Files of either kind are bounded by bytes, so that large pages give more files,
+not larger ones, and are read record by record.
 
 Defined results: a null url is written as "urn:null" and a null html is an
 empty payload; white space in urls is percent-encoded in the archives; pages
@@ -22,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,8 +44,10 @@ ARC_FIELDS = {
 ARC_FIELD_NAMES = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 #: Bytes after which a new archive begins; a larger record has one of its own.
 ARC_BYTES = 4 << 20
-#: Records of a WARC file, which is read in one piece.
-RECORDS_PER_FILE = 2_000
+#: Bytes of records that are written as one row, and rows of a WARC file; a larger record is a row of its own.
+BUNDLE_BYTES, BUNDLES_PER_FILE = 8 << 20, 4
+#: Pages and records that a task is sent at once, and bytes of payloads that it sends.
+ROWS_READ, BYTES_SENT = 1_000, 8 << 20
 RECORD_END = "\r\n\r\n"
 DATE = "20200101000000"
 
@@ -90,6 +96,7 @@ def write_arc(pages: DataFrame) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)])], ["arc"])
 
+    shared.bound_batches(pages.sparkSession, ROWS_READ)
     return pages.select("page_id", "url", "html").mapInArrow(archive, "arc binary")
 
 
@@ -146,6 +153,15 @@ def record_id(*parts: str) -> str:
 
 
 CONVERTED = "page_id long, digest string, uri string, date string, head binary, payload binary"
+KEYS = "page_id long, digest string, size long"
+
+
+def _records(data: bytes) -> Iterator[tuple]:
+    """page_id, digest, record and the head and payload of each record of an archive."""
+    for record in parse_arc(data):
+        head, payload = http_payload(record["body"])
+        given = re.search(rb"(?mi)^X-Page-Id: *(-?\d+)\r$", head)
+        yield int(given[1]) if given else None, sha1_base32(payload), record, head, payload
 
 
 def convert(archives: DataFrame) -> DataFrame:
@@ -153,17 +169,32 @@ def convert(archives: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("arc").to_pylist():
-                rows = []
-                for record in parse_arc(data):
-                    head, payload = http_payload(record["body"])
-                    given = re.search(rb"(?mi)^X-Page-Id: *(-?\d+)\r$", head)
-                    rows.append((int(given[1]) if given else None, sha1_base32(payload), record["url"], iso_date(record["date"]), head, payload))
+            for data in batch.column("arc"):
+                rows = ((i, digest, r["url"], iso_date(r["date"]), head, payload) for i, digest, r, head, payload in _records(data.as_py()))
                 yield from _rows(rows, [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()], CONVERTED)
 
     return archives.mapInArrow(parse, CONVERTED)
 
 
+def digests(archives: DataFrame) -> DataFrame:
+    """Rows of KEYS from (arc binary): what convert() finds, without the payloads."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("arc"):
+                rows = ((i, digest, len(payload)) for i, digest, _, _, payload in _records(data.as_py()))
+                yield from _rows(rows, [pa.int64(), pa.string(), pa.int64()], KEYS)
+
+    return archives.mapInArrow(parse, KEYS)
+
+
+def revisits(keys: DataFrame, least_bytes: int) -> DataFrame:
+    """(page_id, digest, first) of the records that revisit another; rows with the smallest id are responses, each of them."""
+    large = keys.filter(F.col("size") >= least_bytes)
+    repeated = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1 and first is not null").drop("_n")
+    return large.join(repeated, "digest").filter("page_id != first").select("page_id", "digest", "first").distinct()
+
+
 # WARC
 
 
@@ -190,38 +221,42 @@ def warc_record(page_id: int | None, digest: str, uri: str, date: str, head: byt
 
 def write_warc(archives: DataFrame, path: str, revisit_bytes: int = 0) -> None:
     """Converts (arc binary) to WARC files in a folder; payloads of at least revisit_bytes are stored once."""
-    records = convert(archives)
-    repeated = (
-        records.filter(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 and _first is not null").select("digest", "_first")
-    )
-    joined = records.join(repeated, "digest", "left")
-    # Which of several rows with the smallest id is the response does not matter; all of them are.
-    revisit = F.coalesce((F.col("page_id") != F.col("_first")) & (F.octet_length("payload") >= revisit_bytes), F.lit(False))
+    spark = archives.sparkSession
+    shared.bound_batches(spark, ROWS_READ)
+    found = revisits(shared.staged(digests(archives), "warc-keys"), revisit_bytes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, size = [], 0
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "digest", "uri", "date", "head", "payload", "_first", "_revisit")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([warc_record(*r) for r in rows], pa.binary())], ["record"])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "digest", "uri", "date", "head", "payload", "first")), strict=True):
+                bundle.append(warc_record(*row, revisit=row[-1] is not None))
+                size += len(bundle[-1])
+                if size >= BUNDLE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([RECORD_END.encode().join(bundle)], pa.binary())], ["records"])
+                    bundle, size = [], 0
+        if bundle:
+            yield pa.RecordBatch.from_arrays([pa.array([RECORD_END.encode().join(bundle)], pa.binary())], ["records"])
 
-    built = joined.withColumn("_revisit", revisit).select("page_id", "digest", "uri", "date", "head", "payload", "_first", "_revisit").mapInArrow(build, "record binary")
-    # Spark's text writer puts the bytes of each record and its closing line ends into a file as they are.
-    built.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    built = convert(archives).join(found, ["page_id", "digest"], "left").select("page_id", "digest", "uri", "date", "head", "payload", "first").mapInArrow(build, "records binary")
+    # Spark's text writer puts the bytes of each bundle and the line ends that close its last record into a file as they are.
+    built.select(F.col("records").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", BUNDLES_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        cut = data.find(b"\r\n\r\n", at)
-        if cut < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError("not a WARC record")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:cut].decode("utf-8", "replace").split("\r\n")[1:])}
-        length = int(headers["content-length"])
-        at = cut + 4
-        if len(data) < at + length + 4:
-            raise ValueError("a WARC record breaks off")
-        yield headers, data[at : at + length]
-        at += length + 4
+    """Headers (names in lower case) and block of each record, by declared lengths; data may be compressed and is read record by record."""
+    with (gzip.open if data.startswith(b"\x1f\x8b") else io.BufferedReader)(io.BytesIO(data)) as file:
+        while line := file.readline():
+            if not line.startswith(b"WARC/"):
+                raise ValueError("not a WARC record")
+            headers = {}
+            while (line := file.readline()) not in (b"\r\n", b""):
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[name.strip().lower()] = value.strip()
+            length = int(headers.get("content-length", -1))
+            block = file.read(max(0, length))
+            if length < 0 or len(block) < length or file.read(4) != RECORD_END.encode():
+                raise ValueError("a WARC record breaks off")
+            yield headers, block
 
 
 READ = "page_id long, record_id string, uri string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -232,25 +267,36 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
-                rows = []
-                for h, block in parse_warc(data):
-                    revisit = h["warc-type"] == "revisit"
-                    payload = None if revisit else http_payload(block)[1]
-                    digest = h["warc-payload-digest"].removeprefix("sha1:")
-                    if payload is not None and (sha1_base32(payload) != digest or len(payload) != int(h["x-payload-length"])):
-                        raise ValueError(f"{h['warc-record-id']} has another payload than its header says")
-                    rows.append((int(h["x-page-id"]) if h["x-page-id"] else None, h["warc-record-id"], h["warc-target-uri"], h["warc-date"], h["warc-type"], int(h["x-payload-length"]), digest, int(h["x-refers-to-page"]) if revisit else None, payload))
+            for data in batch.column("content"):
+                rows = (_row(h, block) for h, block in parse_warc(data.as_py()))
                 yield from _rows(rows, [pa.int64()] + [pa.string()] * 4 + [pa.int64(), pa.string(), pa.int64(), pa.binary()], READ)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, READ)
 
 
-def _rows(rows: list[tuple], types: list[pa.DataType], schema: str) -> Iterable[pa.RecordBatch]:
+def _row(h: dict[str, str], block: bytes) -> tuple:
+    """A row of READ from a record, its payload checked against its digest."""
+    revisit = h["warc-type"] == "revisit"
+    payload = None if revisit else http_payload(block)[1]
+    digest = h["warc-payload-digest"].removeprefix("sha1:")
+    if payload is not None and (sha1_base32(payload) != digest or len(payload) != int(h["x-payload-length"])):
+        raise ValueError(f"{h['warc-record-id']} has another payload than its header says")
+    return int(h["x-page-id"]) if h["x-page-id"] else None, h["warc-record-id"], h["warc-target-uri"], h["warc-date"], h["warc-type"], int(h["x-payload-length"]), digest, int(h["x-refers-to-page"]) if revisit else None, payload
+
+
+def _rows(rows: Iterable[tuple], types: list[pa.DataType], schema: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows of at most about BYTES_SENT bytes in binary columns."""
     names = [x.split()[0] for x in schema.split(", ")]
-    for i in range(0, len(rows), 2000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000], strict=True), types, strict=True)], names)
+    batch = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 100 + sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= BYTES_SENT:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
