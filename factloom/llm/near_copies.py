@@ -114,7 +114,7 @@ def links(texts: DataFrame) -> DataFrame:
     close = fingerprint_links(fps.select("fp"), nodes.count(), 2)
     close = close.join(fps.select(F.col("fp").alias("a"), F.col("key").alias("_a")), "a").join(fps.select(F.col("fp").alias("b"), F.col("key").alias("_b")), "b")
     maybe = banded.union(equal).union(close.select("_a", "_b"))
-    roots = shared.staged(components(maybe, "near-candidates"), "near-roots")
+    roots = shared.settled(lambda: components(maybe, "near-candidates"), "near-roots")
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())  # roots are no nodes of their own
     asked = shared.staged(texts.select("key", "text").join(roots.withColumnRenamed("node", "key"), "key"), "near-texts")
     parts = asked.groupBy("root").agg(F.ceil(F.sum(F.octet_length("text")) / PART_BYTES).alias("_parts"))
@@ -155,7 +155,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     by_key = shared.staged(rows.groupBy(F.col("_key").alias("key")).agg(best.alias("best")), "near-keys")
     one_each = by_key.select(F.col("best._row").alias("_row"))
     texts = rows.filter(F.col("_bands").isNotNull()).join(one_each, "_row", "left_semi")
-    found = links(texts.select(F.col("_key").alias("key"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), F.col("row.text").alias("text")))
-    roots = components(found, "near-components").withColumnRenamed("node", "key")
-    kept = by_key.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best"))
-    return shared.unpacked(rows.join(kept.select(F.col("best._row").alias("_row")), "_row", "left_semi"), names)
+
+    def chosen() -> DataFrame:
+        found = links(texts.select(F.col("_key").alias("key"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), F.col("row.text").alias("text")))
+        roots = components(found, "near-components").withColumnRenamed("node", "key")
+        kept = by_key.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best"))
+        return kept.select(F.col("best._row").alias("_row"))
+
+    return shared.unpacked(rows.join(shared.settled(chosen, "near-kept"), "_row", "left_semi"), names)

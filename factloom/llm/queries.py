@@ -36,7 +36,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"), length=400, words=51)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +17,9 @@ from pyspark.sql.types import StructType
 #: Whitespace between words: space and the control characters tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders of staged tables that are still there, and for each thread the lists that note them for an earlier deletion.
+_written: dict[str, SparkSession] = {}
+_scopes = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +45,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
     return path
 
 
@@ -55,6 +62,53 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(nullable).parquet(path)
 
 
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Within it, the folders of staged tables are added to paths."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.open.pop()
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make() returns, staged. What was staged on the way to it is deleted then."""
+    inner: list[str] = []
+    with noted(inner):
+        made = make()
+    out = staged(made, label)
+    delete(inner)
+    return out
+
+
+def _folders(*tables: DataFrame) -> set[str]:
+    """Names of the folders that tables are read from."""
+    return {f.rsplit("/", 2)[-2] for t in tables for f in t.inputFiles()}
+
+
+def unread(paths: list[str], df: DataFrame) -> list[str]:
+    """Those of the paths that df does not read."""
+    folders = _folders(df)
+    return [p for p in paths if p.rsplit("/", 1)[-1] not in folders]
+
+
+def staged_paths(*tables: DataFrame) -> list[str]:
+    """The folders of staged tables."""
+    folders = _folders(*tables)
+    return [p for p in _written if p.rsplit("/", 1)[-1] in folders]
+
+
+def delete(paths: list[str]) -> None:
+    """Deletes staged tables that nothing will read any more."""
+    for path in list(paths):
+        spark = _written.pop(path, None)
+        if spark is not None:
+            delete_path(spark, path)
+
+
 def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Sends Python at most so many rows at once from now on, for operators whose rows hold whole texts or lists.
 
@@ -72,16 +126,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def forget(df_or_label: str) -> None:
-    """Deletes what was staged under a label, for callers that have finished with it."""
-    for entry in [x for x in _written if f"/{df_or_label}-" in x[1]]:
-        _written.remove(entry)
-        delete_path(*entry)
-
-
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
             if spark.sparkContext._jsc is not None:
                 delete_path(spark, path)

@@ -137,7 +137,7 @@ def links(fps: DataFrame, count: int, radius: int) -> DataFrame:
     sizes = keyed.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     dealt = keyed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     # At most about TILE fingerprints meet in a list; a cell with more has more parts.
-    tiles = shared.staged(dealt.groupBy("cell", "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "simhash-tiles")
+    tiles = shared.staged(dealt.repartition("cell", "part").groupBy("cell", "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "simhash-tiles")
     near = tiles.select("cell", "part", F.explode(F.lit(_offsets(lanes, radius))).alias("_step")).withColumn("_other", F.col("cell") + F.col("_step"))
     pairs = near.join(tiles.select(F.col("cell").alias("_other"), F.col("part").alias("_part")), "_other")
     pairs = pairs.filter((F.col("_step") != 0) | (F.col("part") <= F.col("_part"))).select("cell", "part", "_other", "_part")
@@ -178,7 +178,8 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(hung.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        edges = shared.staged(small, label)
+        before_edges, edges = edges, shared.staged(small, label)
+        shared.delete(shared.staged_paths(before_edges, large))
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3
     """(doc_id, fp, component_id): one row per row of docs."""
     fps = shared.staged(fingerprints(docs, words_per_shingle), "simhash-fps")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = shared.staged(grouped(fps, radius).join(first, "fp"), "simhash-rooted")
+    rooted = shared.settled(lambda: grouped(fps, radius).join(first, "fp"), "simhash-rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -216,7 +217,7 @@ def keep_one(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3) -> Da
     # Smallest first by fingerprint, then by component: a hot fingerprint is combined before it is shuffled.
     best = F.min(F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("doc_id"), "_row"))
     by_fp = rows.groupBy(F.col("_fp").alias("fp")).agg(best.alias("best"))
-    kept = grouped(rows.select(F.col("_fp").alias("fp")), radius).join(by_fp, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
+    kept = shared.settled(lambda: grouped(rows.select(F.col("_fp").alias("fp")), radius).join(by_fp, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row")), "simhash-kept")
     return shared.unpacked(rows.join(kept, "_row", "left_semi"), names)
 
 

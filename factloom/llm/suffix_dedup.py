@@ -255,10 +255,15 @@ def repeats(docs: DataFrame, length: int = 400, by_words: bool = False) -> tuple
     least = 2 * (length // CODE) - 1 if by_words else length
     texts = keyed(docs, F.col("text")).filter(F.octet_length("text") >= least).select("doc_id", F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "text")
     copies = texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    found = shared.staged(texts.select("t1", "t2", "text").mapInArrow(_scan(length, by_words), ITEMS), "suffix-items")
-    # Step 1: buckets with several items, and whether they have several ranks.
-    buckets = found.groupBy("name").agg(F.count("*").alias("_n"), (F.min("rank") != F.max("rank")).alias("open")).filter("_n > 1").drop("_n")
-    left = shared.staged(found.join(buckets, "name").distinct(), "suffix-left")
+
+    def several() -> DataFrame:
+        """Step 1: items of buckets with several of them, and whether a bucket has several ranks."""
+        found = shared.staged(texts.select("t1", "t2", "text").mapInArrow(_scan(length, by_words), ITEMS), "suffix-items")
+        buckets = found.groupBy("name").agg(F.count("*").alias("_n"), (F.min("rank") != F.max("rank")).alias("open")).filter("_n > 1").drop("_n")
+        # Staged, so that both sides of the join come from an exchange and a name with very many items can be split.
+        return found.join(shared.staged(buckets, "suffix-buckets"), "name").distinct()
+
+    left = shared.settled(several, "suffix-left")
     # Step 2. Identical texts have identical items, so distinct() keeps one; copies lose everything anyway, yet prove others' repeats.
     alone = left.join(copies.filter("n > 1").select("t1", "t2", F.lit(True).alias("copied")), ["t1", "t2"], "left")
     ranks = alone.groupBy("name", "rank", "open").agg((F.count("*") + F.count("copied")).alias("_n"), F.min(F.struct("t1", "t2", "place", "first", "last")).alias("one"))
@@ -287,11 +292,21 @@ def repeats(docs: DataFrame, length: int = 400, by_words: bool = False) -> tuple
     return marks, copies.filter("n > 1").select("t1", "t2")
 
 
+def verdicts(docs: DataFrame, length: int = 400, by_words: bool = False) -> DataFrame:
+    """(_t1, _t2, _copied, _ranges): for the hashes of a text, whether several of docs(doc_id, text) have it, and its repeated windows."""
+
+    def found() -> DataFrame:
+        marks, copied = repeats(docs, length, by_words)
+        both = marks.join(copied.withColumn("_copied", F.lit(True)), ["t1", "t2"], "full_outer")
+        return both.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_copied", F.col("ranges").alias("_ranges"))
+
+    return shared.settled(found, "suffix-verdicts")
+
+
 def judged(docs: DataFrame, doc_id: str, text: str, length: int = 400, by_words: bool = False) -> DataFrame:
     """docs with _copied and _ranges of repeated windows (null if there are none) of the text in a column or field."""
-    marks, copied = repeats(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), length, by_words)
-    verdicts = marks.join(copied.withColumn("_copied", F.lit(True)), ["t1", "t2"], "full_outer").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_copied", F.col("ranges").alias("_ranges"))
-    return keyed(docs, F.col(text)).join(shared.staged(verdicts, "suffix-verdicts"), ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    found = verdicts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), length, by_words)
+    return keyed(docs, F.col(text)).join(found, ["_t1", "_t2"], "left").drop("_t1", "_t2")
 
 
 def removed_spans(n: int, copied: bool | None, ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -312,23 +327,41 @@ def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def digest(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the hash of the kept bytes."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def digest(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the hash of the kept bytes.
+
+    With words, also n_words_removed: the words of a text in passages of at
+    least so many words that occur elsewhere too, whatever white space is
+    between them. Most passages of 51 words are shorter than 400 bytes.
+    """
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_words_removed long" if words else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    marks = [("_copied", "_ranges"), *([("_copied_words", "_ranges_words")] if words else [])]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
+            found = [batch.column(c).to_pylist() for pair in marks for c in pair]
             rows = []
-            for data, copied, ranges in zip(texts, batch.column("_copied").to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
+            for data, copied, ranges, *by_word in zip(texts, *found, strict=True):
                 spans = removed_spans(len(data), copied, ranges, length)
-                rows.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(data, spans)).hexdigest()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)] if rows else []
+                row = [len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(data, spans)).hexdigest()]
+                if words:
+                    # Nothing is split where nothing repeats.
+                    coded_spans = removed_spans(CODE * len(data.split()), *by_word, words * CODE) if any(by_word) else []
+                    row.append(sum(max(0, b - a) for a, b in _whole_words(coded_spans)))
+                rows.append(row)
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [x.split()[0] for x in schema.split(", ")])
+                columns = [pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for c, n in zip(zip(*rows, strict=True), names[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
-    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text", length)
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), "_copied", "_ranges").mapInArrow(measure, schema)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = verdicts(docs, length)
+    if words:
+        by_words = verdicts(docs, words * CODE, by_words=True).withColumnsRenamed({"_copied": "_copied_words", "_ranges": "_ranges_words"})
+        found = found.join(by_words, ["_t1", "_t2"], "full_outer")
+    rows = keyed(docs, F.col("text")).join(found, ["_t1", "_t2"], "left")
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), *[c for pair in marks for c in pair]).mapInArrow(measure, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -355,13 +388,17 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     return shared.unpacked(same.unionByName(changed), names, text=F.col("_kept"), **chars)
 
 
+def _whole_words(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of words whose whole codes are in spans of codes."""
+    return [(a, b) for a, b in ((-(-a // CODE), b // CODE) for a, b in spans) if a < b]
+
+
 def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of bytes of data, each with the white space after it, for spans of its code."""
     import re
 
     begins = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)] + [len(data)]
-    whole = [(-(-a // CODE), b // CODE) for a, b in spans]
-    return [(begins[a], begins[b]) for a, b in whole if a < b]
+    return [(begins[a], begins[b]) for a, b in _whole_words(spans)]
 
 
 def remove_repeated_words(docs: DataFrame, words: int) -> DataFrame:
