@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dimensions
@@ -135,9 +135,8 @@ def utf16_width(text: Column) -> Column:
 def position_of(text: Column, offset: Column) -> Column:
     """{line, column}, from zero, of a UTF-8 byte offset: columns count UTF-16 units, and an offset inside a character is its start."""
     bytes_before = F.call_function("left", F.encode(text, "UTF-8"), offset.cast("int"))
-    # Continuation bytes at the end belong to a character that is not complete.
-    before = F.regexp_replace(F.call_function("try_validate_utf8", F.lit("")).isNull().cast("string"), ".*", "") if False else F.decode(bytes_before, "UTF-8")
-    before = F.regexp_replace(before, "�+$", "")
+    # Bytes at the end that belong to a character that is not complete go: replacement characters stand for them.
+    before = F.regexp_replace(F.call_function("make_valid_utf8", bytes_before.cast("string")), "\ufffd+$", "")
     last = F.element_at(F.split(before, "\n"), -1)
     return F.struct(newlines(before).alias("line"), utf16_width(last).alias("column"))
 
@@ -145,6 +144,21 @@ def position_of(text: Column, offset: Column) -> Column:
 # Text scans
 
 
+def line_matches(rows: DataFrame, key: list[str], column: str, pattern: str, group: int = 1) -> DataFrame:
+    """(key, line, match): every match of a pattern on each line of a text, lines from 0."""
+    lines = rows.select(*key, F.posexplode(F.split(column, "\n")).alias("line", "_line"))
+    return lines.select(*key, "line", F.explode(F.regexp_extract_all("_line", F.lit(pattern), group)).alias("match"))
+
+
+def line_spans(rows: DataFrame, key: list[str], column: str, pattern: str) -> DataFrame:
+    """(key, line, start, match): like line_matches, with the character at which each whole match begins on its line."""
+    # What stands before a match is the line's text between matches and the matches before it.
+    lines = rows.select(*key, F.posexplode(F.split(column, "\n")).alias("line", "_line"))
+    found = lines.select(*key, "line", F.split("_line", pattern, -1).alias("_between"), F.regexp_extract_all("_line", F.lit(f"({pattern})"), 1).alias("_matches"))
+    at = F.transform("_matches", lambda m, i: F.struct((F.aggregate(F.slice("_between", 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice("_matches", 1, i), F.lit(0), lambda n, x: n + F.length(x))).alias("start"), m.alias("match")))
+    return found.select(*key, "line", F.explode(at).alias("_m")).select(*key, "line", "_m.*")
+
+
 def in_comment(text: Column, position: Column) -> Column:
     """Whether a # stands before the position on its line."""
     before = F.call_function("left", text, position.cast("int"))
@@ -232,6 +246,26 @@ def color_channels(hex_color: Column) -> Column:
     return F.when(digits != "", F.struct(channel(1).alias("red"), channel(3).alias("green"), channel(5).alias("blue"), alpha.alias("alpha")))
 
 
+def hex_colors(rows: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(key, line, start, color, length): hex colours in a text, from 0."""
+    found = line_spans(rows, key, column, r"#(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{3})\b")
+    return found.select(*key, "line", "start", F.col("match").alias("color"), F.length("match").alias("length"))
+
+
+def named_colors(rows: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(key, line, start, name, color): names of colours that stand alone in quotes, whatever their case."""
+    found = line_spans(rows, key, column, r"""["'][A-Za-z]+["']""")
+    name = F.lower(F.expr("substring(match, 2, length(match) - 2)"))
+    known = found.select(*key, "line", (F.col("start") + 1).alias("start"), name.alias("name"))
+    return known.filter(F.col("name").isin(list(dimensions.NAMED_COLORS))).withColumn("color", lookup(F.col("name"), dimensions.NAMED_COLORS))
+
+
+def ansi_colors(rows: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(key, line, start, code): terminal colour sequences and the number of each one's last attribute."""
+    found = line_spans(rows, key, column, r"\x1b\[[0-9;]*m")
+    return found.select(*key, "line", "start", F.try_to_number(F.regexp_extract("match", r"(\d+)m$", 1), F.lit("999999")).cast("int").alias("code"))
+
+
 def terminal_color(n: Column) -> Column:
     """{red, green, blue} of a colour of the 256-colour palette: 16 basic ones, a cube of six levels, 24 greys."""
     cube, grey = n - 16, 8 + 10 * (n - 232)
@@ -281,6 +315,24 @@ def error_category(message: Column, source: Column) -> Column:
     return out
 
 
+def error_kind(source: Column, position: Column) -> Column:
+    """What a parse error at a place of a source is: unbalanced quotes first, then the text at the place, then its line."""
+    count = lambda of, c: F.length(of) - F.length(F.replace(of, F.lit(c), F.lit("")))
+    at = F.substring(source, position + 1, F.lit(10))
+    before, after = F.call_function("left", source, position), F.substring(source, position + 1, F.length(source))
+    line = F.concat(F.element_at(F.split(before, "\n"), -1), F.element_at(F.split(after, "\n"), 1))
+    bare = F.trim(line)
+    quoted = lambda q: F.startswith(at, F.lit(q)) & ~F.endswith(at, F.lit(q))
+    statement = reduce(lambda a, b: a | b, (F.contains(line, F.lit(w)) for w in ("my ", "our ", "local ", "print ", "say ", "return ")))
+    open_ended = (bare != "") & ~F.substring(bare, -1, 1).isin(";", "{", "}")
+    return (
+        F.when((count(source, '"') % 2 == 1) | (count(source, "'") % 2 == 1) | quoted('"') | quoted("'"), "UnclosedString")
+        .when(F.startswith(at, F.lit("/")) & (count(at, "/") == 1), "UnclosedRegex").when(open_ended & statement, "MissingSemicolon")
+        .when(count(line, "(") > count(line, ")"), "UnclosedParenthesis").when(count(line, "[") > count(line, "]"), "UnclosedBracket").when(count(line, "{") > count(line, "}"), "UnclosedBrace")
+        .when(position >= F.length(source) - 1, "UnexpectedEof").otherwise("InvalidSyntax")
+    )
+
+
 def display_time(nanoseconds: Column) -> Column:
     """Nanoseconds as text in the largest fitting unit."""
     return (

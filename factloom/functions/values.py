@@ -148,3 +148,22 @@ def matching_delimiter(text: str, at: int) -> tuple[int, int] | None:
             return (at, i) if step > 0 else (i, at)
         i += step
     return None
+
+
+def matching_pair(text: str, at: Column) -> Column:
+    """{opening, closing}: places of the delimiter at a place and of its match, or null."""
+
+    def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        found = [matching_delimiter(t or "", int(i)) for t, i in zip(texts, places, strict=True)]
+        return pd.DataFrame({"opening": pd.array([f and f[0] for f in found], "Int32"), "closing": pd.array([f and f[1] for f in found], "Int32")})
+
+    return F.pandas_udf(run, "opening int, closing int")(text, at)
+
+
+def shown_type(value: Column) -> Column:
+    """The type that a debugger shows for a value in JSON: its class, Array, Hash, Reference or Scalar."""
+    of = F.get_json_object(value, "$.class")
+    return (
+        F.when(F.startswith(value, F.lit("[")), "Array").when(of.isNotNull(), of).when(F.startswith(value, F.lit('{"reference"')), "Reference")
+        .when(F.startswith(value, F.lit("{")), "Hash").otherwise("Scalar")
+    )

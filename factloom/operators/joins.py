@@ -153,6 +153,11 @@ def diff(before: DataFrame, after: DataFrame, key: list[str], values: list[str])
     return b.join(a, key, "full_outer").withColumn("change", kind).drop("_a", "_b")
 
 
+def missing_keys(wanted: DataFrame, given: DataFrame, key: list[str]) -> DataFrame:
+    """Keys, each once, that are wanted and not given."""
+    return wanted.select(*key).distinct().join(given.select(*key).distinct(), key, "left_anti")
+
+
 def resolved_threshold(rows: DataFrame, named: DataFrame, categories: DataFrame, default: float) -> DataFrame:
     """rows(category, name) with the threshold of the name, else of the category, else the default."""
     by_name = named.select("name", F.col("threshold").alias("_name"))

@@ -23,9 +23,9 @@ def dependents(deps: DataFrame, target: Column, owner: str, item: str) -> DataFr
     return deps.filter(F.col(item) == target).select(owner).distinct()
 
 
-def package_members(symbols: DataFrame, package: str, container: str, qualified: str, separator: str = "::") -> DataFrame:
-    """Rows in a container, or whose qualified name starts with it; each once."""
-    return symbols.filter((F.col(container) == package) | F.startswith(F.col(qualified), F.lit(package + separator)))
+def package_members(symbols: DataFrame, package: str, container: str, qualified: str, prefix: str | None = None) -> DataFrame:
+    """Rows in a container, or whose qualified name starts with it (with `package::`, unless a prefix is given); each once."""
+    return symbols.filter((F.col(container) == package) | F.startswith(F.col(qualified), F.lit(f"{package}::" if prefix is None else prefix)))
 
 
 def first_definition(symbols: DataFrame, matches: Column, order: list[str], per: list[str] | None = None) -> DataFrame:

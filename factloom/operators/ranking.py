@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def greatest_kind(rows: DataFrame, location: list[str], kind: str) -> DataFrame:
     return rows.groupBy(*location).agg(F.max(kind).alias(kind))
 
 
+def all_of(*parts: DataFrame) -> DataFrame:
+    """All rows of several tables with the same columns, repeats included."""
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def import_rank(line: Column) -> Column:
     """0 for pragmas, 1 for plain modules, 2 for names with ::, 3 for local paths: by the text of the import."""
     has = lambda w: F.contains(line, F.lit(w))

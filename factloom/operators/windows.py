@@ -131,9 +131,9 @@ def storms(changes: DataFrame, by: list[str], order: str, delta: str, above: int
     return pending.withColumn("storm", F.coalesce(F.last(decides, ignorenulls=True).over(run), F.lit(False)))
 
 
-def refresh_times(requests: DataFrame, by: list[str], at: str, wait_ms: int = 350) -> DataFrame:
+def refresh_times(requests: DataFrame, by: list[str], at: str, wait_ms: int = 350, ties: list[str] | None = None) -> DataFrame:
     """Requests that a debounced refresh lets through: the first of each burst, a burst ending after a pause of wait_ms."""
-    order = Window.partitionBy(*by).orderBy(at)
+    order = Window.partitionBy(*by).orderBy(at, *(ties or []))
     pause = F.col(at) - F.lag(at).over(order)
     return requests.withColumn("_pause", pause).filter(F.col("_pause").isNull() | (F.col("_pause") >= wait_ms)).drop("_pause")
 

@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..extract import facts
 from ..functions import nested, text
 from ..operators import aggregates, joins, lookups, ranking, spans, windows
 from ..streaming import documents as document_state
+from .registry import QUERIES, SQL, Tables, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-class Tables:
-    """Tables of a folder, read when asked for."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["QUERIES", "SQL"]
 
 
 def two(column: F.Column | str) -> F.Column:
@@ -80,7 +57,7 @@ def symbol_search(t):
 
 @query("SELECT p_partkey, p_type FROM part WHERE p_brand = 'Brand#11' OR starts_with(p_type, 'STANDARD ')")
 def package_members(t):
-    return lookups.package_members(t.part, "STANDARD", "p_brand", "p_type", separator=" ").unionByName(t.part.filter("p_brand = 'Brand#11' and not startswith(p_type, 'STANDARD ')")).select("p_partkey", "p_type")
+    return lookups.package_members(t.part, "Brand#11", "p_brand", "p_type", prefix="STANDARD ").select("p_partkey", "p_type")
 
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey = 7")
@@ -228,10 +205,10 @@ def threshold_lookup(t):
     return joins.resolved_threshold(rows, named, categories, 1.0).select("n_nationkey", F.col("name").alias("n_name"), "threshold")
 
 
-@query("SELECT n_name, r_name FROM nation CROSS JOIN (SELECT r_name, r_regionkey FROM region) WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0")
+@query("SELECT n_name, r_name FROM nation CROSS JOIN (SELECT r_name, r_regionkey FROM region) WHERE n_regionkey = r_regionkey AND n_nationkey IN (SELECT s_nationkey FROM supplier)")
 def module_resolution(t):
     roots = t.region.select(F.col("r_name").alias("root"), F.col("r_regionkey").alias("priority"))
-    existing = t.nation.filter("n_nationkey % 2 = 0").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("r_name", F.lit("/"), F.regexp_replace("n_name", "::", "/"), F.lit(".pm")).alias("path"))
+    existing = t.nation.join(t.supplier.select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("r_name", F.lit("/"), F.regexp_replace("n_name", "::", "/"), F.lit(".pm")).alias("path"))
     found = joins.first_hit(t.nation, "n_name", roots, existing)
     return found.select("n_name", F.regexp_extract("path", "^([^/]*)/", 1).alias("r_name"))
 
@@ -393,9 +370,7 @@ def parse_storms(t):
 @query("SELECT user_id, event_id FROM (SELECT *, epoch_us(ts) // 1000 AS ms, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS p FROM events) WHERE p IS NULL OR ms - p >= 86400000")
 def debounced_refresh(t):
     rows = t.events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    order = Window.partitionBy("user_id").orderBy("ms", "event_id")
-    rows = rows.withColumn("ms", F.col("ms")).withColumn("_p", F.lag("ms").over(order))
-    return rows.filter("_p is null or ms - _p >= 86400000").select("user_id", "event_id")
+    return windows.refresh_times(rows, ["user_id"], "ms", 86_400_000, ["event_id"]).select("user_id", "event_id")
 
 
 # Ranking and sets
@@ -430,12 +405,12 @@ def capped_results(t):
 
 @query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def union_all(t):
-    return t.orders.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k")).unionByName(t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("k")))
+    return ranking.all_of(t.orders.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k")), t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("k")))
 
 
 @query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def except_keys(t):
-    return t.customer.select(F.col("c_custkey").alias("k")).exceptAll(t.orders.select(F.col("o_custkey").alias("k")).distinct()).distinct()
+    return joins.missing_keys(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query(f"WITH w AS ({ORDER_SPANS}) SELECT o_orderkey, least(s, 9000)::INT AS union_start, greatest(e, 9100)::INT AS union_end, CASE WHEN greatest(s, 9000) < least(e, 9100) THEN greatest(s, 9000)::INT END AS both_start, (s < 9100 AND 9000 < e) AS overlaps FROM w")
@@ -451,8 +426,7 @@ def span_algebra(t):
 
 @query("SELECT page_id, i::INT AS line, unnest(regexp_extract_all(l, 'href=\"([^\"]*)\"', 1)) AS link FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS l, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS i FROM pages)")
 def line_scan(t):
-    lines = t.pages.select("page_id", F.posexplode(F.split("html", "\n")).alias("line", "l"))
-    return lines.select("page_id", "line", F.explode(F.regexp_extract_all("l", F.lit('href="([^"]*)"'), 1)).alias("link"))
+    return text.line_matches(t.pages, ["page_id"], "html", r'href="([^"]*)"').select("page_id", "line", F.col("match").alias("link"))
 
 
 @query("SELECT event_id, 'k' AS name, (props->>'$.k')::DOUBLE AS value FROM events WHERE (props->>'$.k') IS NOT NULL")
@@ -524,18 +498,4 @@ def doc_state(t):
     return document_state.latest_documents(events).select("uri", "version", "applied", "stale")
 
 
-FIXTURE = [
-    ("lib/Shop.pm", "package Shop;\nuse strict;\nuse parent 'Base';\nsub price { my ($self, $n) = @_; return round($n * 2) }\nsub idle { 1 }\n"),
-    ("bin/run.pl", "use Shop;\nmy $total = 0;\nfor my $x (1 .. 3) { $total += Shop->price($x) }\nprint $total;\n"),
-]
-
-
-@query()
-def extract_facts(t):
-    return facts.extract_facts(t.spark.createDataFrame(FIXTURE, "uri string, text string"))
-
-
-@query()
-def unused_subs_of_fixture(t):
-    rows = facts.extract_facts(t.spark.createDataFrame(FIXTURE, "uri string, text string"))
-    return joins.dead_code(facts.symbols(rows), facts.refs(rows)).select("uri", "name", "kind", "code")
+from . import code_queries, column_queries, editor_queries  # noqa: E402, F401  (they register their queries)
