@@ -58,7 +58,10 @@ def inverted_index(df: DataFrame, tag: str, item: str) -> DataFrame:
 
 
 def repeated(df: DataFrame, key: list[str]) -> DataFrame:
-    return df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    """Keys of several rows, with their number; keys, which may be long, are shuffled only if their hash repeats."""
+    rows = df.select(*key, F.xxhash64(*key).alias("_h"))
+    twice = rows.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
+    return rows.join(twice, "_h", "left_semi").groupBy("_h", *key).agg(F.count("*").alias("n")).filter("n > 1").drop("_h")
 
 
 def trend(history: DataFrame, at: str, value: str) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 EDITS = "uri string, start int, end int, new_text string"
 
 
@@ -93,18 +96,32 @@ def inline_variable(files: DataFrame, name: str) -> DataFrame:
     return files.filter(F.contains("text", F.lit(name))).select("uri", "text").mapInPandas(run, EDITS)
 
 
-# Patterns of old code, what to write instead, and whether a person must look at it.
+#: Old constructs: a pattern, what to write instead, and whether a person must look at it.
 MODERN = [
-    ("open(FH", "open(my $fh", False), ("open(FILE", "open(my $fh", False), ("defined @", "@", False), ("defined %", "%", False),
-    ("print \"Hello\\n\"", "say \"Hello\"", False), ("eval \"", "eval {", True),
+    (r"\bopen\s+[A-Z]+\b", "open my $fh", False),
+    (r"\bopen\s*\(\s*[A-Z]+\s*,\s*('[^']*')\s*\)", "open(my $fh, '<', $1)", False),
+    (r"\bdefined\s*\(?\s*(@\w+)\)?", "$1", False),
+    (r"\bnew\s+([A-Z]\w*)\(", "$1->new(", False),
+    (r"\beach\s+@(\w+)", "0..$#$1", False),
+    (r"\beval\s+\"", "eval {", True),
+    (r"\bprint\s+\"([^\"\\]*)\\n\"", 'say "$1"', False),
 ]
 
 
 def modernisations(files: DataFrame) -> DataFrame:
-    """(uri, old, new, manual, place): old constructs that a file holds."""
-    rules = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new"), F.lit(m).alias("manual")) for a, b, m in MODERN])
-    rows = files.select("uri", "text", F.explode(rules).alias("_r")).select("uri", "_r.*", F.expr("instr(text, _r.old)").alias("place"))
-    return rows.filter("place > 0")
+    """(uri, line, start, old, new, manual): every old construct of each file, lines and characters from 0."""
+    each = [text.line_spans(files, ["uri"], "text", p).select("uri", "line", "start", F.col("match").alias("old"), F.regexp_replace("match", p, _java(new)).alias("new"), F.lit(m).alias("manual")) for p, new, m in MODERN]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def modernised(source: Column) -> Column:
+    """A text with the old constructs replaced that need nobody's look."""
+    return reduce(lambda out, rule: out if rule[2] else F.regexp_replace(out, rule[0], _java(rule[1])), MODERN, source)
+
+
+def _java(new: str) -> str:
+    """A replacement in which only $1 stands for a group."""
+    return re.sub(r"\$(?!1)", r"\\$", new)
 
 
 def fixes_for(diagnostics: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rounds
+
 
 def references(keys: DataFrame, refs: DataFrame, key: str, location: list[str]) -> DataFrame:
     """References of the keys, each location once."""
@@ -37,24 +39,39 @@ def usage_counts(refs: DataFrame, key: str, location: list[str]) -> DataFrame:
     return refs.groupBy(key).agg(F.count_distinct(*location).alias("usages"))
 
 
-def scope_ancestors(scopes: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(uri, id, ancestor, depth): each scope with itself (depth 0) and all scopes around it.
+#: More doublings than any chain of scopes has; only a cycle gets there.
+MOST_DOUBLINGS = 40
+
 
-    Pointer doubling: each round joins the pairs with themselves, so a chain of
-    length n takes log2(n) joins.
+def scope_ancestors(scopes: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(uri, id, ancestor, depth): each scope with itself (depth 0) and all scopes around it, or those within most_depth.
+
+    Pointer doubling: each round joins the longest pairs with all, so a chain
+    of length n takes log2(n) rounds, and each round's pairs are written before
+    the next. Rounds end when one finds nothing; a cycle raises an error.
     """
     pairs = scopes.select("uri", "id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     links = scopes.filter("parent is not null").select("uri", "id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    reach = 1
-    while reach < most_depth:
+    for doubling in range(MOST_DOUBLINGS):
+        reach = 1 << doubling
+        if most_depth is not None and reach >= most_depth:
+            break
         next_ = links.select("uri", F.col("id").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
-        farther = links.filter(F.col("depth") == reach).join(next_, ["uri", "ancestor"]).select("uri", "id", F.col("_far").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        farther = rounds.cut(links.filter(F.col("depth") == reach).join(next_, ["uri", "ancestor"]).select("uri", "id", F.col("_far").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth")))
+        if farther.isEmpty():
+            break
+        if not farther.filter("id = ancestor").isEmpty():
+            raise ValueError("scopes lie around themselves")
         links = links.union(farther)
-        reach *= 2
-    return pairs.union(links)
+    found = pairs.union(links)
+    return found if most_depth is None else found.filter(F.col("depth") <= most_depth)
+
 
+#: The depth of what is seen whatever scope it is in: farther than any other.
+OUTERMOST = 1 << 30
 
-def resolve_in_scopes(lookups: DataFrame, symbols: DataFrame, scopes: DataFrame, most_depth: int = 64) -> DataFrame:
+
+def resolve_in_scopes(lookups: DataFrame, symbols: DataFrame, scopes: DataFrame, most_depth: int | None = None) -> DataFrame:
     """Symbols that lookups(uri, name, kind, scope_id) see, nearest scope first; `our` symbols are seen from scopes that are not packages.
 
     Symbols of the outermost scope, 0, are seen everywhere.
@@ -65,11 +82,11 @@ def resolve_in_scopes(lookups: DataFrame, symbols: DataFrame, scopes: DataFrame,
     direct = seen.join(own, ["uri", "name", "kind", "ancestor"])
     ours = own.filter("declaration = 'our'").drop("ancestor")
     around = scopes.filter("kind != 'Package'").select("uri", F.col("id").alias("scope_id"))
-    shared = lookups.join(around, ["uri", "scope_id"], "left_semi").join(ours, ["uri", "name", "kind"]).withColumns({"ancestor": F.lit(None).cast("int"), "depth": F.lit(most_depth)})
+    shared = lookups.join(around, ["uri", "scope_id"], "left_semi").join(ours, ["uri", "name", "kind"]).withColumns({"ancestor": F.lit(None).cast("int"), "depth": F.lit(OUTERMOST)})
     return direct.unionByName(shared.select(*direct.columns))
 
 
-def visible(symbols: DataFrame, uses: DataFrame, scopes: DataFrame, most_depth: int = 64) -> DataFrame:
+def visible(symbols: DataFrame, uses: DataFrame, scopes: DataFrame, most_depth: int | None = None) -> DataFrame:
     """uses(uri, scope_id, ...) paired with the symbols of their scope, of a scope around it, or of scope 0."""
     chain = scope_ancestors(scopes, most_depth).select("uri", F.col("id").alias("scope_id"), F.col("ancestor").alias("_at"))
     everywhere = uses.select("uri", "scope_id").distinct().withColumn("_at", F.lit(0))
@@ -106,14 +123,16 @@ def containing(points: DataFrame, spans: DataFrame, position: str, start: str, e
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: list[tuple[str, str]], width: int) -> DataFrame:
-    """Pairs of half-open spans that overlap, each once: in the cell where the later of them starts."""
-    cell = lambda c: F.floor(F.col(c) / width)
-    a = left.withColumn("_cell", F.explode(F.sequence(cell(left_span[0]), cell(left_span[1]))))
-    b = right.withColumn("_other", F.explode(F.sequence(cell(right_span[0]), cell(right_span[1]))))
-    keys = reduce(lambda x, y: x & y, [F.col(p) == F.col(q) for p, q in by], F.col("_cell") == F.col("_other"))
+    """Pairs of half-open spans that overlap, each once.
+
+    Of two spans that overlap, one holds the start of the other: two range
+    joins, in each of which only the holding side is dealt to its cells.
+    """
     meet = (F.col(left_span[0]) < F.col(right_span[1])) & (F.col(right_span[0]) < F.col(left_span[1]))
-    once = F.col("_cell") == F.greatest(cell(left_span[0]), cell(right_span[0]))
-    return a.join(b, keys & meet & once).drop("_cell", "_other")
+    later = containing(right, left, right_span[0], *left_span, [(b, a) for a, b in by], width, inclusive_end=False)
+    earlier = containing(left, right, left_span[0], *right_span, by, width, inclusive_end=False).filter(F.col(left_span[0]) > F.col(right_span[0]))
+    columns = [*left.columns, *right.columns]
+    return later.filter(meet).select(*columns).unionByName(earlier.filter(meet).select(*columns))
 
 
 def subtypes(edges: DataFrame, parents: DataFrame, child: str, parent: str, key: str) -> DataFrame:
@@ -190,7 +209,7 @@ def dead_code(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return idle.withColumn("code", code)
 
 
-def redeclarations(variables: DataFrame, scopes: DataFrame, most_depth: int = 64) -> DataFrame:
+def redeclarations(variables: DataFrame, scopes: DataFrame, most_depth: int | None = None) -> DataFrame:
     """variables(uri, name, scope_id, sb) that repeat a name of their scope ("redeclared") or of one around it ("shadows")."""
     first = Window.partitionBy("uri", "scope_id", "name").orderBy("sb")
     ranked = variables.withColumn("_n", F.row_number().over(first))

@@ -81,6 +81,12 @@ def selection_chain(nodes: DataFrame, position: int, start: str = "sb", end: str
     return nodes.filter((F.col(start) <= position) & (F.lit(position) < F.col(end))).orderBy(F.desc(depth))
 
 
+def chains_at(nodes: DataFrame, points: DataFrame, by: str, at: str, start: str = "sb", end: str = "eb", depth: str = "depth") -> DataFrame:
+    """selection_chain for points(by, at) of many files: the nodes around each, numbered by `up` from the deepest; an equi join on the file."""
+    inside = points.join(nodes, by).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
+    return inside.withColumn("up", F.row_number().over(Window.partitionBy(by, at).orderBy(F.desc(depth))) - 1)
+
+
 def with_any_tag(rows: DataFrame, tags: list[str], column: str = "tags") -> DataFrame:
     """Rows with any of the tags; no tags, all rows."""
     return rows if not tags else rows.filter(F.arrays_overlap(column, F.array(*map(F.lit, tags))))

@@ -58,7 +58,10 @@ def capped(rows: DataFrame, order: list, most: int) -> DataFrame:
 
 
 def evict(entries: DataFrame, most_items: int, most_bytes: int) -> DataFrame:
-    """What a bounded cache holds: the most recently used entries within the number of items and bytes."""
-    recent = Window.orderBy(F.desc("used_at"), "key")
-    kept = entries.withColumn("_n", F.row_number().over(recent)).withColumn("_bytes", F.sum("bytes").over(recent.rowsBetween(Window.unboundedPreceding, 0)))
-    return kept.filter((F.col("_n") <= most_items) & (F.col("_bytes") <= most_bytes)).drop("_n", "_bytes")
+    """What a bounded cache holds: the most recently used entries within the number of items and bytes.
+
+    Only the most_items last used can be held, so bytes are summed over those.
+    """
+    recent = Window.orderBy(F.desc("used_at"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    last = entries.orderBy(F.desc("used_at"), "key").limit(most_items)
+    return last.withColumn("_bytes", F.sum("bytes").over(recent)).filter(F.col("_bytes") <= most_bytes).drop("_bytes")

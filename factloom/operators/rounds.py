@@ -1,0 +1,22 @@
+"""Cutting the lineage of what is computed in rounds."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder that the cluster shares and read back from there.
+
+    The folder is that of spark.checkpoint.dir; where it is unset, a temporary
+    one serves a local[...] session, and a cluster without it is refused.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
+    return df.checkpoint()

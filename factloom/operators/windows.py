@@ -31,21 +31,25 @@ def modifier_bits(names: Column, legend: list[str]) -> Column:
 def remove_overlaps(tokens: DataFrame, by: list[str], line: str, start: str, length: str) -> DataFrame:
     """Left to right over each line: a token that overlaps the last kept one replaces it if strictly longer, else goes.
 
-    A fold over each line's tokens, so groups are lines, not files.
+    A token that begins after all earlier ones end is kept whatever came
+    before, so lines are cut there, and only tokens that overlap in a row are
+    folded together.
     """
     others = [c for c in tokens.columns if c not in (*by, line, start, length)]
+    order = Window.partitionBy(*by, line).orderBy(start, length, *others)
+    farthest = F.max(F.col(start) + F.col(length)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(farthest.isNull() | (F.col(start) >= farthest), 1).otherwise(0)
     item = F.struct(F.col(start).alias("s"), F.col(length).alias("n"), *others)
-    lines = tokens.groupBy(*by, line).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    cut = tokens.withColumn("_begins", begins).withColumn("_part", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut.groupBy(*by, line, "_part").agg(F.sort_array(F.collect_list(item)).alias("_all"))
 
     def step(kept: Column, t: Column) -> Column:
         last = F.element_at(kept, -1)
-        overlaps = (F.size(kept) > 0) & (t["s"] < last["s"] + last["n"])
         replaced = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(t))
-        return F.when(~overlaps, F.concat(kept, F.array(t))).when(t["n"] > last["n"], replaced).otherwise(kept)
+        return F.when(t["s"] >= last["s"] + last["n"], F.concat(kept, F.array(t))).when(t["n"] > last["n"], replaced).otherwise(kept)
 
-    first = F.slice("_all", 1, 1)
-    folded = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), first, step)
-    rows = lines.withColumn("_t", F.explode(folded))
+    folded = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), step)
+    rows = parts.withColumn("_t", F.explode(folded))
     return rows.select(*by, line, F.col("_t.s").alias(start), F.col("_t.n").alias(length), *[F.col(f"_t.{c}").alias(c) for c in others])
 
 

@@ -65,7 +65,8 @@ def merge_files(spark: SparkSession, changes: DataFrame, path: str, checkpoint:
     """A sink for created, changed and deleted files: each batch replaces the rows of its uris in a Parquet table.
 
     The table is rewritten beside itself and then takes the next number, so a
-    batch that fails leaves the last state readable.
+    batch that fails leaves the last state readable; states before the last two
+    are deleted.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -79,6 +80,8 @@ def merge_files(spark: SparkSession, changes: DataFrame, path: str, checkpoint:
             old = spark.read.parquet(f"{path}/{last[-1]}")
             state = old.join(newest.select("uri"), "uri", "left_anti").unionByName(state)
         state.write.mode("overwrite").parquet(f"{path}/{number}")
+        for gone in last[:-1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{gone}"), True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
