@@ -148,7 +148,7 @@ def trivia(tokens: DataFrame) -> DataFrame:
 
 def before_data(files: DataFrame, tokens: DataFrame) -> DataFrame:
     """(uri, text) of files(uri, text) before a data marker; markers in strings and comments are no tokens and do not count."""
-    ends = tokens.filter("kind = 'word' and text in ('__END__', '__DATA__')").groupBy("uri").agg(F.min("sb").alias("_end"))
+    ends = tokens.filter("kind = 'marker'").groupBy("uri").agg(F.min("sb").alias("_end"))
     cut = F.decode(F.call_function("left", F.encode("text", "UTF-8"), F.col("_end")), "UTF-8")
     return files.join(ends, "uri", "left").select("uri", F.when(F.col("_end").isNull(), F.col("text")).otherwise(cut).alias("text"))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, values
 
 EDITS = "uri string, start int, end int, new_text string"
 
@@ -100,7 +100,7 @@ def inline_variable(files: DataFrame, name: str) -> DataFrame:
 MODERN = [
     (r"\bopen\s+[A-Z]+\b", "open my $fh", False),
     (r"\bopen\s*\(\s*[A-Z]+\s*,\s*('[^']*')\s*\)", "open(my $fh, '<', $1)", False),
-    (r"\bdefined\s*\(?\s*(@\w+)\)?", "$1", False),
+    (r"\bdefined\s*(?:\(\s*(@\w+)\s*\)|(@\w+))", "$1$2", False),
     (r"\bnew\s+([A-Z]\w*)\(", "$1->new(", False),
     (r"\beach\s+@(\w+)", "0..$#$1", False),
     (r"\beval\s+\"", "eval {", True),
@@ -120,8 +120,8 @@ def modernised(source: Column) -> Column:
 
 
 def _java(new: str) -> str:
-    """A replacement in which only $1 stands for a group."""
-    return re.sub(r"\$(?!1)", r"\\$", new)
+    """A replacement in which only $1 and $2 stand for groups."""
+    return re.sub(r"\$(?![12])", r"\\$", new)
 
 
 def fixes_for(diagnostics: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -142,3 +142,9 @@ def parameter_hints(calls: DataFrame, builtins: DataFrame) -> DataFrame:
     """calls(uri, name, args) with the parameter name of each argument."""
     args = calls.select("uri", "name", F.posexplode("args").alias("place", "argument"))
     return args.join(F.broadcast(builtins), "name").withColumn("parameter", F.get("parameters", F.col("place"))).filter("parameter is not null").drop("parameters")
+
+
+def edits_of_changes(changes: DataFrame) -> DataFrame:
+    """changes(text, sl, sc, el, ec, new_text) of a document as byte edits: start, old_end and new_end; columns count UTF-16 units."""
+    placed = changes.withColumns({"start": values.byte_offset("text", "sl", "sc"), "old_end": values.byte_offset("text", "el", "ec")})
+    return placed.withColumn("new_end", F.col("start") + F.octet_length("new_text"))

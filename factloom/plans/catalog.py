@@ -317,7 +317,12 @@ def delta_encode(t):
     return windows.delta_encode(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").distinct(), ["l_orderkey"], "l_linenumber", "l_partkey")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT user_id, dayofyear(ts)::INT AS line, (hour(ts) * 60 + minute(ts))::INT AS start, event_id % 90 + 1 AS length, event_type, event_id FROM events),
+ n AS (SELECT *, row_number() OVER (PARTITION BY user_id, line ORDER BY start, length, event_type, event_id) AS i FROM t),
+ f AS (SELECT user_id, line, i, 1 AS g, event_id AS kept, start AS s, length AS n FROM n WHERE i = 1
+ UNION ALL SELECT n.user_id, n.line, n.i, f.g + CASE WHEN n.start >= f.s + f.n THEN 1 ELSE 0 END, CASE WHEN n.start >= f.s + f.n OR n.length > f.n THEN n.event_id ELSE f.kept END,
+ CASE WHEN n.start >= f.s + f.n OR n.length > f.n THEN n.start ELSE f.s END, CASE WHEN n.start >= f.s + f.n OR n.length > f.n THEN n.length ELSE f.n END FROM f JOIN n ON n.user_id = f.user_id AND n.line = f.line AND n.i = f.i + 1),
+ k AS (SELECT user_id, line, max_by(kept, i) AS event_id FROM f GROUP BY user_id, line, g) SELECT t.* FROM t JOIN k USING (user_id, line, event_id)""")
 def overlap_removal(t):
     tokens = t.events.select("user_id", F.dayofyear("ts").alias("line"), (F.hour("ts") * 60 + F.minute("ts")).alias("start"), (F.col("event_id") % 90 + 1).alias("length"), "event_type", "event_id")
     return windows.remove_overlaps(tokens, ["user_id"], "line", "start", "length")

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -24,11 +24,37 @@ def file_sizes(spark: SparkSession, layers: dict[str, str]) -> DataFrame:
     out = None
     for layer, root in layers.items():
         rows = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-        rows = rows.select(F.lit(layer).alias("layer"), F.col("_metadata.file_path").alias("path"), F.octet_length("value").alias("bytes"), (t.newlines(F.col("value")) + 1).alias("lines"))
+        rows = sizes_of(rows.select(F.lit(layer).alias("layer"), F.col("_metadata.file_path").alias("path"), "value"), ["layer", "path"])
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def sizes_of(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, bytes, lines) of the texts in the column value."""
+    return rows.select(*key, F.octet_length("value").alias("bytes"), (t.newlines(F.col("value")) + 1).alias("lines"))
+
+
+def paths_of(listings: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(key, path) of listings whose paths are separated by NUL, as version control prints them; what tools keep is left out."""
+    rows = listings.select(*key, F.explode(F.split(column, "\\x00")).alias("path"))
+    return rows.filter(t.is_source_file(F.col("path")) & ~t.is_skipped_folder(F.col("path")))
+
+
+FEATURES = "file string, id string, area string, maturity string, advertised boolean, tests array<string>"
+
+
+def features_of(files: DataFrame) -> DataFrame:
+    """Features of TOML catalogues(file, text)."""
+    import tomllib
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f, x.get("id"), x.get("area"), x.get("maturity"), x.get("advertised", False), x.get("tests", [])) for f, text in zip(batch["file"], batch["text"], strict=True) for x in tomllib.loads(text).get("feature", [])]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")])
+
+    return files.select("file", "text").mapInPandas(run, FEATURES)
+
+
 SECTIONS = "file string, id string, title string, tags array<string>, flags array<string>, perl string, body string, line int"
 FENCE = re.compile(r"^=+[ \t]*$", re.MULTILINE)
 FIELD = re.compile(r"^#\s*@(id|tags|flags|perl):\s*(.*)$", re.MULTILINE)
@@ -56,14 +82,18 @@ def parse_sections(file: str, text: str) -> Iterator[tuple]:
 def corpus_sections(spark: SparkSession, root: str) -> DataFrame:
     """Sections of all texts below a folder, but of files that begin with _ or a dot."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).filter(~F.col("file").rlike(r"/[_.][^/]*$"))
+    return sections_of(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).filter(~F.col("file").rlike(r"/[_.][^/]*$")))
+
+
+def sections_of(files: DataFrame) -> DataFrame:
+    """Sections of files(file, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [s for f, x in zip(batch["file"], batch["text"], strict=True) for s in parse_sections(f, x)]
             yield pd.DataFrame(found, columns=[x.split()[0] for x in SECTIONS.split(", ")])
 
-    return rows.mapInPandas(run, SECTIONS)
+    return files.select("file", "text").mapInPandas(run, SECTIONS)
 
 
 def lint_sections(sections: DataFrame, known_tags: list[str], most_per_file: int = 12) -> DataFrame:
@@ -103,12 +133,22 @@ def unframe(data: bytes) -> Iterator[tuple]:
 
 def framed_messages(spark: SparkSession, path: str) -> DataFrame:
     """Messages of files of framed JSON."""
+    return messages_of(spark.read.format("binaryFile").load(path))
+
+
+def framed(body: Column) -> Column:
+    """A message with its header."""
+    return F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
+
+
+def messages_of(files: DataFrame) -> DataFrame:
+    """Messages in the binary column content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([m for data in batch["content"] for m in unframe(data)], columns=["id", "method", "params", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, MESSAGES)
+    return files.select("content").mapInPandas(run, MESSAGES)
 
 
 RECEIPT = "struct<gates: array<struct<name: string, status: string, duration_ms: bigint, metrics: map<string, double>>>>"
@@ -116,8 +156,12 @@ RECEIPT = "struct<gates: array<struct<name: string, status: string, duration_ms:
 
 def receipts(spark: SparkSession, path: str) -> DataFrame:
     """(receipt, name, status, duration_ms, metrics): gate results of JSON receipts."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("receipt"), F.from_json("value", RECEIPT).alias("_r"))
-    return whole.select("receipt", F.explode("_r.gates").alias("_g")).select("receipt", "_g.*")
+    return gates_of(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("receipt"), F.col("value").alias("text")))
+
+
+def gates_of(receipts_: DataFrame) -> DataFrame:
+    """The gates of JSON receipts(receipt, text)."""
+    return receipts_.select("receipt", F.explode(F.from_json("text", RECEIPT)["gates"]).alias("_g")).select("receipt", "_g.*")
 
 
 def write_receipt(gates: DataFrame, path: str) -> None:
