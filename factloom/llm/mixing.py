@@ -3,47 +3,56 @@
 Every source is a queue of shuffled documents that may be served several
 times over. A document's virtual finish time is the number of its source's
 words up to its end, divided by the source's target. Documents are served in
-the order of that time, and service ends at virtual time 1, when the whole
-budget (the sum of all targets) is spent. A document that is being served then
-is cut after the word it has reached, so every source gets its target to
-within a word.
+the order of that time, which is a global range sort, and the mix is truncated
+at virtual time 1. All sources reach their targets then, so that is where the
+total budget (the sum of all targets) is spent. A document that is being
+served then is cut after the word it has reached, so every source gets its
+target to within a word.
+
+Targets are computed where the sources are: weights go by rank, capped sources
+are a prefix of those in the order of size by weight, and what is left is
+shared among the others, all by running sums over one row a source.
 
 Defined results: null text has size 0 and is never taken; null source is a
 source of its own, which sorts last; a source without words has target 0;
-repeated rows are documents of their own; an empty table gives an empty
-result. Columns other than doc_id, text and source are ignored.
+documents without words are in no mix; repeated rows are documents of their
+own; an empty table gives an empty result. Columns other than doc_id, text and
+source are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from . import shared
 
-#: Most sources that targets are computed for; their totals (not their rows) come to the driver.
-MOST_SOURCES = 1_000_000
 #: Rows that one bucket of the shuffled order holds on average.
 BUCKET_ROWS = 2_000
 
 
-def fill_targets(sizes: list[int], weights: list[float], budget: float, repeats: float) -> list[float]:
-    """Shares of the budget by weight; none above `repeats` times its size, the excess reshared among the others."""
-    target, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(budget)
-    while open_:
-        per_weight = left / sum(weights[i] for i in sorted(open_))
-        full = [i for i in sorted(open_) if weights[i] * per_weight > repeats * sizes[i]]
-        for i in full or sorted(open_):
-            target[i] = repeats * sizes[i] if full else weights[i] * per_weight
-            left -= target[i] if full else 0
-        if not full:
-            break
-        open_ -= set(full)
-    return target
+def targets(sizes: DataFrame, weights: tuple[float, ...], budget_share: float, repeats: int) -> DataFrame:
+    """sizes(_key, source_size) with target: shares of the budget by weight, none above `repeats` times its size, the excess reshared.
+
+    In the order of size by weight, a source is capped if its share of what the
+    capped ones before it leave is more than its cap; the first that is not
+    sets the share by weight of all from it on.
+    """
+    rank = F.row_number().over(Window.orderBy(F.col("_key") == "n", "_key")) - 1
+    cyclic = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = sizes.withColumn("_weight", F.get(cyclic, (rank % len(weights)).cast("int"))).withColumn("_cap", repeats * F.col("source_size").cast("double"))
+    order = Window.orderBy(F.col("_cap") / F.col("_weight"), "_key")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = budget_share * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(earlier), F.lit(0.0))
+    share = left / (F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(earlier), F.lit(0.0)))
+    shares = weighed.withColumn("_share", share).withColumn("_place", F.row_number().over(order))
+    open_ = F.when(F.col("_cap") >= F.col("_weight") * F.col("_share"), F.struct("_place", "_share"))
+    shares = shares.withColumn("_first", F.min(open_).over(whole))
+    capped = F.col("_first").isNull() | (F.col("_place") < F.col("_first._place"))
+    return shares.select("_key", "source_size", F.when(capped, F.col("_cap")).otherwise(F.col("_weight") * F.col("_first._share")).alias("target"))
 
 
 def source_key() -> F.Column:
@@ -62,15 +71,10 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget_sha
         docs.select((F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), "doc_id", "source", source_key().alias("_key"), shared.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_shuffle")),
         "mix-sizes",
     )
-    totals = [tuple(r) for r in sized.groupBy("_key").agg(F.sum("size"), F.count("*")).limit(MOST_SOURCES + 1).collect()]
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals.sort(key=lambda r: (r[0] == "n", r[0]))
-    sizes = [r[1] for r in totals]
-    targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], budget_share * sum(sizes), repeats)
-    schema = StructType([StructField("_key", StringType()), StructField("source_size", LongType()), StructField("target", DoubleType())])
-    sources = docs.sparkSession.createDataFrame([(r[0], r[1], float(t)) for r, t in zip(totals, targets, strict=True)], schema)
-    bits = max(0, math.ceil(math.log2(max(1, sum(r[2] for r in totals)) / BUCKET_ROWS)))
+    totals = shared.staged(sized.groupBy("_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "mix-totals")
+    sources = targets(totals, weights, budget_share, repeats)
+    rows = totals.agg(F.sum("_rows")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))
     bucket = F.shiftrightunsigned("_shuffle", 64 - bits) if bits else F.lit(0)
     rows = sized.withColumn("_bucket", bucket.cast("long"))
     rows = shared.running_total(rows, ["_key"], "_bucket", [F.col("_shuffle"), F.col("doc_id"), F.col("row_id")], "size", "_before")

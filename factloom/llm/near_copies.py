@@ -1,15 +1,23 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are texts that share a band of min-hashes or whose SimHash
-fingerprints differ in few bits. At a similarity of 0.8 the fingerprints
-differ in ten bits of 64 on average, so they alone would find few; ROWS
-min-hashes in BANDS bands miss a pair of that similarity with probability
-3e-5, and more similar ones less often. The candidates' components are
-compared within, pair by pair, by their exact similarity, so no two texts are
-linked for anything else. Components of the confirmed links are the groups.
+Candidates meet in cells: a cell for each value of a band of min-hashes, and
+one for each component of SimHash fingerprints. At a similarity of 0.8 the
+fingerprints differ in ten bits of 64 on average, so they alone would find few;
+ROWS min-hashes in BANDS bands miss a pair of that similarity with probability
+3e-5, and more similar ones less often.
 
-Components of candidates are dealt into parts of about PART_BYTES bytes, and
-each two parts meet in one group, so a large one is never held at once.
+Links are confirmed by exact similarity, in two steps, so that a large group
+costs what its size does and not what its pairs do:
+
+1. Every text is compared with the first of each of its cells. Components of
+   the links that are confirmed come next.
+2. Where a cell holds texts of several components still, those outside the
+   cell's largest component are compared with all of the cell that are in other
+   components than their own. A cell whose texts are in one component is done:
+   further links in it change nothing.
+
+So no link between different components of a cell is left out. Components of
+all links are the groups.
 
 Defined results: words are those of SimHash; texts with the same words in the
 same order are one text; texts without words are copies of each other; texts
@@ -27,14 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import shared
-from .simhash import components, fingerprint, forest
-from .simhash import links as fingerprint_links
+from .simhash import components, fingerprint, grouped
 
 WORDS, BANDS, ROWS = 5, 20, 4
 #: Least similarity of near copies, as a fraction: 4 of 5 shingles.
 SHARED, OF = 4, 5
-#: Bytes of text in a part of a component, and shingles that are min-hashed at once.
-PART_BYTES, CHUNK = 1 << 21, 1 << 10
+#: Shingles that are min-hashed at once.
+CHUNK = 1 << 10
 
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 63, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
 _FLIPS, _FACTORS = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
@@ -63,67 +70,65 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mixed.sum(axis=1, dtype=np.uint64) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
 
 
-def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between sets of shingles: places of children and of their roots."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    holders = owner[order]
-    edge = np.concatenate([[0], np.cumsum(np.bincount(number))])
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    left, right = [], []
-    for i in range(n):
-        own = number[start[i] : start[i + 1]]
-        counts = np.zeros(n, dtype=np.int64)
-        # Bounded: so many shingles at a time that their holders are at most about a million.
-        step = max(1, (1 << 20) // n)
-        for k in range(0, len(own), step):
-            begin, size = edge[own[k : k + step]], edge[own[k : k + step] + 1] - edge[own[k : k + step]]
-            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-            counts += np.bincount(holders[at], minlength=n)
-        near = np.flatnonzero(OF * counts >= SHARED * (sizes[i] + sizes - counts))
-        near = near[near > i]
-        left.append(np.full(len(near), i))
-        right.append(near)
-    a, b = np.concatenate(left), np.concatenate(right)
-    label = forest(n, a, b) if len(a) else np.arange(n)
-    child = np.flatnonzero(label != np.arange(n))
-    return child, label[child]
-
-
-def _confirm(group: pa.Table) -> pa.Table:
-    keys = group.column("key").to_numpy()
-    child, root = similar([shingles(words(t.as_py())) for t in group.column("text")])
-    return pa.table({"a": pa.array(keys[child], pa.int64()), "b": pa.array(keys[root], pa.int64())})
-
-
-def _stars(cells: DataFrame, cell: str, key: str) -> DataFrame:
-    """(a, b): each key of a cell with the cell's smallest one."""
-    hubs = cells.groupBy(cell).agg(F.min(key).alias("b"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return cells.join(hubs, cell).select(F.col(key).alias("a"), "b").filter("a != b")
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have the least similarity."""
+    if SHARED * max(len(a), len(b)) > OF * min(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * both >= SHARED * (len(a) + len(b) - both)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose texts(key, text) are alike. Many may have the same b, whose shingles are made once in a row."""
+    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            keep = []
+            for i, key in enumerate(b):
+                if key not in held:
+                    if len(held) >= 64:
+                        held.clear()
+                    held[key] = shingles(words(batch.column("right")[i].as_py()))
+                keep.append(alike(shingles(words(batch.column("left")[i].as_py())), held[key]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).filter(pa.array(keep, pa.bool_())) for c in (a, b)], ["a", "b"])
+
+    return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+
+
+def first_of_cells(cells: DataFrame) -> DataFrame:
+    """(a, b): each text of a cell with the cell's smallest one."""
+    hubs = shared.staged(cells.groupBy("cell").agg(F.min("key").alias("b"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "near-hubs")
+    return cells.join(hubs, "cell").select(F.col("key").alias("a"), "b").filter("a != b").distinct()
+
+
+def undecided(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): texts outside the largest component of a cell, with those of the cell in other components."""
+    named = cells.join(roots.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", F.coalesce("root", "key").alias("root"))
+    sizes = named.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("cell").agg(F.count("*").alias("_roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("_roots > 1").drop("_roots")
+    left = shared.staged(named.join(shared.staged(mixed, "near-mixed"), "cell"), "near-undecided")
+    outside = left.filter("root != main").select("cell", F.col("key").alias("a"), F.col("root").alias("_root"))
+    met = outside.join(left.select("cell", F.col("key").alias("b"), "root", "main"), "cell").filter("_root != root")
+    # Of two outside the largest component, one pair is enough.
+    return met.filter((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def links(texts: DataFrame) -> DataFrame:
-    """(a, b): forests of near copies among the distinct texts(key, fp, bands, text)."""
+    """(a, b): links of near copies among the distinct texts(key, fp, bands, text), enough of them for their components."""
     nodes = shared.staged(texts.select("key", "fp", "bands"), "near-nodes")
-    banded = _stars(nodes.select("key", F.explode("bands").alias("cell")), "cell", "key")
-    equal = _stars(nodes.select("key", "fp"), "fp", "key")
-    fps = nodes.groupBy("fp").agg(F.min("key").alias("key"))
-    close = fingerprint_links(fps.select("fp"), nodes.count(), 2)
-    close = close.join(fps.select(F.col("fp").alias("a"), F.col("key").alias("_a")), "a").join(fps.select(F.col("fp").alias("b"), F.col("key").alias("_b")), "b")
-    maybe = banded.union(equal).union(close.select("_a", "_b"))
-    roots = shared.settled(lambda: components(maybe, "near-candidates"), "near-roots")
-    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())  # roots are no nodes of their own
-    asked = shared.staged(texts.select("key", "text").join(roots.withColumnRenamed("node", "key"), "key"), "near-texts")
-    parts = asked.groupBy("root").agg(F.ceil(F.sum(F.octet_length("text")) / PART_BYTES).alias("_parts"))
-    dealt = asked.join(parts, "root").withColumn("_part", F.pmod(F.xxhash64("key"), F.col("_parts")))
-    # Part p meets every other, itself if it is the only one: groups are named by root and both parts.
-    other = F.when(F.col("_parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda i: i != F.col("_part")))
-    met = dealt.withColumn("_other", F.explode(other))
-    met = met.select("key", "text", "root", F.least("_part", "_other").alias("low"), F.greatest("_part", "_other").alias("high"))
-    return met.groupBy("root", "low", "high").applyInArrow(_confirm, "a long, b long")
+    by_fp = nodes.select("key", "fp").join(grouped(nodes.select("fp")), "fp").select(F.xxhash64(F.lit("fp"), "root").alias("cell"), "key")
+    cells = nodes.select(F.explode("bands").alias("cell"), "key").union(by_fp)
+    several = shared.staged(cells.groupBy("cell").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "near-cells")
+    cells = shared.staged(cells.join(several, "cell"), "near-members")
+    # Texts of candidates only are shuffled again.
+    asked = shared.staged(texts.select("key", "text").join(cells.select("key").distinct(), "key", "left_semi"), "near-texts")
+    first = shared.staged(confirmed(first_of_cells(cells), asked), "near-first")
+    roots = components(first, "near-stars")
+    second = shared.staged(confirmed(undecided(cells, shared.staged(roots, "near-roots")), asked), "near-second")
+    return first.union(second)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -121,7 +121,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tokens: int = 2048, s
 
     tokenizer is the path of a tokenizers file that executors can read. tokens,
     segments and loss are the limits of a sequence. prompt names a column with
-    the number of leading tokens that bear no loss; without it all bear loss.
+    the number of leading tokens that bear no loss, or with the leading part of
+    the text whose tokens bear none; without it all bear loss.
     """
     limit = tokens if loss is None else loss
     columns = ["doc_id", "text"] + ([prompt] if prompt else [])
@@ -136,6 +137,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tokens: int = 2048, s
         for batch in batches:
             texts = batch.column("text").to_pylist()
             prompts = batch.column(prompt).to_pylist() if prompt else [0] * len(texts)
+            if any(isinstance(p, str) for p in prompts):
+                prompts = [len(ids) - 1 for ids in encoder.encode(prompts)]
             for doc_id, ids, quiet in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), prompts, strict=True):
                 packer.add(doc_id, ids, quiet or 0)
             yield from _batches(packer)
@@ -153,5 +156,5 @@ def _batches(packer: Packer) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4000], strict=True), types, strict=True)], names)
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def digest(pieces: DataFrame, *more: str) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)

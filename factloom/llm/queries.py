@@ -57,6 +57,15 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 for instruction data: conversations, whose first turns bear no loss, under limits of tokens, segments and loss-bearing tokens."""
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.coalesce(t["text"], F.lit("")))
+    whole = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("_turns"))
+    docs = whole.select("doc_id", F.array_join("_turns", "\n").alias("text"), F.get("_turns", F.lit(0)).alias("prompt"))
+    pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), segments=16, loss=1536, prompt="prompt")
+    return packing.digest(pieces, "loss")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -69,7 +78,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") or name == "instruction_packing"}
 
 
 #: The other operators go beyond SQL (tokenizers, XXH64, learned machines, graph search, shuffles by hash); tests compare them with brute force.

@@ -18,7 +18,9 @@ by subsequence, so scoring is a pass over the text. A document's score is the
 calibrated margin of its most toxic word, over the whole text.
 
 Training takes at most MOST_PER_CLASS labelled documents of each class, by
-hash of their ids; scoring covers every document.
+hash of their ids, of at most LONGEST bytes; scoring covers every document and
+its whole text. Every character beyond ASCII counts as one and the same
+letter, so words of other scripts are told apart by their lengths only.
 
 Defined results: null and empty texts get the score of a text without any
 word; without labelled documents of both classes every score is the share of
@@ -40,8 +42,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Training documents of a class.
-MOST_PER_CLASS = 1_500
+#: Training documents of a class, and bytes of the longest that is trained on: with both, what the driver collects is bounded.
+MOST_PER_CLASS, LONGEST = 1_500, 32 << 10
 #: Extra characters that an occurrence may span, and what each one costs.
 MOST_GAPS, DECAY = 2, 0.6
 #: Landmarks that speak for toxicity at most, and background landmarks.
@@ -302,7 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     order = [F.xxhash64(F.lit(6), "doc_id"), F.col("doc_id")]
     chosen = known.filter("_toxic > 0").orderBy(*order).limit(MOST_PER_CLASS).union(known.filter("_toxic <= 0").orderBy(*order).limit(MOST_PER_CLASS))
     # Two numbers for each of twice MOST_PER_CLASS documents.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").orderBy("doc_id", "text").collect()
+    fitting = docs.select("doc_id", "text").filter(F.octet_length("text") <= LONGEST)
+    texts = fitting.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     sides = [[r["text"].encode() for r in texts if (r["_toxic"] > 0) is side] for side in (True, False)]
     return train(*sides, toxic_share=(positive or 0) / rows if rows else 0.0)
 

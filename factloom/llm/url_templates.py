@@ -105,11 +105,14 @@ def branches(steps: DataFrame) -> DataFrame:
 
 def templates(urls: DataFrame) -> DataFrame:
     """(host, form, template, merged, labelled, blocked) of each distinct form of urls(host, form, n, labelled, blocked)."""
-    forms = shared.staged(urls.groupBy("host", "form").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]), "url-forms")
-    steps = forms.select("*", F.posexplode(_prefixes(F.col("form"))).alias("level", "_branch")).select("host", "form", "level", "_branch.*", "n", "labelled", "blocked")
-    named = steps.join(branches(steps), ["host", "node"]).groupBy("host", "form").agg(F.sort_array(F.collect_list(F.struct("level", "label", "merged"))).alias("_at"))
+    forms = urls.groupBy("host", "form").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    # Two hashes stand for a form: a path of very many segments is not repeated at each of them.
+    key = ["host", "_f1", "_f2"]
+    forms = shared.staged(forms.withColumns({"_f1": F.xxhash64(F.lit(1), "form"), "_f2": F.xxhash64(F.lit(2), "form")}), "url-forms")
+    steps = forms.select(*key, F.posexplode(_prefixes(F.col("form"))).alias("level", "_branch"), "n", "labelled", "blocked").select(*key, "level", "_branch.*", "n", "labelled", "blocked")
+    named = steps.join(branches(steps), ["host", "node"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("level", "label", "merged"))).alias("_at"))
     path = lambda name: F.coalesce(F.array_join(F.transform("_at", lambda x: F.concat(F.lit("/"), x[name])), ""), F.lit("")).alias({"label": "template"}.get(name, name))
-    return forms.join(named, ["host", "form"], "left").select("host", "form", path("label"), path("merged"), "labelled", "blocked")
+    return forms.join(named, key, "left").select("host", "form", path("label"), path("merged"), "labelled", "blocked")
 
 
 def judge_templates(tree: DataFrame) -> DataFrame:

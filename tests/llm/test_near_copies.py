@@ -46,11 +46,18 @@ def test_stage_links_all_near_copies_and_only_those(spark):
     assert sorted(kept, key=lambda i: (i is None, i)) == [*sorted({find(i) for i in root}), 200, 203, None]
 
 
-def test_large_components_in_parts(spark, monkeypatch):
+def test_chains_of_near_copies(spark):
+    """Copies of copies, of which the first and the last are unlike, and a large group with some that hang on by one link."""
     rnd = random.Random(4)
-    words = prose(rnd, 200)
-    texts = [" ".join([*words, *prose(rnd, 5)]) for _ in range(30)]
-    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)] + [(99, " ".join(prose(rnd, 90)), "en", "a", 0)]
-    monkeypatch.setattr(near_copies, "PART_BYTES", 8_000)
-    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
-    assert sorted(r["doc_id"] for r in kept) == [0, 99]
+    words = prose(rnd, 300)
+    chain = [list(words)]
+    for i in range(12):
+        step = list(chain[-1])
+        for k in range(7):
+            step[(i * 23 + k * 3) % 300] = prose(rnd, 1)[0] + "y"
+        chain.append(step)
+    rows = [(i, " ".join(w)) for i, w in enumerate(chain)]
+    rows += [(100 + i, " ".join([*words, *prose(rnd, 5)])) for i in range(40)] + [(500, " ".join(prose(rnd, 90)))]
+    assert brute_similarity(rows[0][1], rows[12][1]) < 0.8 <= min(brute_similarity(rows[i][1], rows[i + 1][1]) for i in range(12))
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], COLUMNS).repartition(3), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 500]
