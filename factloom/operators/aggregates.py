@@ -52,8 +52,13 @@ def coverage(known: DataFrame, seen: DataFrame, key: str, seen_key: str, rare: i
     return joined.withColumn("risk", F.when(F.col("n_seen") == 0, "never").when(F.col("n_seen") < rare, "at_risk").otherwise("covered"))
 
 
+def index_rows(df: DataFrame, tag: str, item: str) -> DataFrame:
+    """(tag, item), each once: an index whose lists may be of any length."""
+    return df.select(tag, item).distinct()
+
+
 def inverted_index(df: DataFrame, tag: str, item: str) -> DataFrame:
-    """Per tag its items, sorted and each once."""
+    """Per tag its items, sorted and each once: lists that a row can hold; index_rows is for longer ones."""
     return df.groupBy(tag).agg(F.sort_array(F.collect_set(item)).alias("items"))
 
 

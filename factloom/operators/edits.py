@@ -141,7 +141,7 @@ def code_lenses(symbols: DataFrame, counts: DataFrame) -> DataFrame:
 def parameter_hints(calls: DataFrame, builtins: DataFrame) -> DataFrame:
     """calls(uri, name, args) with the parameter name of each argument."""
     args = calls.select("uri", "name", F.posexplode("args").alias("place", "argument"))
-    return args.join(F.broadcast(builtins), "name").withColumn("parameter", F.get("parameters", F.col("place"))).filter("parameter is not null").drop("parameters")
+    return args.join(builtins, "name").withColumn("parameter", F.get("parameters", F.col("place"))).filter("parameter is not null").drop("parameters")
 
 
 def edits_of_changes(changes: DataFrame) -> DataFrame:

@@ -140,19 +140,30 @@ def subtypes(edges: DataFrame, parents: DataFrame, child: str, parent: str, key:
 
 
 def call_edges(calls: DataFrame, by: str, other: str, range_columns: list[str]) -> DataFrame:
-    """Per pair of callables all call ranges, in order: incoming with by = callee, outgoing with by = caller."""
-    return calls.groupBy(by, other).agg(F.sort_array(F.collect_list(F.struct(*range_columns))).alias("ranges"))
+    """Per pair of callables the number of calls and the first of them: incoming with by = callee, outgoing with by = caller."""
+    return calls.groupBy(by, other).agg(F.count("*").alias("n_ranges"), F.min(F.struct(*range_columns)).alias("first_range"))
 
 
-def first_hit(names: DataFrame, name: str, roots: DataFrame, existing: DataFrame) -> DataFrame:
-    """Module names resolved over include roots(root, priority): the existing path with the first root.
+def call_ranges(calls: DataFrame, by: str, other: str, range_columns: list[str]) -> DataFrame:
+    """A row for each call of a pair of callables, numbered in order within the pair."""
+    place = F.row_number().over(Window.partitionBy(by, other).orderBy(*range_columns))
+    return calls.select(by, other, *range_columns, place.alias("place"))
 
-    The roots are a short configured list; each name has as many candidates.
-    """
+
+#: Include roots are a configured list; more than this many are refused.
+MOST_ROOTS = 1_000
+
+
+def first_hit(names: DataFrame, name: str, roots: DataFrame, existing: DataFrame) -> DataFrame:
+    """Module names resolved over include roots(root, priority): the existing path with the first root. Each name has as many candidates as there are roots."""
+    listed = sorted((r["priority"], r["root"]) for r in roots.select("root", "priority").limit(MOST_ROOTS + 1).collect())
+    if len(listed) > MOST_ROOTS:
+        raise ValueError(f"more than {MOST_ROOTS} include roots")
     relative = F.concat(F.regexp_replace(name, "::", "/"), F.lit(".pm"))
-    asked = names.select(name).distinct().crossJoin(F.broadcast(roots.select("root", "priority"))).withColumn("path", F.concat("root", F.lit("/"), relative))
+    candidates = F.array(*[F.struct(F.lit(i).alias("place"), F.concat(F.lit(f"{root}/"), relative).alias("path")) for i, (_, root) in enumerate(listed)])
+    asked = names.select(name).distinct().select(name, F.explode(candidates).alias("_c")).select(name, "_c.*")
     found = asked.join(existing.select("path").distinct(), "path", "left_semi")
-    return found.groupBy(name).agg(F.min_by("path", F.struct("priority", "root")).alias("path"))
+    return found.groupBy(name).agg(F.min_by("path", "place").alias("path"))
 
 
 def compare_to_baseline(baseline: DataFrame, current: DataFrame, key: list[str], value: str, slower: float = 20.0, faster: float = -10.0) -> DataFrame:

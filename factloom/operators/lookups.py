@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rounds
+
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
     """Rows whose columns have the given values: symbols of a file, a case by its id."""
@@ -98,9 +100,22 @@ def with_all_tags(rows: DataFrame, tags: list[str], column: str = "tags") -> Dat
 
 
 def seeded_pick(rows: DataFrame, seed: int, order: list[str]) -> DataFrame:
-    """The row at place seed modulo the number of rows, in a stated order."""
-    n = rows.count()
-    return rows.orderBy(*order).offset(seed % n).limit(1) if n else rows.limit(0)
+    """The row at place seed modulo the number of rows, in a stated order.
+
+    Rows are range-sorted once; the sizes of the ranges tell which of them
+    holds the place, and only that one is numbered.
+    """
+    placed = rounds.cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
+    if not sizes:
+        return rows.limit(0)
+    left = seed % sum(n for _, n in sizes)
+    for part, n in sizes:
+        if left < n:
+            break
+        left -= n
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.filter(F.col("_part") == part).withColumn("_n", number).filter(F.col("_n") == left + 1).drop("_part", "_n")
 
 
 def nearest_line(lines: DataFrame, line: int, direction: str, farthest: int | None = None, column: str = "line") -> DataFrame:

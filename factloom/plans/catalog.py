@@ -175,8 +175,13 @@ def hierarchy_sub_super(t):
 @query("SELECT l_suppkey, l_partkey, count(*) AS n_ranges, min(l_orderkey * 10 + l_linenumber) AS first_range FROM lineitem GROUP BY l_suppkey, l_partkey")
 def call_graph(t):
     edges = joins.call_edges(t.lineitem, "l_suppkey", "l_partkey", ["l_orderkey", "l_linenumber"])
-    first = F.col("ranges")[0]
-    return edges.select("l_suppkey", "l_partkey", F.size("ranges").cast("long").alias("n_ranges"), (first["l_orderkey"] * 10 + first["l_linenumber"]).alias("first_range"))
+    first = F.col("first_range")
+    return edges.select("l_suppkey", "l_partkey", "n_ranges", (first["l_orderkey"] * 10 + first["l_linenumber"]).alias("first_range"))
+
+
+@query("SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber)::INT AS place FROM lineitem")
+def call_ranges(t):
+    return joins.call_ranges(t.lineitem, "l_suppkey", "l_partkey", ["l_orderkey", "l_linenumber"])
 
 
 @query("""WITH b AS (SELECT p_brand, avg(l_extendedprice) AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1995 GROUP BY 1),
@@ -258,6 +263,11 @@ def tag_index(t):
     return aggregates.inverted_index(t.events, "event_type", "user_id")
 
 
+@query("SELECT DISTINCT event_type, user_id FROM events")
+def tag_rows(t):
+    return aggregates.index_rows(t.events, "event_type", "user_id")
+
+
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_ids(t):
     return aggregates.repeated(t.documents, ["text"])
