@@ -129,6 +129,17 @@ def deprecated_syntax(tokens: DataFrame) -> DataFrame:
     )
 
 
+def undeclared(uses: DataFrame, symbols: DataFrame, scopes: DataFrame, pragmas: DataFrame, special: list[str]) -> DataFrame:
+    """uses(uri, name, at) of variables that nothing visible declares before them, where strict subs is in force: that state, not strict vars, is what the check goes by."""
+    spans = scopes.select("uri", F.col("id").alias("scope_id"), "sb", "eb")
+    inside = uses.filter(~F.col("name").isin(special)).join(spans, "uri").filter((F.col("sb") <= F.col("at")) & (F.col("at") < F.col("eb")))
+    place = F.row_number().over(Window.partitionBy("uri", "name", "at").orderBy(F.col("eb") - F.col("sb")))
+    placed = inside.withColumn("_n", place).filter("_n = 1").select("uri", "name", F.lit("Variable").alias("kind"), "scope_id", "at")
+    known = declarations(placed, symbols, scopes).select("uri", "name", "at")
+    state = pragmas.groupBy("uri", F.col("sb").alias("at")).agg(F.max("strict_subs").alias("strict_subs"))
+    return joins.as_of(placed.join(known, ["uri", "name", "at"], "left_anti"), state, ["uri"], "at", ["strict_subs"]).filter("strict_subs")
+
+
 def file_diagnostics(errors: DataFrame, *issues: DataFrame) -> DataFrame:
     """All that is to be shown: parse errors(uri, at, message), one character wide, and issues."""
     parsed = issue(errors, "parse-error", F.col("at"), F.col("at") + 1, "Error", F.col("message"))
@@ -229,11 +240,13 @@ def parse_outcomes(files: DataFrame, most_characters: int = 1_000_000) -> DataFr
 
 
 def feature_coverage(files: DataFrame, features: dict[str, list[str]]) -> DataFrame:
-    """(feature, n_files, first_uri) of a configured list of features and the texts that show each; those without files too."""
+    """(feature, n_files, first_uri, percent) of a configured list of features and the texts that show each; those without files too."""
     tests = F.filter(F.array(*[F.when(reduce(lambda a, b: a | b, (F.contains("text", F.lit(p)) for p in patterns)), F.lit(name)) for name, patterns in features.items()]), lambda x: x.isNotNull())
     seen = files.select("uri", F.explode(tests).alias("feature")).groupBy("feature").agg(F.count("*").alias("n_files"), F.min("uri").alias("first_uri"))
     known = files.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    return known.join(seen, "feature", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    found = known.join(seen, "feature", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    # One file is enough: a feature is covered whole or not at all.
+    return found.withColumn("percent", F.when(F.col("n_files") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
 def catalogue_problems(features: DataFrame, tests: DataFrame, maturities: list[str]) -> DataFrame:
@@ -247,6 +260,17 @@ def catalogue_problems(features: DataFrame, tests: DataFrame, maturities: list[s
     return reduce(lambda a, b: a.unionByName(b), (odd, untested, gone), twice)
 
 
+def recorded_for_all(samples: DataFrame, types: list[str], column: str) -> DataFrame:
+    """A sample without a type counts for every type of a fixed list."""
+    return samples.withColumn(column, F.explode(F.when(F.col(column).isNull(), F.array(*map(F.lit, types))).otherwise(F.array(column))))
+
+
+def all_references(indexed: DataFrame, in_text: DataFrame, order: list[str], most: int = 500) -> DataFrame:
+    """References of the index, then matches in text, repeats included, and only the first `most` of them all."""
+    every = indexed.withColumn("_source", F.lit(0)).unionByName(in_text.withColumn("_source", F.lit(1)))
+    return every.orderBy("_source", *order).limit(most).drop("_source")
+
+
 def all_met(statistics: DataFrame, met: str = "met") -> DataFrame:
     return statistics.agg(F.coalesce(F.bool_and(met), F.lit(True)).alias("all_met"))
 

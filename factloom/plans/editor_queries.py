@@ -135,7 +135,7 @@ def build_progress(t):
     return diagnostics.progress(steps, "user_id", "ms", "event_id", "total", 86_400_000).select("event_id", F.round("percent", 4).alias("percent"), "timed_out")
 
 
-@query("SELECT f AS feature, count(uri) AS n_files, min(uri) AS first_uri FROM (SELECT unnest(['quote', 'the', 'never']) AS f, unnest(['\"', 'the ', 'Xq9!never']) AS p) LEFT JOIN (SELECT doc_id AS uri, text FROM documents) ON contains(text, p) OR (f = 'quote' AND contains(text, '''')) GROUP BY f")
+@query("SELECT f AS feature, count(uri) AS n_files, min(uri) AS first_uri, CASE WHEN count(uri) > 0 THEN 100.0 ELSE 0.0 END AS percent FROM (SELECT unnest(['quote', 'the', 'never']) AS f, unnest(['\"', 'the ', 'Xq9!never']) AS p) LEFT JOIN (SELECT doc_id AS uri, text FROM documents) ON contains(text, p) OR (f = 'quote' AND contains(text, '''')) GROUP BY f")
 def covered_features(t):
     return diagnostics.feature_coverage(t.documents.select(F.col("doc_id").alias("uri"), "text"), {"quote": ['"', "'"], "the": ["the "], "never": ["Xq9!never"]})
 
@@ -322,6 +322,28 @@ def modernised_code(t):
     return t.part.select("p_partkey", F.lit(OLD_CODE).alias("_text")).select("p_partkey", edits.modernised(F.col("_text")).alias("text"))
 
 
+@query(f"SELECT uri, '$zzz' AS name, (strlen(text) + 10)::INT AS at_byte FROM ({FILES})")
+def undeclared_variables(t):
+    rows = files(t).select("uri", F.concat("text", F.lit("my $new = $zzz + $count;\n{ no strict; $yyy = 1 }\n")).alias("text"))
+    all_facts = facts.extract_facts(rows)
+    uses = facts.refs(all_facts).filter("kind in ('Read', 'Write') and name rlike '^[$@%]'").select("uri", "name", F.col("sb").alias("at"))
+    out = diagnostics.undeclared(uses, facts.symbols(all_facts), facts.scopes(all_facts).select("uri", "id", "parent", "kind", "sb", "eb"), facts.pragmas(rows), ["@_", "$_"])
+    return out.select("uri", "name", F.col("at").alias("at_byte"))
+
+
+@query("SELECT event_id, t AS event_type FROM events, unnest(['click', 'view']) AS u(t) WHERE event_type = 'error' UNION ALL SELECT event_id, event_type FROM events WHERE event_type <> 'error'")
+def untyped_samples(t):
+    rows = t.events.select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type"))
+    return diagnostics.recorded_for_all(rows, ["click", "view"], "event_type")
+
+
+@query("SELECT k, v FROM (SELECT l_orderkey AS k, l_partkey AS v, 0 AS s FROM lineitem WHERE l_partkey < 5 UNION ALL SELECT o_orderkey, o_custkey, 1 FROM orders WHERE o_custkey < 5) ORDER BY s, k, v LIMIT 500")
+def references_and_text(t):
+    indexed = t.lineitem.filter("l_partkey < 5").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("v"))
+    in_text = t.orders.filter("o_custkey < 5").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
+    return diagnostics.all_references(indexed, in_text, ["k", "v"], 500)
+
+
 # Files, notebooks, state
 
 
