@@ -76,3 +76,38 @@ def test_approximate_few_rows(spark):
     assert got == [(1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0)]
     empty = frame.limit(0)
     assert nndescent.nearest(empty, empty.withColumnRenamed("vec_id", "query_id"), 20).count() == 0
+
+
+def test_recall_over_many_shards_of_the_table(spark):
+    """The embeddings of sf0.1 in 16 shards, with the production settings, against brute force."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", spark_column("embedding"))
+    asked = frame.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    got = nndescent.nearest(frame, asked, 20, shard_size=320).collect()
+    data = [(r["vec_id"], r["vector"]) for r in frame.collect() if usable(r["vector"], False)]
+    ids, points = np.array([i for i, _ in data]), np.array([v for _, v in data], dtype=float)
+    found: dict = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in found:
+        scores = points @ points[ids == q][0]
+        order = [i for i in ids[np.lexsort((ids, -scores))] if i != q][:20]
+        hits, total = hits + len(found[q] & set(order)), total + 20
+    assert len(found) == sum(i % 100 == 0 for i in ids) and hits >= 0.95 * total
+
+
+def spark_column(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name).alias("vector")
+
+
+def test_ties_across_shards(spark):
+    """Equal products of different vectors in different shards go to the smaller id."""
+    data = [(i, [1.0, float(i % 40 - 20) / 8], 0.0) for i in range(400)] + [(1000, [4.0, 0.0], 0.0)]
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    asked = frame.filter("vec_id = 1000").withColumnRenamed("vec_id", "query_id")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in sorted(nndescent.nearest(frame, asked, 20, shard_size=8).collect(), key=lambda r: r["rank"])]
+    assert got == [(n + 1, n, 4.0) for n in range(20)]
+    got = [(r["rank"], r["vec_id"]) for r in sorted(topk_kdtree.top_k(frame, asked, 20, rows_per_shard=30).collect(), key=lambda r: r["rank"])]
+    assert got == [(n + 1, n) for n in range(20)]
