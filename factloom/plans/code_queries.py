@@ -242,7 +242,7 @@ def shown_variables(t):
     return editor.inline_values(files(t), 6, 10).filter("name != '@_'").select("uri", "name", "line")
 
 
-@query(f"SELECT uri, class, amount FROM ({FILES}) CROSS JOIN {rows_of('class, amount', ('number', 5), ('string', 2), ('subroutine', 3), ('variable', 10))}")
+@query(f"SELECT uri, class, amount FROM ({FILES}) CROSS JOIN {rows_of('class, amount', ('number', 7), ('string', 2), ('subroutine', 3), ('variable', 10))}")
 def semantic_classes(t):
     rows = editor.token_classes(facts.tokens(files(t)), facts.symbols(found(t)))
     return rows.groupBy("uri", "class").agg(F.count("*").cast("int").alias("amount")).filter("class in ('string', 'variable', 'number', 'subroutine')")
