@@ -193,3 +193,43 @@ def test_edits(spark):
     moved = edits.move_symbol(files, spark.createDataFrame([("a", 0, 10)], "uri string, start int, end int"), "b")
     assert values(edits.apply_edits(files, moved), "text") == ["\nfoo($x); xfoo(); Foo::foo();", "nothing\nmy $x = 1;\n"]
     assert windows and one(spark, windows.map_position(F.col("p"), F.lit(3), F.lit(5), F.lit(9)), p=4) is None
+
+
+def test_containment_ends_differ(spark):
+    """Semantic lookups include a span's end, node lookups do not."""
+    nodes = spark.createDataFrame([(0, 10, 1, "n")], "sb int, eb int, depth int, name string")
+    assert lookups.narrowest_at(nodes, F.lit(10), "sb", "eb", ["sb"]).count() == 1
+    assert lookups.narrowest_at(nodes, F.lit(10), "sb", "eb", ["sb"], inclusive_end=False).count() == 0
+    assert lookups.deepest_at(nodes, 10).count() == 0 and lookups.deepest_at(nodes, 9).count() == 1
+
+
+def test_selection_goes_outwards(spark):
+    nodes = spark.createDataFrame([("f", 0, 100, 0), ("f", 10, 50, 1), ("f", 20, 30, 2), ("f", 60, 70, 1)], "uri string, sb int, eb int, depth int")
+    assert [r["depth"] for r in lookups.selection_chain(nodes, 25).collect()] == [2, 1, 0]
+    points = spark.createDataFrame([("f", 25), ("f", 65)], "uri string, at int")
+    assert sorted((r["at"], r["up"], r["depth"]) for r in lookups.chains_at(nodes, points, "uri", "at").collect()) == [(25, 0, 2), (25, 1, 1), (25, 2, 0), (65, 0, 1), (65, 1, 0)]
+
+
+def test_paths_match_by_either_end(spark):
+    rows = [("/a/lib/X.pm", "lib/X.pm", True), ("X.pm", "/b/X.pm", True), ("/a/Y.pm", "X.pm", False)]
+    found = spark.createDataFrame(rows, "a string, b string, want boolean").select(text.paths_match(F.col("a"), F.col("b")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in found)
+
+
+def test_a_redeclared_variable_keeps_its_first_row(spark):
+    scopes = spark.createDataFrame([("u", 0, None)], "uri string, id int, parent int")
+    variables = spark.createDataFrame([("u", "$x", 0, 1), ("u", "$x", 0, 5), ("u", "$x", 0, 9)], "uri string, name string, scope_id int, sb int")
+    assert sorted((r["issue"], r["sb"]) for r in joins.redeclarations(variables, scopes).collect()) == [("redeclared", 5), ("redeclared", 9)]
+
+
+def test_the_whole_source_decides_the_category(spark):
+    rows = spark.createDataFrame([("unexpected token", "class X {}"), ("bad regex", "x"), ("odd", "qr/x/; class Y")], "m string, s string")
+    assert [r[0] for r in rows.select(text.error_category(F.col("m"), F.col("s"))).collect()] == ["ModernFeature", "Regex", "ModernFeature"]
+
+
+def test_scope_chains_have_no_depth_limit_and_cycles_are_errors(spark):
+    chain = spark.createDataFrame([("u", i, i - 1 if i else None) for i in range(101)], "uri string, id int, parent int")
+    assert joins.scope_ancestors(chain).count() == 101 * 102 // 2
+    cycle = spark.createDataFrame([("u", 0, 1), ("u", 1, 0)], "uri string, id int, parent int")
+    with pytest.raises(ValueError):
+        joins.scope_ancestors(cycle).count()
