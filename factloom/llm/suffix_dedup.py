@@ -54,15 +54,6 @@ FACTOR = 0x9E3779B97F4A7C15
 CODE = 5
 
 
-def coded(text: str) -> bytes:
-    """The words of a text, CODE characters each: equal words have equal codes, unequal ones but for one pair in 2**35."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode("utf-8", "surrogatepass").split()
-    hashes = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    return ((hashes[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(7))) & np.uint64(127)).astype(np.uint8).tobytes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every bit depends on all."""
     x = np.array(x, dtype=np.uint64)
@@ -144,13 +135,53 @@ def items(data: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray,
     return grams[at], rank, at, first, last, np.searchsorted(edges, first, side="right") - 1
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def _words(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts between edges begin and end."""
+    inside = ~_SPACE[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # An end of a text ends a word as well.
+    cuts = edges[(edges > 0) & (edges < len(raw))]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _pieces(raw: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Pieces of raw[a:b] of about SEGMENT bytes, cut where a word ends."""
+    while b - a > SEGMENT:
+        spaces = np.flatnonzero(_SPACE[raw[a + SEGMENT : min(b, a + 2 * SEGMENT)]])
+        if len(spaces):
+            yield a, a + SEGMENT + int(spaces[0])
+            a += SEGMENT + int(spaces[0])
+        else:
+            break
+    yield a, b
+
+
+def coded(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts, CODE characters each, and the edges of the texts: equal words have equal codes, unequal ones but for one pair in 2**35."""
+    out, counts = [np.zeros(0, dtype=np.uint8)], np.zeros(len(edges), dtype=np.int64)
+    for a, b in _groups(edges, SEGMENT):
+        for start, stop in _pieces(raw, int(edges[a]), int(edges[b])):
+            begin, end = _words(raw[start:stop], np.clip(edges[a : b + 1], start, stop) - start)
+            hashes = Hashes(raw[start:stop]).of(begin, end)
+            out.append(((hashes[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(7))) & np.uint64(127)).astype(np.uint8).ravel())
+            counts[a + 1 : b + 1] += np.bincount(np.searchsorted(edges[a : b + 1], begin + start, side="right") - 1, minlength=b - a)[: b - a]
+    return np.concatenate(out), CODE * np.cumsum(counts)
+
+
 def _bytes_of(column: pa.Array, by_words: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column without nulls, or of the codes of its words, and the edges of its values."""
-    column = pa.array([coded(t.as_py()) for t in column], pa.large_binary()) if by_words else column.cast(pa.large_binary())
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     edges = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
-    return raw, edges
+    return coded(raw, edges) if by_words else (raw, edges)
 
 
 def _groups(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -248,20 +279,28 @@ def keyed(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumns({"_t1": F.xxhash64(F.lit(1), text), "_t2": F.xxhash64(F.lit(2), text)})
 
 
-def repeats(docs: DataFrame, length: int = 400, by_words: bool = False) -> tuple[DataFrame, DataFrame]:
+def text_counts(docs: DataFrame) -> DataFrame:
+    """(t1, t2, n, doc_id, size) of each distinct text of docs(doc_id, text): how many rows have it, one of them, and its bytes."""
+    texts = keyed(docs, F.col("text")).filter("text is not null")
+    counts = texts.groupBy(F.col("_t1").alias("t1"), F.col("_t2").alias("t2")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("size"))
+    return shared.staged(counts, "suffix-counts")
+
+
+def repeats(docs: DataFrame, counts: DataFrame, length: int = 400, by_words: bool = False) -> tuple[DataFrame, DataFrame]:
     """(t1, t2, ranges) of windows that repeat, and (t1, t2) of texts that several rows have; windows of words' codes if asked."""
     shared.bound_batches(docs.sparkSession)
     # So many words, each but the last with white space after it, are two bytes each at least.
     least = 2 * (length // CODE) - 1 if by_words else length
     texts = keyed(docs, F.col("text")).filter(F.octet_length("text") >= least).select("doc_id", F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "text")
-    copies = texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    copies = counts.filter(F.col("size") >= least).drop("size")
 
     def several() -> DataFrame:
         """Step 1: items of buckets with several of them, and whether a bucket has several ranks."""
         found = shared.staged(texts.select("t1", "t2", "text").mapInArrow(_scan(length, by_words), ITEMS), "suffix-items")
         buckets = found.groupBy("name").agg(F.count("*").alias("_n"), (F.min("rank") != F.max("rank")).alias("open")).filter("_n > 1").drop("_n")
         # Staged, so that both sides of the join come from an exchange and a name with very many items can be split.
-        return found.join(shared.staged(buckets, "suffix-buckets"), "name").distinct()
+        joined = found.join(shared.staged(buckets, "suffix-buckets"), "name")
+        return joined.repartition("t1", "t2").distinct()
 
     left = shared.settled(several, "suffix-left")
     # Step 2. Identical texts have identical items, so distinct() keeps one; copies lose everything anyway, yet prove others' repeats.
@@ -292,11 +331,11 @@ def repeats(docs: DataFrame, length: int = 400, by_words: bool = False) -> tuple
     return marks, copies.filter("n > 1").select("t1", "t2")
 
 
-def verdicts(docs: DataFrame, length: int = 400, by_words: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, length: int = 400, by_words: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """(_t1, _t2, _copied, _ranges): for the hashes of a text, whether several of docs(doc_id, text) have it, and its repeated windows."""
 
     def found() -> DataFrame:
-        marks, copied = repeats(docs, length, by_words)
+        marks, copied = repeats(docs, text_counts(docs) if counts is None else counts, length, by_words)
         both = marks.join(copied.withColumn("_copied", F.lit(True)), ["t1", "t2"], "full_outer")
         return both.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_copied", F.col("ranges").alias("_ranges"))
 
@@ -322,6 +361,26 @@ def removed_spans(n: int, copied: bool | None, ranges: list[dict] | None, length
     return [(a, b) for a, b in out]
 
 
+def spans_of(ranges: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the maximal runs under the windows in a list column of ranges."""
+    sizes = np.diff(ranges.offsets.to_numpy())
+    sizes[np.asarray(ranges.is_null())] = 0
+    values = ranges.flatten()
+    first, last = (values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
+    row = np.repeat(np.arange(len(ranges)), sizes)
+    if not len(row):
+        return row, first, last
+    order = np.lexsort((first, row))
+    row, first, end = row[order], first[order], last[order] + length
+    # Rows are put one after the other on a line, so that one running maximum serves all.
+    wide = int(end.max()) + 1
+    reach = np.maximum.accumulate(row * wide + end)
+    begins = np.ones(len(row), dtype=bool)
+    begins[1:] = (row * wide + first)[1:] > reach[:-1]
+    at = np.flatnonzero(begins)
+    return row[at], first[at], reach[np.append(at[1:], len(row)) - 1] - row[at] * wide
+
+
 def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for span in spans for x in span), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -341,24 +400,33 @@ def digest(docs: DataFrame, length: int = 400, words: int | None = None) -> Data
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
-            found = [batch.column(c).to_pylist() for pair in marks for c in pair]
-            rows = []
-            for data, copied, ranges, *by_word in zip(texts, *found, strict=True):
-                spans = removed_spans(len(data), copied, ranges, length)
-                row = [len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(data, spans)).hexdigest()]
-                if words:
-                    # Nothing is split where nothing repeats.
-                    coded_spans = removed_spans(CODE * len(data.split()), *by_word, words * CODE) if any(by_word) else []
-                    row.append(sum(max(0, b - a) for a, b in _whole_words(coded_spans)))
-                rows.append(row)
-            if rows:
-                columns = [pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for c, n in zip(zip(*rows, strict=True), names[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
+            n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            copied = np.asarray(batch.column("_copied").fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+            row, begin, end = spans_of(batch.column("_ranges"), length)
+            own = ~copied[row]
+            row, begin, end = row[own], begin[own], end[own]
+            gone = copied & (n >= length)
+            removed = np.where(gone, n, np.bincount(row, end - begin, minlength=len(texts)).astype(np.int64))
+            count = np.where(gone, 1, np.bincount(row, minlength=len(texts)))
+            edges = np.searchsorted(row, np.arange(len(texts) + 1))
+            spans = lambda i: [(0, len(texts[i]))] if gone[i] else list(zip(begin[edges[i] : edges[i + 1]].tolist(), end[edges[i] : edges[i + 1]].tolist(), strict=True))
+            digests = [hashlib.sha256(kept(t, spans(i)) if count[i] else t).hexdigest() for i, t in enumerate(texts)]
+            columns = [batch.column("doc_id"), pa.array(n), pa.array(removed), pa.array(count.astype(np.int64)), pa.array(digests, pa.string())]
+            if words:
+                whole = np.asarray(batch.column("_copied_words").fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+                row, begin, end = spans_of(batch.column("_ranges_words"), words * CODE)
+                number = np.bincount(row, np.maximum(0, end // CODE - -(-begin // CODE)), minlength=len(texts)).astype(np.int64)
+                for i in np.flatnonzero(whole):
+                    all_words = len(texts[i].split())
+                    number[i] = all_words if all_words >= words else 0
+                columns.append(pa.array(number))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = verdicts(docs, length)
+    counts = text_counts(docs)
+    found = verdicts(docs, length, counts=counts)
     if words:
-        by_words = verdicts(docs, words * CODE, by_words=True).withColumnsRenamed({"_copied": "_copied_words", "_ranges": "_ranges_words"})
+        by_words = verdicts(docs, words * CODE, by_words=True, counts=counts).withColumnsRenamed({"_copied": "_copied_words", "_ranges": "_ranges_words"})
         found = found.join(by_words, ["_t1", "_t2"], "full_outer")
     rows = keyed(docs, F.col("text")).join(found, ["_t1", "_t2"], "left")
     return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), *[c for pair in marks for c in pair]).mapInArrow(measure, schema)
