@@ -130,6 +130,17 @@ def code_dead_subs(t):
     return joins.dead_code(facts.symbols(rows), facts.refs(rows)).filter("kind = 'Subroutine'").select("uri", "qualified_name", "code")
 
 
+@query(f"SELECT uri, {keyed('name')} AS name, kind, code FROM ({FILES}) CROSS JOIN {rows_of('name, kind, code', ('Shop::C{k}', 'Package', 'unused_package'), ('$VERSION', 'Variable', 'unused_variable'), ('$self', 'Variable', 'unused_variable'), ('$unused', 'Variable', 'unused_variable'), ('price', 'Subroutine', 'unused_subroutine'), ('test_price', 'Subroutine', 'unused_subroutine'))}")
+def unused_subs_of_fixture(t):
+    rows = found(t)
+    return joins.dead_code(facts.symbols(rows), facts.refs(rows)).select("uri", "name", "kind", "code")
+
+
+@query(f"SELECT uri, fact, amount FROM ({FILES}) CROSS JOIN {rows_of('fact, amount', ('symbol', 10), ('ref', 23), ('dep', 4), ('import', 4), ('inherits', 1), ('call', 3), ('scope', 4))}")
+def extract_facts(t):
+    return found(t).groupBy("uri", "fact").agg(F.count("*").cast("int").alias("amount"))
+
+
 @query(f"SELECT uri, name FROM ({FILES}) CROSS JOIN {rows_of('name', ('$self',), ('$unused',))}")
 def code_unused_variables(t):
     rows = found(t)
@@ -185,6 +196,15 @@ def ingested_files(t):
     return facts.symbols(out).groupBy("uri").agg(F.count("*").cast("int").alias("n_symbols"))
 
 
+@query(f"SELECT uri, CASE WHEN n = '07' AND name = 'idle' THEN 'rest' ELSE name END AS name FROM ({FILES}) CROSS JOIN {rows_of('name', ('price',), ('test_price',), ('idle',))}")
+def reindexed_files(t):
+    """Facts after an edit of some files: only those are read again."""
+    before = files(t)
+    known = before.select("uri", F.xxhash64("text").alias("content_hash"))
+    edited = before.filter(F.contains("text", F.lit("VERSION = 07"))).withColumn("text", F.replace("text", F.lit("sub idle"), F.lit("sub rest")))
+    return facts.symbols(facts.ingest(edited, known, facts.extract_facts(before))).filter("kind = 'Subroutine'").select("uri", "name")
+
+
 @query(f"SELECT uri, symbol, module, kind FROM ({FILES}) CROSS JOIN {rows_of('symbol, module, kind', ('first', 'List::Util', 'unused'), ('encode_json', 'JSON', 'missing'), (None, 'strict', 'duplicate'))}")
 def import_audits(t):
     rows = facts.imports(found(t)).select("uri", "module", "symbols", "line")

@@ -367,6 +367,12 @@ def cleared_table(t):
     return diagnostics.cleared(t.documents).agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_id, 'timeout' AS reason FROM events WHERE value > 50 UNION ALL SELECT event_id, 'limit' FROM events WHERE event_type = 'error'")
+def early_exits(t):
+    log = t.events.filter("value > 50").select("event_id", F.lit("timeout").alias("reason"))
+    return ranking.all_of(log, t.events.filter("event_type = 'error'").select("event_id", F.lit("limit").alias("reason")))
+
+
 @query("SELECT doc_id FROM documents WHERE lang = 'en'")
 def routed_query(t):
     whole = lambda: t.documents.filter("lang = 'en'").select("doc_id")
