@@ -83,6 +83,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: The other operators go beyond SQL (tokenizers, XXH64, learned machines, graph search, shuffles by hash); tests compare them with brute force.
 SQL = {
+    "op4_suffix_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n,
+   list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS l FROM documents),
+  w AS (SELECT r, i, hash(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, greatest(0, n - 399))) AS i FROM d)),
+  s AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+  g AS (SELECT r, min(i) AS b, max(i) + 400 AS e FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM s) GROUP BY r, g),
+  p AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS f FROM g),
+  k AS (SELECT p.r, sum(e - b) AS removed, count(*) AS spans, string_agg(substr(h, 2 * f + 1, 2 * (b - f)), '' ORDER BY b) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM p JOIN d USING (r) GROUP BY p.r),
+  v AS (SELECT r, i, hash(l[i + 1 : i + 51]) AS k FROM (SELECT r, l, unnest(range(0, greatest(0, len(l) - 50))) AS i FROM d)),
+  x AS (SELECT r, i, least(51, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 51)) AS c FROM v SEMI JOIN (SELECT k FROM v GROUP BY k HAVING count(*) > 1) USING (k)),
+  y AS (SELECT r, sum(c) AS words FROM x GROUP BY r)
+ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(words, 0)::BIGINT AS n_words_removed
+  FROM d LEFT JOIN k USING (r) LEFT JOIN y USING (r)""",
+    "op5_url_filter": r"""WITH u AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+  h AS (SELECT page_id, coalesce(host, '') AS host, path FROM u),
+  rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+  p AS (SELECT DISTINCT host, path FROM h),
+  m AS (SELECT host, path, max_by(rh || rp, (length(rh) + length(rp), rh, rp)) AS rule, max_by(rv, (length(rh) + length(rp), rh, rp)) AS rv FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+  c AS (SELECT host, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^(\d[\d._-]*|[0-9a-fA-F]{8,})(\.[A-Za-z]{1,5})?$')
+    OR (regexp_matches(s, '^[A-Za-z0-9_-]{12,}(\.[A-Za-z]{1,5})?$') AND regexp_matches(s, '\d')) THEN '*' || regexp_extract(s, '(\.[A-Za-z]{1,5})$', 1) ELSE s END) AS form,
+    path, count(*) AS n, count(rv) AS known, count(*) FILTER (WHERE rv = 'block') AS bad FROM h LEFT JOIN m USING (host, path) GROUP BY host, path),
+  f AS (SELECT host, form, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM c GROUP BY host, form),
+  t AS (SELECT host, form, unnest(range(1, len(form) + 1)) AS i, n, known, bad FROM f),
+  b AS (SELECT host, form[1:i] AS node, form[1:i - 1] AS parent, form[i] AS seg, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM t GROUP BY ALL),
+  a AS (SELECT host, parent, sum(n) AS an, sum(known) AS ak, sum(bad) AS ab, count(*) AS kids FROM b GROUP BY host, parent),
+  e AS (SELECT *, kids > 16 AND n < 0.02 * an AND NOT (known > 0 AND ak > known AND ab > 0 AND ab < ak AND abs(bad / nullif(known, 0) - (ab - bad) / nullif(ak - known, 0)) >= 2 * sqrt(ab / ak * (1 - ab / ak) * (1 / nullif(known, 0) + 1 / nullif(ak - known, 0)))) AS rare0,
+    CASE WHEN known > 0 THEN floor(asin(sqrt(least(1.0, (bad + 4 * ((ab + 2) / (ak + 4))) / (known + 4)))) / (0.5 / sqrt(ak / kids + 4))) END AS kind FROM b JOIN a USING (host, parent)),
+  o AS (SELECT *, coalesce(rare0, false) AS rare FROM e),
+  q AS (SELECT host, parent, kind, min(seg) AS first FROM o WHERE NOT rare AND kind IS NOT NULL GROUP BY ALL),
+  l AS (SELECT o.host, node, CASE WHEN rare THEN '*' ELSE coalesce(first, seg) END AS merged FROM o LEFT JOIN q ON o.host = q.host AND o.parent = q.parent AND o.kind = q.kind),
+  z AS (SELECT t.host, t.form, string_agg('/' || merged, '' ORDER BY i) AS merged FROM t JOIN l ON t.host = l.host AND t.form[1:i] = l.node GROUP BY t.host, t.form),
+  y AS (SELECT f.host, f.form, coalesce(merged, '') AS merged, known, bad FROM f LEFT JOIN z ON f.host = z.host AND f.form = z.form),
+  j AS (SELECT host, merged, known, (bad + 4 * (hb + 2) / (hk + 4)) / (known + 4) AS purity FROM (SELECT host, merged, sum(known) AS known, sum(bad) AS bad FROM y GROUP BY ALL) JOIN (SELECT host, sum(known) AS hk, sum(bad) AS hb FROM y GROUP BY host) USING (host))
+ SELECT page_id, h.host, h.path, rule, coalesce(rv, CASE WHEN j.known > 0 AND purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict
+  FROM h JOIN c ON h.host = c.host AND h.path = c.path JOIN y ON y.host = c.host AND y.form = c.form JOIN j ON j.host = y.host AND j.merged = y.merged LEFT JOIN m ON m.host = h.host AND m.path = h.path""",
     "op1_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
