@@ -38,7 +38,7 @@ class TextEncoder:
     #: Characters of text that are encoded at once, and of joined new parts in a string.
     BATCH, BLOCK = 4 << 20, 1_000
     #: Distinct parts whose ids are kept, and characters of the longest that is.
-    MOST_PARTS, LONGEST_PART = 300_000, 64
+    MOST_PARTS, LONGEST_PART = 200_000, 64
 
     def __init__(self, path: str, end_id: int, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -9,8 +9,8 @@ ROWS min-hashes in BANDS bands miss a pair of that similarity with probability
 Links are confirmed by exact similarity, in two steps, so that a large group
 costs what its size does and not what its pairs do:
 
-1. Every text is compared with the first of each of its cells. Components of
-   the links that are confirmed come next.
+1. Every text is compared with one other, which is the first of most of its
+   cells. Components of the links that are confirmed come next.
 2. Where a cell holds texts of several components still, those outside the
    cell's largest component are compared with all of the cell that are in other
    components than their own. A cell whose texts are in one component is done:
@@ -35,13 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import shared
-from .simhash import components, fingerprint, grouped
+from .simhash import components, grouped, majority
+from .suffix_dedup import Hashes
 
 WORDS, BANDS, ROWS = 5, 20, 4
 #: Least similarity of near copies, as a fraction: 4 of 5 shingles.
 SHARED, OF = 4, 5
-#: Shingles that are min-hashed at once.
-CHUNK = 1 << 10
+#: Shingles that are min-hashed, and hashed, at once.
+CHUNK, SHINGLES = 1 << 10, 1 << 15
+
+#: Texts whose shingles are kept while pairs are compared.
+HELD = 64
 
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 63, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
 _FLIPS, _FACTORS = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
@@ -52,13 +56,26 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def all_shingles(of: list[bytes]) -> np.ndarray:
+    """Hashes of the shingles, repeats included."""
+    if not of:
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, of), dtype=np.int64, count=len(of)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    width = min(WORDS, len(of))
+    n = len(of) - width + 1
+    data = np.frombuffer(b" ".join(of), dtype=np.uint8)
+    out = []
+    # So many shingles at a time that their bytes are few; a polynomial hash of any length costs the same.
+    for i in range(0, n, SHINGLES):
+        low, high = int(begins[i]), int(ends[min(n, i + SHINGLES) + width - 2])
+        out.append(Hashes(data[low:high]).of(begins[i : i + SHINGLES][: n - i] - low, ends[i + width - 1 : i + width - 1 + SHINGLES][: n - i] - low))
+    return np.concatenate(out)
+
+
 def shingles(of: list[bytes]) -> np.ndarray:
     """Hashes of the distinct shingles, sorted."""
-    from xxhash import xxh64_intdigest
-
-    width = min(WORDS, len(of))
-    found = {b" ".join(of[i : i + width]) for i in range(len(of) - width + 1)} if of else ()
-    return np.unique(np.fromiter(map(xxh64_intdigest, found), dtype=np.uint64, count=len(found)))
+    return np.unique(all_shingles(of))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -79,29 +96,32 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose texts(key, text) are alike. Many may have the same b, whose shingles are made once in a row."""
+    """Those of pairs(a, b) whose texts(key, text) are alike. Rows of one a follow each other, and many have the same b, so shingles are kept for a while."""
     both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+
+        def of(key: int, text: pa.Scalar) -> np.ndarray:
+            if key not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                held[key] = shingles(words(text.as_py()))
+            return held[key]
+
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i, key in enumerate(b):
-                if key not in held:
-                    if len(held) >= 64:
-                        held.clear()
-                    held[key] = shingles(words(batch.column("right")[i].as_py()))
-                keep.append(alike(shingles(words(batch.column("left")[i].as_py())), held[key]))
+            keep = [alike(of(x, batch.column("left")[i]), of(y, batch.column("right")[i])) for i, (x, y) in enumerate(zip(a, b, strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).filter(pa.array(keep, pa.bool_())) for c in (a, b)], ["a", "b"])
 
     return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
 def first_of_cells(cells: DataFrame) -> DataFrame:
-    """(a, b): each text of a cell with the cell's smallest one."""
+    """(a, b): each text with one other, the smallest of a cell: the one that is so in most of its cells."""
     hubs = shared.staged(cells.groupBy("cell").agg(F.min("key").alias("b"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "near-hubs")
-    return cells.join(hubs, "cell").select(F.col("key").alias("a"), "b").filter("a != b").distinct()
+    shared_cells = cells.join(hubs, "cell").select(F.col("key").alias("a"), "b").filter("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return shared_cells.groupBy("a").agg(F.max_by("b", F.struct("n", F.bitwise_not("b"))).alias("b"))
 
 
 def undecided(cells: DataFrame, roots: DataFrame) -> DataFrame:
@@ -135,7 +155,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: that with the smallest id, or any if none has one."""
     names, rows = docs.columns, shared.packed(docs)
 
-    shared.bound_batches(docs.sparkSession)
+    shared.bound_batches(docs.sparkSession, 1_000)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -146,8 +166,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 text = text.as_py()
                 of = words(text)
                 keys.append(xxh64_intdigest(b" ".join(of)))
-                fps.append(fingerprint(text, WORDS))
-                cells.append(bands(shingles(of)).view(np.int64) if of else None)
+                hashes = all_shingles(of)
+                fps.append(majority([hashes]))
+                cells.append(bands(np.unique(hashes)).view(np.int64) if of else None)
             for name, numbers in (("_key", keys), ("_fp", fps)):
                 batch = batch.append_column(name, pa.array(np.array(numbers, dtype=np.uint64).view(np.int64)))
             yield batch.append_column("_bands", pa.array(cells, pa.list_(pa.int64())))

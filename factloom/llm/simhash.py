@@ -20,7 +20,7 @@ gives an empty result. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -57,11 +57,16 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
     width = min(words_per_shingle, len(words))
     n = len(words) - width + 1
     begins, ends = begins[:n].tolist(), ends[width - 1 :].tolist()
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, CHUNK):
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins[i : i + CHUNK], ends[i : i + CHUNK], strict=True)], dtype="<u8")
-        counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048)
+    return majority(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins[i : i + CHUNK], ends[i : i + CHUNK], strict=True)], dtype="<u8") for i in range(0, n, CHUNK))
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """The 64 bits that are set in more than half of all hashes."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in chunks:
+        counts = np.bincount((np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048)
         ones += (counts.reshape(8, 256) @ _BITS).ravel()
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

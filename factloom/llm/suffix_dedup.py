@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Windows of a block, and bytes that are hashed at once.
-BLOCK, SEGMENT = 24, 1 << 20
+BLOCK, SEGMENT = 24, 1 << 18
 PLACE = np.uint64((1 << 22) - 1)
 FACTOR = 0x9E3779B97F4A7C15
 #: Characters that stand for a word, of seven bits each.
@@ -64,18 +64,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, tuple] = {}
+_POWERS: list[tuple] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte, and n powers of FACTOR and of its inverse, modulo 2**64."""
-    if n not in _POWERS:
+    """A random number for each byte, and n or more powers of FACTOR and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0][1]) < n:
         names = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
         up, down = np.full(n, FACTOR, dtype=np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
-        _POWERS.clear()
-        _POWERS[n] = names, np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[n]
+        _POWERS[:] = [(names, np.multiply.accumulate(up), np.multiply.accumulate(down))]
+    return _POWERS[0]
 
 
 class Hashes:
@@ -288,7 +287,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, counts: DataFrame, length: int = 400, by_words: bool = False) -> tuple[DataFrame, DataFrame]:
     """(t1, t2, ranges) of windows that repeat, and (t1, t2) of texts that several rows have; windows of words' codes if asked."""
-    shared.bound_batches(docs.sparkSession)
+    shared.bound_batches(docs.sparkSession, 1_000)
     # So many words, each but the last with white space after it, are two bytes each at least.
     least = 2 * (length // CODE) - 1 if by_words else length
     texts = keyed(docs, F.col("text")).filter(F.octet_length("text") >= least).select("doc_id", F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "text")
