@@ -11,12 +11,12 @@ costs what its size does and not what its pairs do:
 
 1. Every text is compared with one other, which is the first of most of its
    cells. Components of the links that are confirmed come next.
-2. Where a cell holds texts of several components still, those outside the
+2. Where a cell of a band holds texts of several components still, those outside the
    cell's largest component are compared with all of the cell that are in other
    components than their own. A cell whose texts are in one component is done:
    further links in it change nothing.
 
-So no link between different components of a cell is left out. Components of
+So no link between different components of a band's cell is left out. Components of
 all links are the groups.
 
 Defined results: words are those of SimHash; texts with the same words in the
@@ -139,7 +139,7 @@ def undecided(cells: DataFrame, roots: DataFrame) -> DataFrame:
 def links(texts: DataFrame) -> DataFrame:
     """(a, b): links of near copies among the distinct texts(key, fp, bands, text), enough of them for their components."""
     nodes = shared.staged(texts.select("key", "fp", "bands"), "near-nodes")
-    by_fp = nodes.select("key", "fp").join(grouped(nodes.select("fp")), "fp").select(F.xxhash64(F.lit("fp"), "root").alias("cell"), "key")
+    by_fp = shared.staged(nodes.select("key", "fp").join(grouped(nodes.select("fp")), "fp").select(F.xxhash64(F.lit("fp"), "root").alias("cell"), "key"), "near-fingerprints")
     cells = nodes.select(F.explode("bands").alias("cell"), "key").union(by_fp)
     several = shared.staged(cells.groupBy("cell").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "near-cells")
     cells = shared.staged(cells.join(several, "cell"), "near-members")
@@ -147,7 +147,9 @@ def links(texts: DataFrame) -> DataFrame:
     asked = shared.staged(texts.select("key", "text").join(cells.select("key").distinct(), "key", "left_semi"), "near-texts")
     first = shared.staged(confirmed(first_of_cells(cells), asked), "near-first")
     roots = components(first, "near-stars")
-    second = shared.staged(confirmed(undecided(cells, shared.staged(roots, "near-roots")), asked), "near-second")
+    # Bands find all pairs but 3 in 100,000; components of fingerprints may hold many unlike texts, and only add to the first step.
+    banded = cells.join(by_fp.select("cell").distinct(), "cell", "left_anti")
+    second = shared.staged(confirmed(undecided(banded, shared.staged(roots, "near-roots")), asked), "near-second")
     return first.union(second)
 
 
