@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, mixing, nndescent, orc_tokens, packing, shared, simhash, suffix_dedup, topk_kdtree, toxicity, url_templates
+from . import arc_warc, fill_middle, mixing, nndescent, orc_tokens, packing, shared, simhash, suffix_dedup, topk_kdtree, toxicity, url_templates
 from .shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -77,6 +77,10 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.layout(spark, path)
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transformed(table(spark, sf_dir, "documents"), kind="lines", seed=7, rate=100, spm=50))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") or name == "instruction_packing"}
 
@@ -122,6 +126,15 @@ SQL = {
  s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_fill_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ u AS (SELECT *, string_split(t, chr(10)) AS l, list_transform(range(4), lambda i: ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT) AS r FROM d),
+ n AS (SELECT *, len(l) - (l[-1] = '')::INT AS n FROM u),
+ c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b FROM n),
+ o AS (SELECT *, least(length(t), coalesce(list_sum(list_transform(l[1:a], lambda x: length(x) + 1)), 0))::BIGINT AS p, least(length(t), coalesce(list_sum(list_transform(l[1:b], lambda x: length(x) + 1)), 0))::BIGINT AS q,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:p] || '<S>' || t[q + 1:] || '<M>' || t[p + 1:q] ELSE '<S>' || t[q + 1:] || '<P>' || t[1:p] || '<M>' || t[p + 1:q] END) AS output_sha256,
+ sha256(t) AS restored_sha256 FROM o""",
     "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h FROM p),
  f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
  SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         connection.sql(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     found = queries.queries()[name](spark, FOLDER)
     wanted = connection.sql(queries.oracle_sql()[name])
