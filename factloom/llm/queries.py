@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, fill_middle, mixing, nndescent, orc_tokens, packing, shared, simhash, suffix_dedup, topk_kdtree, toxicity, url_templates
+from . import arc_warc, fill_middle, mixing, nndescent, orc_tokens, packing, prefix_trie, shared, simhash, suffix_dedup, topk_kdtree, toxicity, url_templates
 from .shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -77,6 +77,11 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.layout(spark, path)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return prefix_trie.lending_trie(table(spark, sf_dir, "conversations"), heads, F.col("conv_id") - F.col("conv_id") % 20, most_heads=3)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.transformed(table(spark, sf_dir, "documents"), kind="lines", seed=7, rate=100, spm=50))
 
@@ -126,6 +131,21 @@ SQL = {
  s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_prefix_trie": r"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+ b AS (SELECT c, c - c % 20 AS base, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+   lambda a, x: list_reduce(list_prepend(xor(a, x), list_transform(range(8), lambda i: 0::BIGINT)), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) AS r FROM (SELECT DISTINCT c FROM t)),
+ h AS (SELECT c, base, xor(r, 4294967295) % 4 AS h, (SELECT count(*) FROM t WHERE t.c = b.base) AS lent FROM b),
+ r AS (SELECT h.c, t.p AS d, role, text FROM h JOIN t ON t.c = h.base AND t.p <= h UNION ALL SELECT h.c, p - h + least(h, lent), role, text FROM h JOIN t ON t.c = h.c AND p > h),
+ s AS (SELECT c, list({'role': role, 'text': text} ORDER BY d) AS l FROM r GROUP BY c),
+ a AS (SELECT h.c, coalesce(l, []) AS l, len(coalesce(l, [])) AS n FROM h LEFT JOIN s USING (c)),
+ k AS (SELECT c, n, d, sha256(l[1:d]::VARCHAR || d) AS k, CASE WHEN d > 0 THEN sha256(l[1:d - 1]::VARCHAR || (d - 1)) END AS pk, CASE WHEN d > 0 THEN len(list_filter(string_split_regex(l[d].text, '[ 	
+]+'), lambda x: x <> '')) ELSE 0 END AS words
+   FROM (SELECT c, l, n, unnest(range(n + 1)) AS d FROM a)),
+ m AS (SELECT k, pk, d, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * max(words) AS own, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM k GROUP BY k, pk, d),
+ f AS (SELECT pk AS k, count(*) AS kids FROM m WHERE pk IS NOT NULL GROUP BY pk),
+ u AS (SELECT x.k, sum(own) AS saved, count(*) FILTER (WHERE kids IS NULL) AS leaves FROM (SELECT m.*, kids FROM m LEFT JOIN f USING (k)) y JOIN k x ON x.c = y.c AND x.d <= y.d GROUP BY x.k)
+ SELECT m.c AS conv_id, m.d AS depth, q.c AS parent_conv_id, m.n_convs, coalesce(kids, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+  FROM m JOIN u USING (k) LEFT JOIN f USING (k) LEFT JOIN m q ON q.k = m.pk""",
     "op13_fill_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
  u AS (SELECT *, string_split(t, chr(10)) AS l, list_transform(range(4), lambda i: ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT) AS r FROM d),
  n AS (SELECT *, len(l) - (l[-1] = '')::INT AS n FROM u),
