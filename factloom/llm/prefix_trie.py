@@ -247,8 +247,9 @@ def nodes(convs: DataFrame, turns: DataFrame, most: int = MOST_TURNS) -> DataFra
         F.coalesce("leaves", F.lit(1)).cast("long").alias("n_leaves"), (F.col("_own") + F.col("_deeper") + F.coalesce("saved", F.lit(0))).cast("long").alias("saved_tokens"), "ends_at",
     )
     names = chained.columns
-    whole = one.agg(F.min("rep").alias("conv_id"), F.sum("weight").alias("n_convs"), F.min(F.when(F.col("length") == 0, F.col("rep"))).alias("ends_at")).filter("conv_id is not null")
-    root = whole.withColumn("of", F.lit("")).join(below, "of", "left").select(
+    whole = one.agg(F.min("rep").alias("conv_id"), F.sum("weight").alias("n_convs"), F.min(F.when(F.col("length") == 0, F.col("rep"))).alias("ends_at"))
+    sums = below.filter("of = ''").select("children", "leaves", "saved")
+    root = whole.unionByName(sums, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in (*whole.columns, *sums.columns)]).filter("conv_id is not null").select(
         "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
         F.coalesce("children", F.lit(0)).cast("long").alias("n_children"), F.coalesce("leaves", F.lit(1)).cast("long").alias("n_leaves"), F.coalesce("saved", F.lit(0)).cast("long").alias("saved_tokens"), "ends_at",
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, fill_middle, mixing, nndescent, orc_tokens, packing, prefix_trie, shared, simhash, suffix_dedup, topk_kdtree, toxicity, url_templates
+from . import arc_warc, fill_middle, hilbert_shards, mixing, nndescent, orc_tokens, packing, prefix_trie, shared, simhash, suffix_dedup, topk_kdtree, toxicity, url_templates
 from .shared import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -77,6 +77,12 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.layout(spark, path)
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), shared.new_path(spark, "shards")
+    hilbert_shards.write(docs, path, ["lang", "source", "n_chars", "doc_id"], shards=8, law="bytes")
+    return hilbert_shards.digest(hilbert_shards.read(spark, path, docs.schema), law="bytes")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
     return prefix_trie.lending_trie(table(spark, sf_dir, "conversations"), heads, F.col("conv_id") - F.col("conv_id") % 20, most_heads=3)
@@ -131,6 +137,25 @@ SQL = {
  s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_hilbert_shards": r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang, source, n_chars FROM documents),
+ e AS (SELECT hex(encode(min(lang))) AS l1, hex(encode(max(lang))) AS h1, hex(encode(min(source))) AS l2, hex(encode(max(source))) AS h2, count(*) AS n FROM d),
+ f AS (SELECT n, (SELECT count(*) FROM range(1, 1 + least(len(l1), len(h1)) // 2) v(i) WHERE l1[1:2 * i] = h1[1:2 * i]) AS p1, (SELECT count(*) FROM range(1, 1 + least(len(l2), len(h2)) // 2) v(i) WHERE l2[1:2 * i] = h2[1:2 * i]) AS p2 FROM e),
+ q AS (SELECT r, 0 AS k, ('0x' || rpad(substr(hex(encode(lang)), 2 * p1 + 1, 12), 12, '0'))::BIGINT::DOUBLE AS v FROM d, f
+  UNION ALL SELECT r, 1, ('0x' || rpad(substr(hex(encode(source)), 2 * p2 + 1, 12), 12, '0'))::BIGINT::DOUBLE FROM d, f UNION ALL SELECT r, 2, n_chars::DOUBLE FROM d UNION ALL SELECT r, 3, doc_id::DOUBLE FROM d),
+ w AS (SELECT k, min(v) AS lo, max(v) AS hi FROM q GROUP BY k),
+ b AS (SELECT r, k, CASE WHEN v IS NULL THEN 0 WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * 4096)::BIGINT, 4095) + 1 ELSE 1 END AS bin FROM q JOIN w USING (k)),
+ c AS (SELECT k, bin, floor((sum(m) OVER (PARTITION BY k ORDER BY bin) - m + m / 2) * 32 / n)::BIGINT AS cell FROM (SELECT k, bin, count(*) AS m FROM b GROUP BY k, bin), f),
+ x(r, s, x) AS (SELECT r, 0, list(cell ORDER BY k) FROM b JOIN c USING (k, bin) GROUP BY r UNION ALL
+  SELECT r, s + 1, list_transform(range(4), lambda j: CASE WHEN j = 0 THEN xor(x[1], CASE WHEN x[i] & q <> 0 THEN q - 1 ELSE xor(x[1], x[i]) & (q - 1) END)
+   WHEN j + 1 = i AND x[i] & q = 0 THEN xor(x[i], xor(x[1], x[i]) & (q - 1)) ELSE x[j + 1] END) FROM (SELECT *, s % 4 + 1 AS i, 1::BIGINT << (4 - s // 4)::INT AS q FROM x WHERE s < 16)),
+ g AS (SELECT r, [x[1], xor(x[1], x[2]), xor(xor(x[1], x[2]), x[3]), xor(xor(xor(x[1], x[2]), x[3]), x[4])] AS g FROM x WHERE s = 16),
+ o AS (SELECT r, list_sum(list_transform(range(20), lambda z: ((xor(g[z % 4 + 1], u) >> (z // 4)::INT) & 1) << (z - z % 4 + 3 - z % 4)::INT)) AS place
+  FROM (SELECT *, list_reduce(list_transform(range(5), lambda z: CASE WHEN g[4] & (1::BIGINT << z::INT) <> 0 THEN (1::BIGINT << z::INT) - 1 ELSE 0 END), lambda y, z: xor(y, z)) AS u FROM g)),
+ y AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, list_transform(range(8), lambda z: 0::BIGINT)), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS y),
+ z AS (SELECT r, doc_id, strlen(t) + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(t)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, v: xor(a >> 8, y[(xor(a, v) & 255) + 1]))) AS crc
+  FROM (SELECT *, hex(encode(t)) AS h FROM d), y),
+ a AS (SELECT doc_id, size, crc, place, ((2 * (sum(size) OVER (ORDER BY place, doc_id NULLS FIRST, crc ROWS UNBOUNDED PRECEDING)) - size) * 8 // (2 * sum(size) OVER ()))::INT AS shard FROM z JOIN o USING (r))
+ SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, crc) - 1 AS slot, NULL::INT AS grown_shard FROM a""",
     "op12_prefix_trie": r"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
  b AS (SELECT c, c - c % 20 AS base, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
    lambda a, x: list_reduce(list_prepend(xor(a, x), list_transform(range(8), lambda i: 0::BIGINT)), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) AS r FROM (SELECT DISTINCT c FROM t)),
@@ -139,7 +164,8 @@ SQL = {
  s AS (SELECT c, list({'role': role, 'text': text} ORDER BY d) AS l FROM r GROUP BY c),
  a AS (SELECT h.c, coalesce(l, []) AS l, len(coalesce(l, [])) AS n FROM h LEFT JOIN s USING (c)),
  k AS (SELECT c, n, d, sha256(l[1:d]::VARCHAR || d) AS k, CASE WHEN d > 0 THEN sha256(l[1:d - 1]::VARCHAR || (d - 1)) END AS pk, CASE WHEN d > 0 THEN len(list_filter(string_split_regex(l[d].text, '[ 	
-]+'), lambda x: x <> '')) ELSE 0 END AS words
+
+]+'), lambda x: x <> '')) ELSE 0 END AS words
    FROM (SELECT c, l, n, unnest(range(n + 1)) AS d FROM a)),
  m AS (SELECT k, pk, d, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * max(words) AS own, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM k GROUP BY k, pk, d),
  f AS (SELECT pk AS k, count(*) AS kids FROM m WHERE pk IS NOT NULL GROUP BY pk),
