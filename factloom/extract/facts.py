@@ -2,58 +2,76 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import perl
 
 FACTS = (
     "uri string, fact string, name string, other string, kind string, var_kind string, qualified_name string, container_name string, declaration string, "
     "symbols array<string>, scope_id int, parent int, sb int, sl int, sc int, eb int, el int, ec int"
 )
+#: What tokens and pragma states have besides.
+MORE = "seq int, text string, strict_vars boolean, strict_subs boolean, strict_refs boolean, warnings boolean"
 COLUMNS = [x.split()[0] for x in FACTS.split(", ")]
+ALL = [*COLUMNS, *(x.split()[0] for x in MORE.split(", "))]
+#: Bytes of text that a task reads.
+TASK_BYTES = 4 << 20
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
+def spread(files: DataFrame) -> DataFrame:
+    """(uri, text), dealt by hash of the uri to tasks that read about TASK_BYTES each."""
+    size = files.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+    return files.select("uri", "text").repartition(tasks, "uri")
+
+
+def parsed(files: DataFrame, tokens: bool = False, pragmas: bool = False) -> DataFrame:
     """All facts of all files in one pass, one row each; `fact` tells the table. Null texts are empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [row for uri, text in zip(batch["uri"], batch["text"], strict=True) for row in perl.rows(uri, text or "")]
-            frame = pd.DataFrame(found, columns=COLUMNS).astype(object)
-            yield frame.where(frame.notna(), None)
+            found: list[list] = [[] for _ in ALL]
+            for uri, text in zip(batch["uri"], batch["text"], strict=True):
+                for row in perl.rows(uri, text or "", tokens, pragmas):
+                    for column, name in zip(found, ALL, strict=True):
+                        column.append(row.get(name))
+            yield pd.DataFrame(dict(zip(ALL, (pd.Series(c, dtype=object) for c in found), strict=True)))
+
+    return spread(files).mapInPandas(run, f"{FACTS}, {MORE}")
+
+
+def stored(files: DataFrame, tokens: bool = False, pragmas: bool = False) -> DataFrame:
+    """parsed(), written once, a folder for each table of facts; what reads a table reads no other, and parses nothing again."""
+    return storage.staged(parsed(files, tokens, pragmas), "facts", "fact")
 
-    return files.select("uri", "text").mapInPandas(run, FACTS)
+
+def extract_facts(files: DataFrame) -> DataFrame:
+    return parsed(files).select(*COLUMNS)
 
 
 def tokens(files: DataFrame) -> DataFrame:
     """(uri, seq, kind, text, sb, eb): tokens with UTF-8 offsets."""
+    return tokens_of(parsed(files, tokens=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for uri, text in zip(batch["uri"], batch["text"], strict=True):
-                text = text or ""
-                for i, t in enumerate(perl.tokenize(text)):
-                    out.append((uri, i, t.kind, t.text, len(text[: t.start].encode()), len(text[: t.end].encode())))
-            yield pd.DataFrame(out, columns=["uri", "seq", "kind", "text", "sb", "eb"])
 
-    return files.select("uri", "text").mapInPandas(run, "uri string, seq int, kind string, text string, sb int, eb int")
+def tokens_of(facts: DataFrame) -> DataFrame:
+    """The tokens among facts that were parsed with them."""
+    return table(facts, "token", **{n: n for n in ("seq", "kind", "text", "sb", "eb")})
 
 
 def pragmas(files: DataFrame) -> DataFrame:
     """(uri, sb, strict_vars, strict_subs, strict_refs, warnings): the state from each change on."""
-    schema = "uri string, sb int, strict_vars boolean, strict_subs boolean, strict_refs boolean, warnings boolean"
+    return pragmas_of(parsed(files, pragmas=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [{"uri": uri, **state} for uri, text in zip(batch["uri"], batch["text"], strict=True) for state in perl.pragma_states(text or "")]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return files.select("uri", "text").mapInPandas(run, schema)
+def pragmas_of(facts: DataFrame) -> DataFrame:
+    return table(facts, "pragma", **{n: n for n in ("sb", "strict_vars", "strict_subs", "strict_refs", "warnings")})
 
 
 def table(facts: DataFrame, fact: str, **columns: str) -> DataFrame:
@@ -96,4 +114,4 @@ def ingest(files: DataFrame, known_files: DataFrame, known_facts: DataFrame) ->
     hashed = files.withColumn("content_hash", F.xxhash64("text"))
     new = hashed.join(known_files.select("uri", "content_hash"), ["uri", "content_hash"], "left_anti")
     kept = known_facts.join(new.select("uri").distinct(), "uri", "left_anti")
-    return kept.unionByName(extract_facts(new))
+    return kept.unionByName(extract_facts(new), allowMissingColumns=True)

@@ -11,15 +11,20 @@ a quote gives one `unparsed` row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
 WORD = re.compile(r"[^\W\d]\w*(?:(?:::|')[^\W\d]\w*)*(?:::)?")
 NUMBER = re.compile(r"0[xX][0-9a-fA-F_]+|0[bB][01_]+|\d[\d_]*(?:\.(?!\.)\d*)?(?:[eE][+-]?\d+)?|\.\d+")
 VARIABLE = re.compile(r"(?:\$#|[$@%&])(?:\{\^?\w+\}|(?:::)?[^\W\d]\w*(?:::\w+)*|\d+)|\$(?:[&`'+!@/\\,;.0_<>\[\]^|~=%:?-]|\$(?![A-Za-z_{$]))|@_|%\+")
 OPERATOR = re.compile(r"<=>|\*\*=|\|\|=|&&=|//=|<<=|>>=|\.\.\.|->|=>|\+\+|--|\*\*|=~|!~|==|!=|<=|>=|&&|\|\||//|\.\.|::|\+=|-=|\*=|/=|\.=|%=|x=|&=|\|=|\^=|<<|>>|.", re.DOTALL)
 SPACE = re.compile(r"[^\S\n]+")
 HEREDOC = re.compile(r"<<(~?)(?:\"([^\"\n]*)\"|'([^'\n]*)'|([A-Za-z_]\w*))")
+#: Kinds of tokens that are no code.
+APART = ("comment", "pod", "heredoc", "data")
 PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 # Quote-like operators with their number of parts.
 QUOTE_LIKE = {"q": 1, "qq": 1, "qw": 1, "qx": 1, "qr": 1, "m": 1, "s": 2, "tr": 2, "y": 2}
@@ -194,7 +199,50 @@ def strings_of(tokens: list[Token]) -> list[str]:
     return out
 
 
-def extract(text: str) -> Facts:
+class Levels:
+    """Where blocks, statements and argument lists end, looked up by the level of brackets that they end at."""
+
+    def __init__(self, tokens: list[Token], size: int):
+        self.tokens, self.size = tokens, size
+        self.all, self.round, self.semicolons = [0], [0], []
+        self.ends: dict[int, list[int]] = {}
+        self.closed: dict[int, list[int]] = {}
+        for j, t in enumerate(tokens):
+            level, inner = self.all[-1], self.round[-1]
+            if t.kind == "operator":
+                level += (t.text in "{([") - (t.text in "})]") if len(t.text) == 1 else 0
+                inner += (t.text == "(") - (t.text == ")")
+                if t.text == ")":
+                    self.closed.setdefault(inner, []).append(j)
+            if t.text == ";":
+                self.semicolons.append(j)
+            if t.text == ";" or (t.text == "}" and t.kind == "operator"):
+                self.ends.setdefault(level, []).append(j)
+            self.all.append(level)
+            self.round.append(inner)
+
+    def block_end(self, i: int) -> int:
+        """Offset past the block or statement that begins at token i."""
+        found = self._next(self.ends.get(self.all[min(i, len(self.tokens))], []), i)
+        return self.size if found is None else self.tokens[found].end
+
+    def closing(self, i: int) -> int:
+        """Offset past the bracket that closes the one at token i."""
+        found = self._next(self.closed.get(self.round[i], []), i)
+        return self.tokens[-1].end if found is None else self.tokens[found].end
+
+    def semicolon(self, i: int) -> int:
+        """The first token from i on that is a semicolon, or how many tokens there are."""
+        found = self._next(self.semicolons, i)
+        return len(self.tokens) if found is None else found
+
+    @staticmethod
+    def _next(places: list[int], i: int) -> int | None:
+        at = bisect_left(places, i)
+        return places[at] if at < len(places) else None
+
+
+def extract(text: str, code: list[Token] | None = None) -> Facts:
     """Facts of one file.
 
     The package in force is the last one declared, not a stack. Calls are
@@ -204,7 +252,8 @@ def extract(text: str) -> Facts:
     declared again in its package moves its symbol.
     """
     facts = Facts()
-    tokens = [t for t in tokenize(text) if t.kind not in ("comment", "pod", "heredoc", "data")]
+    tokens = [t for t in tokenize(text) if t.kind not in APART] if code is None else code
+    levels, known = Levels(tokens, len(text)), {}
     facts.unparsed = [t for t in tokens if t.kind == "unparsed"]
     package: str | None = None
     callables: list[tuple[str, int]] = []  # (name, depth at which its body closes)
@@ -221,20 +270,6 @@ def extract(text: str) -> Facts:
         facts.symbols.append({"name": name, "kind": kind, "var_kind": variable, "qualified_name": qualified, "container_name": container, "declaration": declaration, "scope_id": scopes[-1], "sb": start, "eb": end})
         return facts.symbols[-1]
 
-    def block_end(i: int) -> int:
-        """Offset past the block or statement that begins at token i."""
-        level = 0
-        for t in tokens[i:]:
-            if t.text in ("{", "(", "[") and t.kind == "operator":
-                level += 1
-            elif t.text in ("}", ")", "]") and t.kind == "operator":
-                level -= 1
-                if level == 0 and t.text == "}":
-                    return t.end
-            elif t.text == ";" and level == 0:
-                return t.end
-        return len(text)
-
     def declare(i: int, word: str) -> int:
         """Declares the variables after my, our, local or state; returns the next token's place."""
         many = i < len(tokens) and tokens[i].text == "("
@@ -273,7 +308,7 @@ def extract(text: str) -> Facts:
                 callables.pop()
         elif t.kind == "word" and t.text in ("package", "class") and nxt and nxt.kind == "word" and not member and not key:
             package = nxt.text.rstrip(":")
-            symbol(package, "Package" if t.text == "package" else "Class", t.start, block_end(i + 2) if t.text == "class" else nxt.end, qualified=package)
+            symbol(package, "Package" if t.text == "package" else "Class", t.start, levels.block_end(i + 2) if t.text == "class" else nxt.end, qualified=package)
             body_kind = "Package"
             if t.text == "class":
                 i = _skip_attributes(tokens, i + 2, package, facts)
@@ -281,14 +316,13 @@ def extract(text: str) -> Facts:
             i += 2
             continue
         elif t.kind == "word" and t.text in ("sub", "method") and nxt and nxt.kind == "word" and not member and not key:
-            name, end = nxt.text, block_end(i + 2)
+            name, end = nxt.text, levels.block_end(i + 2)
             qualified = f"{package}::{name}" if package else name
             if t.text == "sub":
-                known = next((s for s in facts.symbols if s["name"] == name and s["container_name"] == package), None)
-                if known:
-                    known["sb"], known["eb"] = t.start, end
+                if (package, name) in known:
+                    known[package, name].update(sb=t.start, eb=end)
                 else:
-                    symbol(name, "Subroutine", t.start, end, qualified=qualified, container=package)
+                    known[package, name] = symbol(name, "Subroutine", t.start, end, qualified=qualified, container=package)
                 ref(name, "Definition", t.start, end)
             else:
                 symbol(name, "Method", t.start, end, qualified=qualified, container=package)
@@ -297,7 +331,7 @@ def extract(text: str) -> Facts:
             i += 2
             continue
         elif t.kind == "word" and t.text in ("use", "no") and nxt and nxt.kind == "word" and not member and not key:
-            stop = next((j for j in range(i + 2, len(tokens)) if tokens[j].text == ";"), len(tokens))
+            stop = levels.semicolon(i + 2)
             module, listed = nxt.text, strings_of(tokens[i + 2 : stop])
             facts.deps.add(module)
             if t.text == "use":
@@ -311,7 +345,7 @@ def extract(text: str) -> Facts:
             first = tokens[i + 1] if nxt else None
             i = declare(i + 1, t.text)
             if t.text == "our" and first is not None and first.text == "@ISA" and i < len(tokens) and tokens[i].text == "=":
-                stop = next((j for j in range(i, len(tokens)) if tokens[j].text == ";"), len(tokens))
+                stop = levels.semicolon(i)
                 facts.inherits += [{"child": package or "main", "parent": p} for p in strings_of(tokens[i:stop])]
             continue
         elif t.kind == "word" and t.text in ("for", "foreach") and nxt and not member and not key:
@@ -346,7 +380,7 @@ def extract(text: str) -> Facts:
         elif t.kind == "word" and nxt is not None and nxt.text == "(" and t.text not in KEYWORDS:
             bare = t.text.rsplit("::", 1)[-1]
             owner = t.text.rsplit("::", 1)[0] if "::" in t.text else (package or "main")
-            end = _closing(tokens, i + 1)
+            end = levels.closing(i + 1)
             ref(bare, "Usage", t.start, end)
             ref(f"{owner}::{bare}", "Usage", t.start, end)
             facts.calls.append({"caller": callables[-1][0] if callables else (package or "main"), "callee": bare, "kind": "function", "sb": t.start, "eb": end})
@@ -363,20 +397,12 @@ def _skip_attributes(tokens: list[Token], i: int, package: str, facts: Facts) ->
     return i
 
 
-def _closing(tokens: list[Token], i: int) -> int:
-    level = 0
-    for t in tokens[i:]:
-        level += (t.text == "(") - (t.text == ")") if t.kind == "operator" else 0
-        if level == 0:
-            return t.end
-    return tokens[-1].end
-
-
-def pragma_states(text: str) -> list[dict]:
+def pragma_states(text: str, code: list[Token] | None = None) -> list[dict]:
     """(sb, strict_vars, strict_subs, strict_refs, warnings) from each change on; blocks restore what was before them."""
     state = dict.fromkeys(("strict_vars", "strict_subs", "strict_refs", "warnings"), False)
     saved, out = [], []
-    tokens = [t for t in tokenize(text) if t.kind not in ("comment", "pod", "heredoc", "data")]
+    tokens = [t for t in tokenize(text) if t.kind not in APART] if code is None else code
+    levels = Levels(tokens, len(text))
     for i, t in enumerate(tokens):
         if t.text == "{" and t.kind == "operator":
             saved.append(dict(state))
@@ -386,7 +412,7 @@ def pragma_states(text: str) -> list[dict]:
                 state = old
                 out.append({"sb": t.end, **state})
         elif t.kind == "word" and t.text in ("use", "no") and i + 1 < len(tokens) and tokens[i + 1].text in ("strict", "warnings"):
-            stop = next((j for j in range(i, len(tokens)) if tokens[j].text == ";"), len(tokens))
+            stop = levels.semicolon(i)
             listed = strings_of(tokens[i + 2 : stop])
             names = ["warnings"] if tokens[i + 1].text == "warnings" else [f"strict_{x}" for x in (listed or ["vars", "subs", "refs"]) if x in ("vars", "subs", "refs")]
             state.update(dict.fromkeys(names, t.text == "use"))
@@ -394,24 +420,39 @@ def pragma_states(text: str) -> list[dict]:
     return out
 
 
-def rows(uri: str, text: str) -> Iterator[dict]:
-    """Fact rows of one file with line and UTF-16 column positions."""
-    facts = extract(text)
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+class Places:
+    """UTF-8 offsets, lines and UTF-16 columns of the characters of one text, from tables that are made once."""
+
+    def __init__(self, text: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.wide = None
+        if not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            self.wide = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]).tolist()
+            self.units = np.concatenate([[0], np.cumsum(1 + (points >= 0x10000))]).tolist()
+
+    def byte(self, offset: int) -> int:
+        return offset if self.wide is None else self.wide[offset]
+
+    def of(self, offset: int) -> tuple[int, int, int]:
+        """(byte, line, column) of a character."""
+        line = bisect_right(self.starts, offset) - 1
+        start = self.starts[line]
+        return self.byte(offset), line, offset - start if self.wide is None else self.units[offset] - self.units[start]
 
-    def place(offset: int) -> tuple[int, int, int]:
-        from bisect import bisect_right
 
-        line = bisect_right(starts, offset) - 1
-        column = len(text[starts[line] : offset].encode("utf-16-le")) // 2
-        return len(text[:offset].encode()), line, column
+def rows(uri: str, text: str, with_tokens: bool = False, with_pragmas: bool = False) -> Iterator[dict]:
+    """Fact rows of one file with line and UTF-16 column positions; its tokens and pragma states, too, if asked for. The text is read once."""
+    every = tokenize(text)
+    code = [t for t in every if t.kind not in APART]
+    facts, places = extract(text, code), Places(text)
 
     def row(fact: str, **values) -> dict:
         out = {"uri": uri, "fact": fact, **values}
         if "sb" in values:
-            out["sb"], out["sl"], out["sc"] = place(values["sb"])
+            out["sb"], out["sl"], out["sc"] = places.of(values["sb"])
         if "eb" in values:
-            out["eb"], out["el"], out["ec"] = place(values["eb"])
+            out["eb"], out["el"], out["ec"] = places.of(values["eb"])
         return out
 
     yield from (row("symbol", **s) for s in facts.symbols)
@@ -422,3 +463,7 @@ def rows(uri: str, text: str) -> Iterator[dict]:
     yield from (row("call", name=c["caller"], other=c["callee"], kind=c["kind"], sb=c["sb"], eb=c["eb"]) for c in facts.calls)
     yield from (row("scope", scope_id=s["id"], parent=s["parent"], kind=s["kind"], sb=s["sb"], eb=s["eb"]) for s in facts.scopes)
     yield from (row("unparsed", name=t.text[:40], sb=t.start, eb=t.end) for t in facts.unparsed)
+    if with_tokens:
+        yield from ({"uri": uri, "fact": "token", "seq": i, "kind": t.kind, "text": t.text, "sb": places.byte(t.start), "eb": places.byte(t.end)} for i, t in enumerate(every))
+    if with_pragmas:
+        yield from ({"uri": uri, "fact": "pragma", **state, "sb": places.byte(state["sb"])} for state in pragma_states(text, code))

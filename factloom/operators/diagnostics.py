@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import joins
+from . import joins, nesting
 
 # What is in force where
 
@@ -77,11 +77,9 @@ def type_definitions(uses: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def callables_at(points: DataFrame, symbols: DataFrame, at: str) -> DataFrame:
-    """points(uri, at) with the narrowest routine around each; an equi join on the file."""
+    """points(uri, at) with the narrowest routine around each."""
     routines = symbols.filter("kind in ('Subroutine', 'Method')").select("uri", "name", "sb", "eb")
-    inside = points.join(routines, "uri").filter((F.col("sb") <= F.col(at)) & (F.col(at) < F.col("eb")))
-    place = F.row_number().over(Window.partitionBy(*points.columns).orderBy(F.col("eb") - F.col("sb"), "sb"))
-    return inside.withColumn("_n", place).filter("_n = 1").drop("_n")
+    return nesting.innermost(points, routines, ["uri"], at, ties=["sb", "name"])
 
 
 # Lints over tokens(uri, seq, kind, text, sb, eb)
@@ -132,9 +130,8 @@ def deprecated_syntax(tokens: DataFrame) -> DataFrame:
 def undeclared(uses: DataFrame, symbols: DataFrame, scopes: DataFrame, pragmas: DataFrame, special: list[str]) -> DataFrame:
     """uses(uri, name, at) of variables that nothing visible declares before them, where strict subs is in force: that state, not strict vars, is what the check goes by."""
     spans = scopes.select("uri", F.col("id").alias("scope_id"), "sb", "eb")
-    inside = uses.filter(~F.col("name").isin(special)).join(spans, "uri").filter((F.col("sb") <= F.col("at")) & (F.col("at") < F.col("eb")))
-    place = F.row_number().over(Window.partitionBy("uri", "name", "at").orderBy(F.col("eb") - F.col("sb")))
-    placed = inside.withColumn("_n", place).filter("_n = 1").select("uri", "name", F.lit("Variable").alias("kind"), "scope_id", "at")
+    asked = uses.filter(~F.col("name").isin(special)).select("uri", "name", "at").distinct()
+    placed = nesting.innermost(asked, spans, ["uri"], "at", ties=["scope_id"]).select("uri", "name", F.lit("Variable").alias("kind"), "scope_id", "at")
     known = declarations(placed, symbols, scopes).select("uri", "name", "at")
     state = pragmas.groupBy("uri", F.col("sb").alias("at")).agg(F.max("strict_subs").alias("strict_subs"))
     return joins.as_of(placed.join(known, ["uri", "name", "at"], "left_anti"), state, ["uri"], "at", ["strict_subs"]).filter("strict_subs")
@@ -170,37 +167,51 @@ OPENING, CLOSING = ("(", "[", "{"), (")", "]", "}")
 
 
 def _depths(tokens: DataFrame) -> DataFrame:
+    """Brackets with their depth and whether they are surplus: closing ones that nothing has opened, which do not count for what follows."""
     marks = tokens.filter(F.col("text").isin(*OPENING, *CLOSING) & (F.col("kind") == "operator"))
     opening = F.col("text").isin(*OPENING)
     run = _in_file().rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.withColumn("opening", opening).withColumn("_sum", F.sum(F.when(opening, 1).otherwise(-1)).over(run))
+    least = F.least(F.lit(0), F.min("_sum").over(run))
+    counted = counted.withColumn("_least", least).withColumn("surplus", ~F.col("opening") & (F.col("_least") < F.coalesce(F.lag("_least").over(_in_file()), F.lit(0))))
     # A closing bracket has the depth of the opening one that it closes.
-    return marks.withColumn("opening", opening).withColumn("depth", F.sum(F.when(opening, 1).otherwise(-1)).over(run) + F.when(opening, 0).otherwise(1))
+    return counted.withColumn("depth", F.col("_sum") - F.col("_least") + F.when(opening, 0).otherwise(1)).drop("_sum", "_least")
+
+
+def _turns(marks: DataFrame) -> DataFrame:
+    """Brackets that are not surplus with _k: at each depth of a file openings and closings take turns, so the k-th of one belongs to the k-th of the other."""
+    number = F.row_number().over(Window.partitionBy("uri", "depth", "opening").orderBy("seq"))
+    return marks.filter("not surplus").withColumn("_k", number)
+
+
+def _closes(opening: Column, closing: Column) -> Column:
+    return reduce(lambda out, pair: out | ((opening == pair[0]) & (closing == pair[1])), zip(OPENING, CLOSING, strict=True), F.lit(False))
 
 
 def bracket_nodes(tokens: DataFrame) -> DataFrame:
     """(uri, node, parent, kind, depth, sb, eb): a node for each pair of brackets, numbered by its opening token, and its parent or null.
 
-    At each depth of a file openings and closings take turns, so the k-th of
-    one belongs to the k-th of the other: one equi join. Parents are found by
-    one as-of join.
+    kind is the opening bracket, or `error` where another kind closes it.
+    Pairs are one equi join, and parents one as-of join.
     """
-    marks = _depths(tokens)
-    number = F.row_number().over(Window.partitionBy("uri", "depth", "opening").orderBy("seq"))
-    marks = marks.withColumn("_k", number)
+    marks = _turns(_depths(tokens))
     opens = marks.filter("opening").select("uri", "depth", "_k", F.col("seq").alias("node"), F.col("text").alias("kind"), "sb")
-    closes = marks.filter("not opening").select("uri", "depth", "_k", "eb")
-    pairs = opens.join(closes, ["uri", "depth", "_k"]).drop("_k")
+    closes = marks.filter("not opening").select("uri", "depth", "_k", "eb", F.col("text").alias("_close"))
+    pairs = opens.join(closes, ["uri", "depth", "_k"]).withColumn("kind", F.when(_closes(F.col("kind"), F.col("_close")), F.col("kind")).otherwise("error")).drop("_k", "_close")
     above = pairs.select("uri", (F.col("depth") + 1).alias("depth"), "node", F.col("node").alias("parent"))
     return joins.as_of(pairs.select("uri", "depth", "node", "kind", "sb", "eb"), above, ["uri", "depth"], "node", ["parent"]).select("uri", "node", "parent", "kind", "depth", "sb", "eb")
 
 
 def bracket_errors(tokens: DataFrame) -> DataFrame:
-    """(uri, at, message): brackets that nothing opens or closes."""
+    """(uri, at, message): brackets that nothing opens or closes, or that another kind closes."""
     marks = _depths(tokens)
-    number = F.row_number().over(Window.partitionBy("uri", "depth", "opening").orderBy("seq"))
-    marks = marks.withColumn("_k", number).select("uri", "depth", "_k", "opening", "sb", "text")
-    both = marks.groupBy("uri", "depth", "_k").agg(F.count("*").alias("_n"), F.first("opening").alias("opening"), F.min("sb").alias("at"), F.first("text").alias("text"))
-    return both.filter("_n = 1").select("uri", "at", F.concat(F.when(F.col("opening"), "Unclosed ").otherwise("Unexpected "), "text").alias("message"))
+    side = lambda name: F.max(F.when(F.col("opening") == (name == "open"), F.struct("text", "sb"))).alias(name)
+    both = _turns(marks).groupBy("uri", "depth", "_k").agg(side("open"), side("close"))
+    wrong = both.filter(F.col("open").isNull() | F.col("close").isNull() | ~_closes(F.col("open.text"), F.col("close.text")))
+    error = lambda df, word, text, at: df.select("uri", at.alias("at"), F.concat(F.lit(f"{word} "), text).alias("message"))
+    surplus = error(marks.filter("surplus"), "Unexpected", F.col("text"), F.col("sb"))
+    found = [error(wrong.filter(f"{s} is not null"), w, F.col(f"{s}.text"), F.col(f"{s}.sb")) for s, w in (("open", "Unclosed"), ("close", "Unexpected"))]
+    return surplus.unionByName(found[0]).unionByName(found[1])
 
 
 def child_counts(nodes: DataFrame) -> DataFrame:

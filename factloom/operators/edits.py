@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, values
+from . import joins
 
 EDITS = "uri string, start int, end int, new_text string"
 
@@ -124,9 +125,10 @@ def _java(new: str) -> str:
     return re.sub(r"\$(?![12])", r"\\$", new)
 
 
-def fixes_for(diagnostics: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Diagnostics(uri, sb, eb, ...) that overlap requested ranges(uri, start, end), in an equi join on the file."""
-    return diagnostics.join(ranges, "uri").filter((F.col("sb") < F.col("end")) & (F.col("start") < F.col("eb")))
+def fixes_for(diagnostics: DataFrame, ranges: DataFrame, width: int = 256) -> DataFrame:
+    """Diagnostics(uri, sb, eb, ...) that overlap requested ranges(uri, start, end): range joins over cells of width."""
+    asked = ranges.withColumnRenamed("uri", "_uri")
+    return joins.overlapping(diagnostics, asked, ("sb", "eb"), ("start", "end"), [("uri", "_uri")], width).drop("_uri")
 
 
 def code_lenses(symbols: DataFrame, counts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rounds
+from .. import storage
 
 
 def references(keys: DataFrame, refs: DataFrame, key: str, location: list[str]) -> DataFrame:
@@ -50,21 +50,27 @@ def scope_ancestors(scopes: DataFrame, most_depth: int | None = None) -> DataFra
     of length n takes log2(n) rounds, and each round's pairs are written before
     the next. Rounds end when one finds nothing; a cycle raises an error.
     """
+    found = storage.settled(lambda: _doubled(scopes, most_depth), "ancestors")
+    return found if most_depth is None else found.filter(F.col("depth") <= most_depth)
+
+
+def _doubled(scopes: DataFrame, most_depth: int | None) -> DataFrame:
     pairs = scopes.select("uri", "id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    links = scopes.filter("parent is not null").select("uri", "id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    links = storage.staged(scopes.filter("parent is not null").select("uri", "id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestors-1")
     for doubling in range(MOST_DOUBLINGS):
         reach = 1 << doubling
         if most_depth is not None and reach >= most_depth:
             break
         next_ = links.select("uri", F.col("id").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
-        farther = rounds.cut(links.filter(F.col("depth") == reach).join(next_, ["uri", "ancestor"]).select("uri", "id", F.col("_far").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth")))
-        if farther.isEmpty():
+        farther = links.filter(F.col("depth") == reach).join(next_, ["uri", "ancestor"]).select("uri", "id", F.col("_far").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        farther = storage.staged(farther, f"ancestors-{reach}")
+        size = farther.agg(F.count("*").alias("rows"), F.max(F.col("id") == F.col("ancestor")).alias("around")).first()
+        if not size["rows"]:
             break
-        if not farther.filter("id = ancestor").isEmpty():
+        if size["around"]:
             raise ValueError("scopes lie around themselves")
         links = links.union(farther)
-    found = pairs.union(links)
-    return found if most_depth is None else found.filter(F.col("depth") <= most_depth)
+    return pairs.union(links)
 
 
 #: The depth of what is seen whatever scope it is in: farther than any other.
@@ -242,7 +248,3 @@ def lacking(files: DataFrame, uses: DataFrame, modules: list[str]) -> DataFrame:
     """(uri, module): files that do not use one of the modules."""
     wanted = files.select("uri").distinct().withColumn("module", F.explode(F.array(*map(F.lit, modules))))
     return wanted.join(uses.select("uri", "module").distinct(), ["uri", "module"], "left_anti")
-
-
-def column_list(*columns: str) -> list[Column]:
-    return [F.col(c) for c in columns]

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rounds
+from .. import storage
+from . import nesting
 
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
@@ -83,10 +84,9 @@ def selection_chain(nodes: DataFrame, position: int, start: str = "sb", end: str
     return nodes.filter((F.col(start) <= position) & (F.lit(position) < F.col(end))).orderBy(F.desc(depth))
 
 
-def chains_at(nodes: DataFrame, points: DataFrame, by: str, at: str, start: str = "sb", end: str = "eb", depth: str = "depth") -> DataFrame:
-    """selection_chain for points(by, at) of many files: the nodes around each, numbered by `up` from the deepest; an equi join on the file."""
-    inside = points.join(nodes, by).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
-    return inside.withColumn("up", F.row_number().over(Window.partitionBy(by, at).orderBy(F.desc(depth))) - 1)
+def chains_at(nodes: DataFrame, points: DataFrame, by: str, at: str, start: str = "sb", end: str = "eb", ties: list[str] | None = None) -> DataFrame:
+    """selection_chain for points(by, at) of many files: the nodes around each, numbered by `up` from the narrowest."""
+    return nesting.around(points, nodes, [by], at, start, end, ties)
 
 
 def with_any_tag(rows: DataFrame, tags: list[str], column: str = "tags") -> DataFrame:
@@ -105,7 +105,7 @@ def seeded_pick(rows: DataFrame, seed: int, order: list[str]) -> DataFrame:
     Rows are range-sorted once; the sizes of the ranges tell which of them
     holds the place, and only that one is numbered.
     """
-    placed = rounds.cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    placed = storage.staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "picked")
     sizes = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
     if not sizes:
         return rows.limit(0)

@@ -46,7 +46,17 @@ def files(t: Tables) -> DataFrame:
 
 
 def found(t: Tables) -> DataFrame:
-    return facts.extract_facts(files(t))
+    """The facts of all files, parsed and written once for a query."""
+    if "facts" not in t.made:
+        t.made["facts"] = facts.stored(files(t))
+    return t.made["facts"]
+
+
+def all_found(t: Tables) -> DataFrame:
+    """The same with tokens and pragma states."""
+    if "all" not in t.made:
+        t.made["all"] = t.made["facts"] = facts.stored(files(t), tokens=True, pragmas=True)
+    return t.made["all"]
 
 
 def rows_of(columns: str, *rows: tuple) -> str:
@@ -207,9 +217,9 @@ def reindexed_files(t):
 
 @query(f"SELECT uri, symbol, module, kind FROM ({FILES}) CROSS JOIN {rows_of('symbol, module, kind', ('first', 'List::Util', 'unused'), ('encode_json', 'JSON', 'missing'), (None, 'strict', 'duplicate'))}")
 def import_audits(t):
-    rows = facts.imports(found(t)).select("uri", "module", "symbols", "line")
+    rows = facts.imports(all_found(t)).select("uri", "module", "symbols", "line")
     rows = rows.unionByName(rows.filter("module = 'strict'").withColumn("line", F.lit(9)))
-    tokens = facts.tokens(files(t)).filter("kind = 'word'").select("uri", "text").unionByName(files(t).select("uri", F.lit("encode_json").alias("text")))
+    tokens = facts.tokens_of(all_found(t)).filter("kind = 'word'").select("uri", "text").unionByName(files(t).select("uri", F.lit("encode_json").alias("text")))
     exports = t.spark.createDataFrame([("List::Util", "first"), ("List::Util", "max"), ("JSON", "encode_json")], "module string, symbol string")
     audit = joins.import_audit(rows, tokens, exports, ["strict", "warnings", "parent"])
     one = lambda k: audit[k].select("uri", *([F.lit(None).cast("string").alias("symbol")] if k == "duplicate" else ["symbol"]), "module", F.lit(k).alias("kind"))
@@ -264,7 +274,7 @@ def shown_variables(t):
 
 @query(f"SELECT uri, class, amount FROM ({FILES}) CROSS JOIN {rows_of('class, amount', ('number', 7), ('string', 2), ('subroutine', 3), ('variable', 10))}")
 def semantic_classes(t):
-    rows = editor.token_classes(facts.tokens(files(t)), facts.symbols(found(t)))
+    rows = editor.token_classes(facts.tokens_of(all_found(t)), facts.symbols(found(t)))
     return rows.groupBy("uri", "class").agg(F.count("*").cast("int").alias("amount")).filter("class in ('string', 'variable', 'number', 'subroutine')")
 
 
@@ -283,7 +293,7 @@ def workspace_completions(t):
 @query(f"SELECT uri, policy, line FROM ({FILES}) CROSS JOIN {rows_of('policy, line', ('ProhibitTwoArgOpen', 18), ('RequireUniqueSubs', 19))}")
 def policy_violations(t):
     rows = files(t).withColumn("text", F.concat("text", F.lit("open(FH, $path) or die;\nsub idle { 2 }\n")))
-    all_facts = facts.extract_facts(rows)
+    all_facts = facts.stored(rows)
     return editor.violations({"files": rows, "symbols": facts.symbols(all_facts), "refs": facts.refs(all_facts), "deps": facts.deps(all_facts)}).select("uri", "policy", "line")
 
 
@@ -356,6 +366,6 @@ def lexer_checkpoints(t):
 @query(f"SELECT uri, (row_number() OVER (PARTITION BY uri ORDER BY scope_id DESC) - 1)::INT AS up, scope_id FROM ({FILES}) CROSS JOIN {rows_of('scope_id', (0,), (1,))}")
 def enclosing_scopes(t):
     """Scopes around the first `rounded` of each file, from the inside out."""
-    rows = facts.scopes(found(t)).withColumn("depth", F.when(F.col("id") == 0, 0).otherwise(1))
+    rows = facts.scopes(found(t))
     at = files(t).select("uri", (F.instr("text", "rounded") - 1).alias("at"))
-    return lookups.chains_at(rows, at, "uri", "at", "sb", "eb", "depth").select("uri", "up", F.col("id").alias("scope_id"))
+    return lookups.chains_at(rows, at, "uri", "at", ties=["id"]).select("uri", "up", F.col("id").alias("scope_id"))

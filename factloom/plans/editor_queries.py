@@ -10,7 +10,7 @@ from ..functions import nested
 from ..operators import aggregates, diagnostics, editor, edits, lookups, ranking, windows
 from ..sources import files as sources
 from ..streaming import documents as document_state
-from .code_queries import FILES, files, found, rows_of
+from .code_queries import FILES, all_found, files, found, rows_of
 from .registry import Tables, query
 
 # Lookups
@@ -210,7 +210,7 @@ def name_starts(t):
 
 # Lints, trees and tokens
 
-EXTRA = "if ($x = 1) {{ f(); }}\nwhile (($y = 2)) {{ }}\nif ($count == undef || $VERSION == 3 || $zz != 1) {{ }}\ndefined @list; defined(%h); defined $x; my $b = $[;\n".replace("{{", "{").replace("}}", "}")
+EXTRA = "if ($x = 1) {{ f(); }}\nwhile (($y = 2)) {{ }}\nif ($count == undef || $VERSION == 3 || $zz != 1) {{ }}\ndefined @list; defined(%h); defined $x; my $b = $[;\n}} (]\n".replace("{{", "{").replace("}}", "}")
 
 
 def messy(t: Tables) -> DataFrame:
@@ -225,13 +225,14 @@ def messy(t: Tables) -> DataFrame:
     ("deprecated-defined", "Use of 'defined @list' is deprecated", "defined @list", 0),
     ("deprecated-defined", "Use of 'defined %h' is deprecated", "defined(%h", 0),
     ("deprecated-array-base", "Use of '$[' is deprecated and will be removed", "$[;", 0),
-    ("parse-error", "Unexpected }", "no such text", 1),
-) + ") WHERE code <> 'parse-error' UNION ALL SELECT uri, 'parse-error', 0, 'Unexpected }' FROM (" + FILES + ")")
+    ("parse-error", "Unexpected }", "$[;", 4),
+    ("parse-error", "Unclosed (", "(]", 0),
+    ("parse-error", "Unexpected ]", "(]", 1),
+) + ")")
 def all_diagnostics(t):
-    rows = messy(t)
-    tokens = facts.tokens(rows)
-    errors = diagnostics.bracket_errors(facts.tokens(rows.withColumn("text", F.lit("}"))))
-    issues = diagnostics.file_diagnostics(errors, diagnostics.common_mistakes(tokens, facts.symbols(facts.extract_facts(rows))), diagnostics.deprecated_syntax(tokens))
+    rows = facts.stored(messy(t), tokens=True)
+    tokens = facts.tokens_of(rows)
+    issues = diagnostics.file_diagnostics(diagnostics.bracket_errors(tokens), diagnostics.common_mistakes(tokens, facts.symbols(rows)), diagnostics.deprecated_syntax(tokens))
     return issues.select("uri", "code", "start", "message")
 
 
@@ -257,7 +258,7 @@ def tree_as_text(t):
 
 @query(f"SELECT uri, kind, children FROM ({FILES}) CROSS JOIN {rows_of('kind, children', ('price', 2), ('test_price', 2))}")
 def tree_children(t):
-    nodes_ = diagnostics.bracket_nodes(facts.tokens(files(t)))
+    nodes_ = diagnostics.bracket_nodes(facts.tokens_of(all_found(t)))
     counted = diagnostics.child_counts(nodes_).join(nodes_.select("uri", "node", "sb"), ["uri", "node"])
     inside = diagnostics.callables_at(counted.select("uri", F.col("sb").alias("at"), "children"), facts.symbols(found(t)), "at")
     return inside.select("uri", F.col("name").alias("kind"), F.col("children").cast("int").alias("children"))
@@ -325,9 +326,9 @@ def modernised_code(t):
 @query(f"SELECT uri, '$zzz' AS name, (strlen(text) + 10)::INT AS at_byte FROM ({FILES})")
 def undeclared_variables(t):
     rows = files(t).select("uri", F.concat("text", F.lit("my $new = $zzz + $count;\n{ no strict; $yyy = 1 }\n")).alias("text"))
-    all_facts = facts.extract_facts(rows)
+    all_facts = facts.stored(rows, pragmas=True)
     uses = facts.refs(all_facts).filter("kind in ('Read', 'Write') and name rlike '^[$@%]'").select("uri", "name", F.col("sb").alias("at"))
-    out = diagnostics.undeclared(uses, facts.symbols(all_facts), facts.scopes(all_facts).select("uri", "id", "parent", "kind", "sb", "eb"), facts.pragmas(rows), ["@_", "$_"])
+    out = diagnostics.undeclared(uses, facts.symbols(all_facts), facts.scopes(all_facts).select("uri", "id", "parent", "kind", "sb", "eb"), facts.pragmas_of(all_facts), ["@_", "$_"])
     return out.select("uri", "name", F.col("at").alias("at_byte"))
 
 
