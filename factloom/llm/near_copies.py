@@ -13,15 +13,18 @@ costs what its size does and not what its pairs do:
    cells. Components of the links that are confirmed come next.
 2. Where a cell of a band holds texts of several components still, those outside the
    cell's largest component are compared with all of the cell that are in other
-   components than their own. A cell whose texts are in one component is done:
-   further links in it change nothing.
+   components than their own. The cell's texts are dealt to tiles, and each two
+   tiles are compared in one task, so pairs never become rows. A cell whose texts
+   are in one component is done: further links in it change nothing.
 
 So no link between different components of a band's cell is left out. Components of
 all links are the groups.
 
 Defined results: words are those of SimHash; texts with the same words in the
 same order are one text; texts without words are copies of each other; texts
-of fewer than five words are one shingle.
+of fewer than five words are one shingle; a null text has no words; a null id
+comes after all others; repeated rows are copies of each other; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ SHARED, OF = 4, 5
 #: Shingles that are min-hashed, and hashed, at once.
 CHUNK, SHINGLES = 1 << 10, 1 << 15
 
-#: Texts whose shingles are kept while pairs are compared.
-HELD = 64
+#: Texts whose shingles are kept while pairs are compared, and bytes of shingles in a tile.
+HELD, TILE_BYTES = 64, 1 << 20
 
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 63, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
 _FLIPS, _FACTORS = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
@@ -125,15 +128,92 @@ def first_of_cells(cells: DataFrame) -> DataFrame:
 
 
 def undecided(cells: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): texts outside the largest component of a cell, with those of the cell in other components."""
+    """(cell, key, root, outside): members of the cells that hold several components; outside are those that are not in the largest one."""
     named = cells.join(roots.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", F.coalesce("root", "key").alias("root"))
     sizes = named.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("cell").agg(F.count("*").alias("_roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("_roots > 1").drop("_roots")
-    left = shared.staged(named.join(shared.staged(mixed, "near-mixed"), "cell"), "near-undecided")
-    outside = left.filter("root != main").select("cell", F.col("key").alias("a"), F.col("root").alias("_root"))
-    met = outside.join(left.select("cell", F.col("key").alias("b"), "root", "main"), "cell").filter("_root != root")
-    # Of two outside the largest component, one pair is enough.
-    return met.filter((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    mixed = sizes.groupBy("cell").agg(F.count("*").alias("_roots"), F.max_by("root", F.struct("n", "root")).alias("_main")).filter("_roots > 1").drop("_roots")
+    return named.join(shared.staged(mixed, "near-mixed"), "cell").select("cell", "key", "root", (F.col("root") != F.col("_main")).alias("outside"))
+
+
+def sets_of(texts: DataFrame) -> DataFrame:
+    """(key, hashes, size) of texts(key, text): their sorted shingles, eight bytes each."""
+
+    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(words(text.as_py())).tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary()), pa.array(list(map(len, found)), pa.int64())], ["key", "hashes", "size"])
+
+    return texts.select("key", "text").mapInArrow(hash_texts, "key long, hashes binary, size long")
+
+
+def links_of_tiles(keys: list[int], roots: list[int], outside: list[bool], tiles: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different components among texts of which those outside are compared with all of the other tile, or of the only one.
+
+    A text's shingles are marked, and all others' are counted at once. Of several links between two components one is enough.
+    """
+    out, above = [], {}
+
+    def top(root: int) -> int:
+        while root in above:
+            root = above[root]
+        return root
+
+    order = np.argsort(tiles, kind="stable").tolist()
+    sets = [sets[i] for i in order]
+    numbers, places = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    begins = np.cumsum(sizes) - sizes
+    second = next((n for n, i in enumerate(order) if tiles[i] != tiles[order[0]]), 0)
+    marks = np.zeros(len(numbers), dtype=np.int32)
+    for n, i in enumerate(order):
+        if not outside[i]:
+            continue
+        low, high = (0, len(order)) if not second else (second, len(order)) if n < second else (0, second)
+        own = places[begins[n] : begins[n] + sizes[n]]
+        marks[own] = 1
+        end = begins[high] if high < len(order) else len(places)
+        both = np.add.reduceat(marks[places[begins[low] : end]], begins[low:high] - begins[low])
+        marks[own] = 0
+        for m in np.flatnonzero(OF * both >= SHARED * (sizes[n] + sizes[low:high] - both)):
+            j = order[low + int(m)]
+            a, b = top(roots[i]), top(roots[j])
+            if a != b:
+                above[a] = b
+                out.append((keys[i], keys[j]))
+    return out
+
+
+def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between the components of the cells of undecided().
+
+    A cell's members are dealt to tiles of about TILE_BYTES, and each two tiles
+    meet in one group, in which all pairs are compared without becoming rows.
+    """
+    sizes = members.join(sets.select("key", "size"), "key").groupBy("cell").agg(F.ceil(F.sum("size") / TILE_BYTES).alias("_tiles"))
+    dealt = members.join(sizes, "cell").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("_tiles")).cast("long"))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_tiles") - 1).cast("long"))))
+    met = met.select("cell", F.least("tile", "_other").alias("low"), F.greatest("tile", "_other").alias("high"), "key", "root", "outside", "tile")
+    together = met.join(sets.select("key", "hashes"), "key").repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def found() -> pa.RecordBatch:
+            pairs = links_of_tiles(*map(list, zip(*held, strict=True))) if any(h[2] for h in held) and len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[n] for p in pairs], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            rows = [batch.column(c).to_pylist() for c in ("cell", "low", "high", "key", "root", "outside", "tile")]
+            for i, (cell, low, high, *row) in enumerate(zip(*rows, strict=True)):
+                if (cell, low, high) != now:
+                    if held:
+                        yield found()
+                    now, held = (cell, low, high), []
+                held.append((*row, np.frombuffer(batch.column("hashes")[i].as_py(), dtype=np.uint64)))
+        if held:
+            yield found()
+
+    return together.mapInArrow(compare, "a long, b long")
 
 
 def links(texts: DataFrame) -> DataFrame:
@@ -149,8 +229,9 @@ def links(texts: DataFrame) -> DataFrame:
     roots = components(first, "near-stars")
     # Bands find all pairs but 3 in 100,000; components of fingerprints may hold many unlike texts, and only add to the first step.
     banded = cells.join(by_fp.select("cell").distinct(), "cell", "left_anti")
-    second = shared.staged(confirmed(undecided(banded, shared.staged(roots, "near-roots")), asked), "near-second")
-    return first.union(second)
+    members = shared.staged(undecided(banded, shared.staged(roots, "near-roots")), "near-members-left")
+    sets = shared.staged(sets_of(asked.join(members.select("key").distinct(), "key", "left_semi")), "near-sets")
+    return first.union(shared.staged(compared(members, sets), "near-second"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -61,3 +61,27 @@ def test_chains_of_near_copies(spark):
     assert brute_similarity(rows[0][1], rows[12][1]) < 0.8 <= min(brute_similarity(rows[i][1], rows[i + 1][1]) for i in range(12))
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], COLUMNS).repartition(3), "").collect()
     assert sorted(r["doc_id"] for r in kept) == [0, 500]
+
+
+def test_tiles_find_all_links_of_a_group(spark, monkeypatch):
+    """A group whose texts share a base but are mostly unlike each other, compared in one tile and in many."""
+    rnd = random.Random(6)
+    base = prose(rnd, 150)
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 2, 5, 7, 9])):
+            words[at] = prose(rnd, 1)[0] + str(i % 90)
+        rows.append((i, " ".join(words)))
+    root = {i: i for i, _ in rows}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for (i, a), (j, b) in combinations(rows, 2):
+        if brute_similarity(a, b) >= 0.8:
+            low, high = sorted((find(i), find(j)))
+            root[high] = low
+    wanted = sorted({find(i) for i in root})
+    assert 10 < len(wanted) < 100
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], COLUMNS).repartition(3)
+    for size in (1 << 20, 1 << 14):
+        monkeypatch.setattr(near_copies, "TILE_BYTES", size)
+        assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == wanted
