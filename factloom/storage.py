@@ -104,10 +104,52 @@ def delete(paths: list[str]) -> None:
             delete_path(spark, path)
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _place(spark, path)
+    system.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _place(spark, path)
+    return system.exists(target)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, sorted; none if it is missing."""
+    system, target = _place(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and moved there as a whole."""
+    system, target = _place(spark, path)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    system.mkdirs(target.getParent())
+    out = system.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.delete(target, False)
+    if not system.rename(draft, target):
+        raise OSError(f"{path} cannot be written")
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """A folder moved to where nothing is; a missing one becomes an empty one."""
+    system, to = _place(spark, target)
+    system.mkdirs(to.getParent())
+    if not exists(spark, source):
+        system.mkdirs(to)
+    elif not system.rename(_place(spark, source)[1], to):
+        raise OSError(f"{source} cannot be moved")
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 @atexit.register

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from ..sources import fact_log
 
 EVENTS = "uri string, version long, action string, start int, end int, text string"
 DOCUMENTS = "uri string, version long, text string, applied int, stale int, open boolean"
@@ -61,31 +64,31 @@ def latest_documents(events: DataFrame) -> DataFrame:
     return events.groupBy("uri").applyInPandas(run, DOCUMENTS)
 
 
-def merge_files(spark: SparkSession, changes: DataFrame, path: str, checkpoint: str):
-    """A sink for created, changed and deleted files: each batch replaces the rows of its uris in a Parquet table.
+def merge_files(spark: SparkSession, changes: DataFrame, path: str, checkpoint: str, buckets: int = 64, most_changes: int = 8):
+    """A sink for created, changed and deleted files: each batch is appended to a log of (uri, version, text), see fact_log.
 
-    The table is rewritten beside itself and then takes the next number, so a
-    batch that fails leaves the last state readable; states before the last two
-    are deleted.
+    Only the buckets of files that a batch names are written; those that have
+    gathered more than most_changes are compacted. A batch that is run again
+    changes nothing.
     """
+    fact_log.create(spark, path, StructType.fromDDL("uri string, version long, text string"), buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        numbers = sorted(int(s.getPath().getName()) for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
-        last = [n for n in numbers if n < number]
-        newest = batch.groupBy("uri").agg(F.max_by(F.struct("version", "action", "text"), "version").alias("_e")).select("uri", "_e.*")
-        state = newest.filter("action != 'delete'").select("uri", "version", "text")
-        if last:
-            old = spark.read.parquet(f"{path}/{last[-1]}")
-            state = old.join(newest.select("uri"), "uri", "left_anti").unionByName(state)
-        state.write.mode("overwrite").parquet(f"{path}/{number}")
-        for gone in last[:-1]:
-            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{gone}"), True)
+        newest = batch.groupBy("uri").agg(F.max_by(F.struct("version", "action", "text"), "version").alias("_e")).select("uri", "_e.*").persist()
+        try:
+            fact_log.append(newest.filter("action != 'delete'").select("uri", "version", "text"), newest, path, number)
+        finally:
+            newest.unpersist()
+        fact_log.compact(spark, path, most_changes)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def merged_files(spark: SparkSession, path: str) -> DataFrame:
+    """(uri, version, text) of the files that merge_files() has kept at path."""
+    return fact_log.read(spark, path)
+
+
 def sample_windows(samples: DataFrame, op: str = "op", at: str = "ts", value: str = "duration_ms", width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Latency samples per operation and window: count, failures, mean and greatest."""
     return (

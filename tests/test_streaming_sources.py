@@ -48,7 +48,7 @@ def test_merge_sink(spark, tmp_path):
     (source / "2.json").write_text('{"uri": "a", "version": 2, "action": "delete"}\n{"uri": "b", "version": 3, "action": "change", "text": "z"}')
     query.processAllAvailable()
     query.stop()
-    assert [tuple(r) for r in spark.read.parquet(f"{table}/1").collect()] == [("b", 3, "z")]
+    assert [tuple(r) for r in documents.merged_files(spark, table).collect()] == [("b", 3, "z")]
 
 
 def test_lifecycle(spark):
