@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
+from . import order
+
 
 def delta_encode(tokens: DataFrame, by: list[str], line: str, start: str) -> DataFrame:
     """delta_line, and delta_start: from the token before if on the same line, else from the line's beginning."""
@@ -142,6 +145,33 @@ def refresh_times(requests: DataFrame, by: list[str], at: str, wait_ms: int = 35
     return requests.withColumn("_pause", pause).filter(F.col("_pause").isNull() | (F.col("_pause") >= wait_ms)).drop("_pause")
 
 
+def leading_refreshes(requests: DataFrame, by: list[str], at: str, wait: int, ties: list[str] | None = None) -> DataFrame:
+    """Requests that a debounced refresh lets through: the first, and each that is the first to come `wait` or more after the last one let through.
+
+    Every request points to the one that would follow it, found in one sort;
+    those that the first one reaches are marked along pointers of doubling length.
+    """
+    return storage.settled(lambda: _reached(requests, by, at, wait, ties or []), "refreshes")
+
+
+def _reached(requests: DataFrame, by: list[str], at: str, wait: int, ties: list[str]) -> DataFrame:
+    rows = order.in_order(requests, *[F.col(c).asc() for c in (*by, at, *ties)], label="requests")
+    target = rows.select(*by, F.col(at).alias("_t"), F.lit(1).alias("_rank"), F.col("_at").alias("_place"), F.col("_at").alias("_target"))
+    seeker = rows.select(*by, (F.col(at) + wait).alias("_t"), F.lit(0).alias("_rank"), F.col("_at").alias("_place"), F.lit(None).cast("long").alias("_target"))
+    # From the latest on, so that the last target before a seeker is the earliest that is late enough.
+    both = order.in_order(target.unionByName(seeker), *[F.col(c).asc() for c in by], F.col("_t").desc(), F.col("_rank").desc(), F.col("_place").desc(), label="next-requests")
+    next_ = order.last_before(both, by, "_target", "_next").filter("_rank = 0 and _next is not null").select(F.col("_place").alias("_from"), "_next")
+    jumps = storage.staged(next_, "jumps")
+    reached = storage.staged(rows.groupBy(*by).agg(F.min("_at").alias("_from")).select("_from"), "reached")
+    while True:
+        more = storage.staged(reached.join(jumps, "_from").select(F.col("_next").alias("_from")), "reached")
+        if more.isEmpty():
+            break
+        reached = reached.union(more)
+        jumps = storage.staged(jumps.join(jumps.select(F.col("_from").alias("_next"), F.col("_next").alias("_far")), "_next").select("_from", F.col("_far").alias("_next")), "jumps")
+    return rows.join(reached.select(F.col("_from").alias("_at")), "_at", "left_semi").select(*requests.columns)
+
+
 def checkpoints(tokens: DataFrame, by: list[str], order: list[str], boundary: Column) -> DataFrame:
     """Tokens at which a lexer can resume."""
     return tokens.filter(boundary).orderBy(*by, *order)

@@ -5,14 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..extract import facts
 from ..functions import nested
-from ..operators import aggregates, diagnostics, editor, edits, lookups, ranking, windows
+from ..operators import aggregates, diagnostics, editor, edits, indexes, lookups, ranking, windows
+from ..sources import fact_log
 from ..sources import files as sources
 from ..streaming import documents as document_state
 from .code_queries import FILES, all_found, files, found, rows_of
 from .registry import Tables, query
 
+# Indexes
+
+
+def part_index(t: Tables) -> str:
+    path = storage.new_path(t.spark, "index")
+    indexes.build(t.part, path, "p_name")
+    return path
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ste')")
+def indexed_search(t):
+    return indexes.search(t.spark, part_index(t), t.part.select("p_partkey", "p_name"), "STE", "p_name")
+
+
+@query("""SELECT p_partkey, p_name, tier FROM (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 're' THEN 0 WHEN starts_with(lower(p_name), 're') THEN 1
+ WHEN contains(lower(p_name), 're') THEN 2 WHEN regexp_matches(lower(p_name), 'r.*e') THEN 3 END AS tier FROM part) WHERE tier IS NOT NULL
+ ORDER BY least(tier, 2), p_name, p_partkey LIMIT 200""")
+def indexed_search_ranked(t):
+    return indexes.ranked_search(t.spark, part_index(t), t.part.select("p_partkey", "p_name"), "re", "p_name", ["p_partkey"], 200)
+
+
+@query("SELECT 'test_price' AS label, 'Subroutine' AS kind, '3_test_price' AS sort_text FROM customer")
+def indexed_completions(t):
+    symbols, path = facts.symbols(found(t)), storage.new_path(t.spark, "index")
+    indexes.build(symbols, path)
+    return editor.symbol_completions(indexes.completions(t.spark, path, symbols, "test", "name"), "test")
+
+
+@query("""SELECT o_orderkey, c_custkey::VARCHAR AS uri, CASE WHEN c_nationkey = 7 THEN 2 ELSE 1 END * o_orderkey AS value FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey <> 3""")
+def logged_changes(t):
+    """Orders of all customers; then those of one nation change, and those of another go; a bucket with two changes is compacted between."""
+    path, uri = storage.new_path(t.spark, "log"), F.col("c_custkey").cast("string").alias("uri")
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(uri, "o_orderkey", F.col("o_orderkey").alias("value"), "c_nationkey")
+    of = lambda nation: t.customer.filter(F.col("c_nationkey") == nation).select(uri)
+    facts_ = rows.drop("c_nationkey")
+    fact_log.create(t.spark, path, facts_.schema, buckets=8)
+    fact_log.append(facts_, t.customer.select(uri), path, 0)
+    fact_log.append(facts_.withColumn("value", F.col("value") * 2), of(7), path, 1)
+    fact_log.compact(t.spark, path, most_changes=1)
+    fact_log.append(facts_.limit(0), of(3), path, 2)
+    return fact_log.read(t.spark, path)
+
+
+# Refreshes
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events),
+ r AS (SELECT user_id, min(ms) AS ms FROM e GROUP BY user_id UNION ALL SELECT r.user_id, (SELECT min(e.ms) FROM e WHERE e.user_id = r.user_id AND e.ms >= r.ms + 86400000) FROM r WHERE r.ms IS NOT NULL)
+ SELECT user_id, ms, min(event_id) AS event_id FROM r JOIN e USING (user_id, ms) GROUP BY user_id, ms""")
+def leading_refreshes(t):
+    rows = t.events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return windows.leading_refreshes(rows, ["user_id"], "ms", 86_400_000, ["event_id"]).select("user_id", "ms", "event_id")
+
+
 # Lookups
 
 
