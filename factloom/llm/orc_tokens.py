@@ -89,4 +89,4 @@ def layout(spark: SparkSession, path: str) -> DataFrame:
     offsets = totals.select("range", before.alias("_offset"))
     inside = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return local.join(F.broadcast(offsets), "range").select("doc_id", (F.col("_offset") + F.col("_local")).alias("start"), "n_tokens", "ids_crc32")
+    return local.join(offsets, "range").select("doc_id", (F.col("_offset") + F.col("_local")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,114 +1,22 @@
-"""Storage and ordering helpers that several operators use."""
+"""Helpers that several operators use."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import threading
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from ..storage import delete, delete_path, new_path, noted, settled, shared_folder, staged, staged_paths, unread  # noqa: F401  (operators have them from here)
 
 #: Whitespace between words: space and the control characters tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Folders of staged tables that are still there, and for each thread the lists that note them for an earlier deletion.
-_written: dict[str, SparkSession] = {}
-_scopes = threading.local()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset, a temporary folder serves a local[...] session, whose
-    driver and executors are one process; a cluster without it is refused.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-    folder = tempfile.mkdtemp(prefix="factloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written[path] = spark
-    for scope in getattr(_scopes, "open", [])[-1:]:
-        scope.append(path)
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    nullable = StructType.fromJson(df.schema.jsonValue())
-    for field in nullable:
-        field.nullable = True
-    return spark.read.schema(nullable).parquet(path)
-
-
-@contextmanager
-def noted(paths: list[str]) -> Iterator[None]:
-    """Within it, the folders of staged tables are added to paths."""
-    if not hasattr(_scopes, "open"):
-        _scopes.open = []
-    _scopes.open.append(paths)
-    try:
-        yield
-    finally:
-        _scopes.open.pop()
-
-
-def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """What make() returns, staged. What was staged on the way to it is deleted then."""
-    inner: list[str] = []
-    with noted(inner):
-        made = make()
-    out = staged(made, label)
-    delete(inner)
-    return out
-
-
-def _folders(*tables: DataFrame) -> set[str]:
-    """Names of the folders that tables are read from."""
-    return {f.rsplit("/", 2)[-2] for t in tables for f in t.inputFiles()}
-
-
-def unread(paths: list[str], df: DataFrame) -> list[str]:
-    """Those of the paths that df does not read."""
-    folders = _folders(df)
-    return [p for p in paths if p.rsplit("/", 1)[-1] not in folders]
-
-
-def staged_paths(*tables: DataFrame) -> list[str]:
-    """The folders of staged tables."""
-    folders = _folders(*tables)
-    return [p for p in _written if p.rsplit("/", 1)[-1] in folders]
-
-
-def delete(paths: list[str]) -> None:
-    """Deletes staged tables that nothing will read any more."""
-    for path in list(paths):
-        spark = _written.pop(path, None)
-        if spark is not None:
-            delete_path(spark, path)
-
-
 def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Sends Python at most so many rows at once from now on, for operators whose rows hold whole texts or lists.
 
@@ -120,22 +28,6 @@ def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in _written.items():
-        try:
-            if spark.sparkContext._jsc is not None:
-                delete_path(spark, path)
-        except Exception:  # the session may be gone by now, and its folder with it
-            return
-
-
 def packed(df: DataFrame, *used: str) -> DataFrame:
     """The used columns, and all of df's columns in one struct, row, where their names clash with none."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *used)
