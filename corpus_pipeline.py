@@ -18,6 +18,7 @@ any length are processed whole.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -34,17 +35,24 @@ PASSAGE_WORDS = 51
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Folders of the tables that the stages have staged and that are still there.
-_left: list[str] = []
+
+class Left(threading.local):
+    """Folders of the tables that a thread's stages have staged and that are still there."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_left = Left()
 
 
 def stage(f: Stage) -> Stage:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        gone = shared.unread(_left, docs)
+        gone = shared.unread(_left.paths, docs)
         shared.delete(gone)
-        _left[:] = [p for p in _left if p not in gone]
-        with shared.noted(_left):
+        _left.paths = [p for p in _left.paths if p not in gone]
+        with shared.noted(_left.paths):
             return f(spark, docs, sf_dir)
 
     return run_stage
@@ -95,7 +103,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
-    for name, of in STAGES:
-        before, docs = docs, shared.staged(of(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-        shared.delete(shared.staged_paths(before))
+    # What other runs of this thread have left is not this one's to delete.
+    others, _left.paths = _left.paths, []
+    try:
+        for name, of in STAGES:
+            before, docs = docs, shared.staged(of(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+            shared.delete(shared.staged_paths(before))
+    finally:
+        _left.paths += others
     return docs
