@@ -111,5 +111,5 @@ def test_odd_tables(spark, tmp_path):
 
 def test_registered():
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
-    assert sorted(queries.queries()) == sorted(["op1_top_k", "op2_mix", "op3_nearest", "op4_suffix_dedup", "op5_url_filter", "op6_toxicity", "op7_warc", "op8_pack", "op9_simhash", "op10_orc_tokens", "instruction_packing"])
+    assert sorted(queries.queries()) == sorted(["op1_top_k", "op2_mix", "op3_nearest", "op4_suffix_dedup", "op5_url_filter", "op6_toxicity", "op7_warc", "op8_pack", "op9_simhash", "op10_orc_tokens", "op11_hilbert_shards", "op12_prefix_trie", "op13_fill_middle", "instruction_packing"])
     assert simhash and suffix_dedup
