@@ -15,12 +15,13 @@ has at least one toxic word, others have none; which one, is found in rounds,
 beginning with words that are more frequent in toxic documents. As the kernel
 is a finite sum over subsequences, the trained machine is one table of weights
 by subsequence, so scoring is a pass over the text. A document's score is the
-calibrated margin of its most toxic word, over the whole text.
+logistic regression of the margins of its TOP most toxic words, over the whole
+text: one clear word is enough, and several that are less clear are, too.
 
 Training takes at most MOST_PER_CLASS labelled documents of each class, by
 hash of their ids, of at most LONGEST bytes; scoring covers every document and
-its whole text. Every character beyond ASCII counts as one and the same
-letter, so words of other scripts are told apart by their lengths only.
+its whole text. Characters beyond ASCII are one to three of 32 more letters, by
+their UTF-8 bytes.
 
 Defined results: null and empty texts get the score of a text without any
 word; without labelled documents of both classes every score is the share of
@@ -56,19 +57,24 @@ CLEAR_WEIGHT = 4.0
 #: Words of other documents to train on.
 OTHER_WORDS = 10_000
 ROUNDS = 3
+#: Words of a document that its score goes by, and the least margin that counts.
+TOP, FLOOR = 4, -1.0
 #: Weight of toxic words with an inserted letter, against that of the words themselves.
 STRETCHED = 0.5
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-END, ACCENTED, DROPPED, SIZE = 0, 27, 28, 28
+END, OTHERS, OTHER_CODES = 0, 27, 32
+SIZE = DROPPED = OTHERS + OTHER_CODES
 
 
 def _codes() -> np.ndarray:
     table = np.full(256, DROPPED, dtype=np.uint8)
     table[list(b" \t\n\r\x0b\x0c")] = END
     table[0] = END
-    table[128:] = ACCENTED
+    # Of UTF-8 sequences the first byte goes, and the others are letters by their lower bits: those of European scripts have one each.
+    table[128:192] = OTHERS + np.arange(64) % OTHER_CODES
+    table[192:] = DROPPED
     for i, c in enumerate(LETTERS):
         table[[ord(c), ord(c.upper())]] = i + 1
     for sign, letter in STAND_INS.items():
@@ -139,13 +145,18 @@ def word_margins(codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.n
     return ends[lengths > 0], (words / np.sqrt(self_kernel(lengths)))[lengths > 0]
 
 
-def document_margins(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """The largest margin of a word of each text; -inf without words."""
+def document_margins(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
+    """The TOP largest margins of words of each text, from the largest on; FLOOR where there are none, or less."""
     codes, begins = normalise(texts)
     places, margins = word_margins(codes, table)
-    out = np.full(len(texts), -np.inf)
-    owner = np.searchsorted(begins, places, side="right") - 1
-    np.maximum.at(out, owner, margins)
+    margins = margins + bias
+    high = margins > FLOOR
+    owner, margins = np.searchsorted(begins, places[high], side="right") - 1, margins[high]
+    order = np.lexsort((-margins, owner))
+    owner, margins = owner[order], margins[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.full((len(texts), TOP), FLOOR)
+    out[owner[rank < TOP], rank[rank < TOP]] = margins[rank < TOP]
     return out
 
 
@@ -169,19 +180,40 @@ def features(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def sparse_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() as lists: where each word's entries begin, subsequence numbers, and their weights; numbers may repeat."""
+    begins, numbers, weights = [], [], []
+    for word in words:
+        begins.append(sum(map(len, numbers[-len(SHAPES) :])) + begins[-1] if begins else 0)
+        codes = np.frombuffer(b"\0" + word + b"\0" * (WIDEST + 1), dtype=np.uint8)
+        scale = np.sqrt(self_kernel(np.array([len(word)])))[0]
+        for number, inside, weight in occurrences(codes):
+            keep = inside[: len(word) + 1]
+            numbers.append(number[: len(word) + 1][keep])
+            weights.append(np.full(int(keep.sum()), weight / scale))
+    return np.array(begins), np.concatenate(numbers), np.concatenate(weights)
+
+
+def compact(begins: np.ndarray, numbers: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that occur, and a dense row over them for each word."""
+    known, places = np.unique(numbers, return_inverse=True)
+    out = np.zeros((len(begins), len(known)))
+    np.add.at(out, (np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(numbers)))), places), weights)
+    return known, out
+
+
 @dataclass
 class Model:
     table: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return 1 / (1 + np.exp(-(self.slope * np.maximum(margins + self.bias, -3.0) + self.shift)))
+        return 1 / (1 + np.exp(-np.clip(margins @ self.slopes + self.shift, -500, 500)))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return self.probability(document_margins(texts, self.table))
+        return self.probability(document_margins(texts, self.table, self.bias))
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -201,25 +233,31 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -
     return w
 
 
-def calibrate(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic regression of y (0 or 1) on margins."""
-    x = np.stack([np.maximum(margins, -3.0), np.ones(len(margins))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + 1e-3 * w
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(max(w[0], 1e-6)), float(w[1])
+def calibrate(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes, none of them negative, and shift of the logistic regression of y (0 or 1) on rows of margins."""
+    used = np.ones(margins.shape[1], dtype=bool)
+    while True:
+        x = np.hstack([margins[:, used], np.ones((len(margins), 1))])
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient = x.T @ (weight * (p - y)) + 1e-3 * w
+            hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+            step = np.linalg.solve(hessian, gradient)
+            w -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[:-1] >= 0).all() or used.sum() == 1:
+            slopes = np.zeros(margins.shape[1])
+            slopes[used] = np.maximum(w[:-1], 1e-6)
+            return slopes, float(w[-1])
+        used[np.flatnonzero(used)[int(np.argmin(w[:-1]))]] = False
 
 
 def train(toxic: list[bytes], other: list[bytes], toxic_share: float) -> Model:
     """The machine from texts of both classes; toxic_share is the class's share among all labelled documents."""
     empty = np.zeros(SIZE**3, dtype=np.float32)
-    constant = lambda p: Model(empty, 0.0, 0.0, float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
+    constant = lambda p: Model(empty, 0.0, np.zeros(TOP), float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
     if not toxic or not other:
         return constant(toxic_share)
     sizes = [len(toxic), len(other)]
@@ -247,14 +285,20 @@ def train(toxic: list[bytes], other: list[bytes], toxic_share: float) -> Model:
     others = list(dict.fromkeys([w for w, _ in counts[1].most_common(OTHER_WORDS // 10)] + others))
     others = [w for w in others if w not in set(speaking)]
     landmarks = speaking[:SPEAKING] + others[:: max(1, len(others) // BACKGROUND)][:BACKGROUND]
-    base = features(landmarks).astype(np.float64)
+    known, base = compact(*sparse_features(landmarks))
     values, vectors = np.linalg.eigh(base @ base.T)
     keep = values > 1e-6 * values.max()
-    base32 = base.T.astype(np.float32)
+    column = np.full(SIZE**3, len(known), dtype=np.int32)
+    column[known] = np.arange(len(known))
+    rows = np.vstack([base.T, np.zeros((1, len(landmarks)))]).astype(np.float32)
     whiten = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
 
     def project(words: list[bytes]) -> np.ndarray:
-        return np.concatenate([features(words[i : i + 64]) @ base32 @ whiten for i in range(0, len(words), 64)])
+        out = []
+        for i in range(0, len(words), 256):
+            begins, numbers, weights = sparse_features(words[i : i + 256])
+            out.append(np.add.reduceat(rows[column[numbers]] * weights[:, None], begins) @ whiten)
+        return np.concatenate(out)
 
     def stretched(word: bytes) -> list[bytes]:
         """The word with one letter inserted at each inner place."""
@@ -269,7 +313,8 @@ def train(toxic: list[bytes], other: list[bytes], toxic_share: float) -> Model:
         share = np.array([CLEAR_WEIGHT if word in clear else 1.0 for word in witnesses])
         weight = np.concatenate([share * len(others) / share.sum(), np.full(len(variants), STRETCHED * len(others) / max(1, len(variants))), np.ones(len(others))])
         w = svm(x, y, weight)
-        table = (base.T @ whiten @ w[:-1]).astype(np.float32)
+        table = empty.copy()
+        table[known] = base.T @ whiten @ w[:-1]
         found: Counter = Counter()
         for i in range(0, len(toxic), 100):
             codes, begins = normalise(toxic[i : i + 100])
@@ -286,11 +331,11 @@ def train(toxic: list[bytes], other: list[bytes], toxic_share: float) -> Model:
         if new == witnesses:
             break
         witnesses = new
-    margins = np.concatenate([document_margins(side[i : i + 100], table) for side in (toxic, other) for i in range(0, len(side), 100)]) + w[-1]
+    margins = np.concatenate([document_margins(side[i : i + 100], table, float(w[-1])) for side in (toxic, other) for i in range(0, len(side), 100)])
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(other))])
     share = np.concatenate([np.full(len(toxic), toxic_share / len(toxic)), np.full(len(other), (1 - toxic_share) / len(other))]) * len(y)
-    slope, shift = calibrate(margins, y, share)
-    return Model(table, float(w[-1]), slope, shift)
+    slopes, shift = calibrate(margins, y, share)
+    return Model(table, float(w[-1]), slopes, shift)
 
 
 def held_out(doc_id: Column) -> Column:
