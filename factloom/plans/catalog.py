@@ -513,4 +513,4 @@ def doc_state(t):
     return document_state.latest_documents(events).select("uri", "version", "applied", "stale")
 
 
-from . import code_queries, column_queries, editor_queries, tree_queries  # noqa: E402, F401  (they register their queries)
+from . import code_queries, column_queries, editor_queries, source_queries, tree_queries  # noqa: E402, F401  (they register their queries)
