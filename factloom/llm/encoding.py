@@ -28,6 +28,11 @@ JOINED_STOP = r"[^\pL\x09-\x0d\x20][.,][\x20\n]|\x{130}"
 ODD_SPACE = rf"{SPACE} | {SPACE}|\A{SPACE}|{SPACE}\z"
 
 
+def release() -> None:
+    """Lets go of the encoders that this Python worker, which is used again for other work, has kept."""
+    sys.__dict__.pop("_factloom_encoders", None)
+
+
 class TextEncoder:
     """Encodes batches of texts; end_id closes every text.
 

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import shared
+from .encoding import release
 from .simhash import components, grouped, majority
 from .suffix_dedup import Hashes
 
@@ -243,6 +244,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        release()
         for batch in batches:
             keys, fps, cells = [], [], []
             for text in batch.column("row").field("text"):

@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .encoding import release
 
 #: Training documents of a class, and bytes of the longest that is trained on: with both, what the driver collects is bounded.
 MOST_PER_CLASS, LONGEST = 1_500, 32 << 10
@@ -386,6 +387,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     shared.bound_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch, model) < threshold))
 
