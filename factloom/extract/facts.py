@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ FACTS = (
 #: What tokens and pragma states have besides.
 MORE = "seq int, text string, strict_vars boolean, strict_subs boolean, strict_refs boolean, warnings boolean"
 COLUMNS = [x.split()[0] for x in FACTS.split(", ")]
-ALL = [*COLUMNS, *(x.split()[0] for x in MORE.split(", "))]
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+ARROW = {x.split()[0]: _TYPES[x.split()[1]] for x in f"{FACTS}, {MORE}".split(", ")}
 #: Bytes of text that a task reads.
 TASK_BYTES = 4 << 20
 
@@ -34,16 +35,22 @@ def spread(files: DataFrame) -> DataFrame:
 def parsed(files: DataFrame, tokens: bool = False, pragmas: bool = False) -> DataFrame:
     """All facts of all files in one pass, one row each; `fact` tells the table. Null texts are empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list] = [[] for _ in ALL]
-            for uri, text in zip(batch["uri"], batch["text"], strict=True):
+            # The rows of a table of facts have the same columns; the others are null.
+            found: dict[str, dict[str, list]] = {}
+            for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for row in perl.rows(uri, text or "", tokens, pragmas):
-                    for column, name in zip(found, ALL, strict=True):
-                        column.append(row.get(name))
-            yield pd.DataFrame(dict(zip(ALL, (pd.Series(c, dtype=object) for c in found), strict=True)))
-
-    return spread(files).mapInPandas(run, f"{FACTS}, {MORE}")
+                    columns = found.get(row["fact"])
+                    if columns is None:
+                        columns = found[row["fact"]] = {name: [] for name in row}
+                    for name, value in row.items():
+                        columns[name].append(value)
+            for columns in found.values():
+                n = len(columns["uri"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in ARROW.items()], list(ARROW))
+
+    return spread(files).mapInArrow(run, f"{FACTS}, {MORE}")
 
 
 def stored(files: DataFrame, tokens: bool = False, pragmas: bool = False) -> DataFrame:
