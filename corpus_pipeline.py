@@ -33,6 +33,9 @@ TOXIC = 0.3
 #: Shortest repeated passage that is cut out, in words: those of over 50.
 PASSAGE_WORDS = 51
 
+#: Rows that a Python worker is sent at once. What stages make of a batch of texts is many times its size.
+BATCH_ROWS = 400
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -52,6 +55,7 @@ def stage(f: Stage) -> Stage:
         gone = shared.unread(_left.paths, docs)
         shared.delete(gone)
         _left.paths = [p for p in _left.paths if p not in gone]
+        shared.bound_batches(spark, BATCH_ROWS)
         with shared.noted(_left.paths):
             return f(spark, docs, sf_dir)
 
