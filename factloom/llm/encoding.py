@@ -4,8 +4,8 @@ A tokenizer that splits at white space gives the same ids for a text as for
 its parts, when it is cut before a single space between two characters that
 are not white space. Texts are cut there, each new distinct part is encoded
 once and kept for later texts, and the texts' ids are gathered from the
-parts'. What is kept is bounded by MOST_PARTS; beyond it, it is forgotten and
-collected anew. A text that holds a special token is encoded in one piece.
+parts'. What is kept is bounded by MOST_PARTS; beyond it, the half that was
+met most often stays. A text that holds a special token is encoded in one piece.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 import sys
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,20 @@ def release() -> None:
     sys.__dict__.pop("_factloom_encoders", None)
 
 
+def _taken(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids from begins to ends, one part after the other, and where each part's begin and end there."""
+    lengths = ends - begins
+    found = [ids[:0]]
+    # A stretch of parts at a time, so that what stands between fits in a cache.
+    for i in range(0, len(lengths), 1 << 15):
+        n = lengths[i : i + (1 << 15)]
+        steps = np.repeat(begins[i : i + (1 << 15)] - (np.cumsum(n) - n), n)
+        steps += np.arange(len(steps))
+        found.append(ids[steps])
+    stops = np.cumsum(lengths)
+    return np.concatenate(found), stops - lengths, stops
+
+
 class TextEncoder:
     """Encodes batches of texts; end_id closes every text.
 
@@ -43,7 +57,7 @@ class TextEncoder:
     #: Characters of text that are encoded at once, and of joined new parts in a string.
     BATCH, BLOCK = 4 << 20, 1_000
     #: Distinct parts whose ids are kept, and characters of the longest that is.
-    MOST_PARTS, LONGEST_PART = 300_000, 64
+    MOST_PARTS, LONGEST_PART = 450_000, 64
 
     def __init__(self, path: str, end_id: int, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,11 +72,9 @@ class TextEncoder:
         self.measure = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.measure[i] = len(token) if spaced else token.endswith("</w>")
-        self._forget()
-
-    def _forget(self) -> None:
+        #: Kept parts, in the order of their numbers: all their ids, where each one's begin and end, and how often it was met.
         self.places: dict[str, int] = {}
-        self.kept_ids, self.kept_begins, self.kept_ends = self.end[:0], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.kept_ids, self.kept_begins, self.kept_ends, self.met = self.end[:0], *(np.zeros(0, dtype=np.int64) for _ in range(3))
 
     @classmethod
     def of_process(cls, path: str, end_id: int, spaced: bool) -> TextEncoder:
@@ -122,20 +134,41 @@ class TextEncoder:
 
     def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Like _encode_parts, but only what is new is encoded."""
-        at = np.fromiter((self.places.get(p, -1) for p in parts), dtype=np.int64, count=len(parts))
-        new = np.flatnonzero(at < 0)
-        if len(self.places) + len(new) > self.MOST_PARTS:
-            self._forget()
-            new = np.arange(len(parts))
-        ids, begins, ends = self._encode_parts([parts[i] for i in new.tolist()])
-        first, base = len(self.kept_begins), len(self.kept_ids)
-        at[new] = first + np.arange(len(new))
+        at = np.fromiter(map(self.places.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        is_new = at < 0
+        known = at[~is_new]
+        self.met[known] += 1
+        new = list(compress(parts, is_new.tolist()))
+        ids, begins, ends = self._encode_parts(new)
+        base = len(self.kept_ids)
         all_ids = np.concatenate([self.kept_ids, ids])
-        all_begins, all_ends = np.concatenate([self.kept_begins, begins + base]), np.concatenate([self.kept_ends, ends + base])
-        if len(self.places) + len(new) <= self.MOST_PARTS and not any(len(parts[i]) > self.LONGEST_PART for i in new.tolist()):
-            self.kept_ids, self.kept_begins, self.kept_ends = all_ids, all_begins, all_ends
-            self.places.update((parts[i], first + k) for k, i in enumerate(new.tolist()))
-        return all_ids, all_begins[at], all_ends[at]
+        all_begins, all_ends = np.empty(len(parts), dtype=np.int64), np.empty(len(parts), dtype=np.int64)
+        all_begins[~is_new], all_ends[~is_new] = self.kept_begins[known], self.kept_ends[known]
+        all_begins[is_new], all_ends[is_new] = base + begins, base + ends
+        self._keep(new, ids, begins, ends)
+        return all_ids, all_begins, all_ends
+
+    def _keep(self, parts: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Keeps new parts, but for long ones, and as many as there is room for once the less frequent of the kept have gone."""
+        short = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) <= self.LONGEST_PART
+        if len(self.places) + int(short.sum()) > self.MOST_PARTS:
+            self._thin(self.MOST_PARTS // 2)
+        short &= np.cumsum(short) <= self.MOST_PARTS - len(self.places)
+        if not short.all():
+            parts = list(compress(parts, short.tolist()))
+            ids, begins, ends = _taken(ids, begins[short], ends[short])
+        first, base = len(self.places), len(self.kept_ids)
+        self.places.update(zip(parts, range(first, first + len(parts)), strict=True))
+        self.kept_ids, self.met = np.concatenate([self.kept_ids, ids]), np.concatenate([self.met, np.zeros(len(parts), dtype=np.int64)])
+        self.kept_begins, self.kept_ends = np.concatenate([self.kept_begins, begins + base]), np.concatenate([self.kept_ends, ends + base])
+
+    def _thin(self, most: int) -> None:
+        """Lets go of all but those kept parts that were met most often, later ones before earlier ones; old meetings count half."""
+        stay = np.zeros(len(self.met), dtype=bool)
+        stay[np.argsort(self.met, kind="stable")[max(0, len(self.met) - most) :]] = True
+        self.places = {p: i for i, p in enumerate(compress(self.places, stay.tolist()))}
+        self.kept_ids, self.kept_begins, self.kept_ends = _taken(self.kept_ids, self.kept_begins[stay], self.kept_ends[stay])
+        self.met = self.met[stay] // 2
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text with the end id; a null text is empty."""
@@ -198,16 +231,9 @@ class TextEncoder:
         counts = np.diff(lists.offsets.to_numpy())
         encoded = lists.values.dictionary_encode()
         values, part_begins, part_ends = self._parts(encoded.dictionary.to_pylist())
-        # Gather: where each part's ids are, then all of them, a stretch of parts at a time.
         codes = encoded.indices.to_numpy()
         begins, lengths = part_begins[codes], (part_ends - part_begins)[codes]
-        pieces_ = []
-        for i in range(0, len(codes), 1 << 18):
-            n = lengths[i : i + (1 << 18)]
-            steps = np.repeat(begins[i : i + (1 << 18)] - (np.cumsum(n) - n), n)
-            steps += np.arange(len(steps))
-            pieces_.append(values[steps])
-        flat = np.concatenate([*pieces_, self.end[:0]])
+        flat = _taken(values, begins, begins + lengths)[0]
         marks = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         pieces = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True)) if whole else {}
         out = []
