@@ -230,7 +230,7 @@ class TextEncoder:
         """Ids of texts from those of their parts, of what stands around these, and of texts to encode whole."""
         counts = np.diff(lists.offsets.to_numpy())
         encoded = lists.values.dictionary_encode()
-        values, part_begins, part_ends = self._parts(encoded.dictionary.to_pylist())
+        values, part_begins, part_ends = self._parts(encoded.dictionary.to_numpy(zero_copy_only=False).tolist())
         codes = encoded.indices.to_numpy()
         begins, lengths = part_begins[codes], (part_ends - part_begins)[codes]
         flat = _taken(values, begins, begins + lengths)[0]
