@@ -109,7 +109,8 @@ def dim_diag_code(spark: SparkSession) -> DataFrame:
 
 
 def dim_known_export(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, s) for m, symbols in KNOWN_EXPORTS.items() for s in symbols], "module string, symbol string")
+    """The symbols that modules export, with their places in the lists, from 0."""
+    return spark.createDataFrame([(m, s, i) for m, symbols in KNOWN_EXPORTS.items() for i, s in enumerate(symbols)], "module string, symbol string, position int")
 
 
 def dim_builtin(spark: SparkSession) -> DataFrame:

@@ -237,10 +237,13 @@ def builtin_parameters(t):
 
 @query("SELECT event_id, event_type = 'click' AS pragma, CASE event_type WHEN 'view' THEN ['getcwd', 'abs_path', 'realpath'] END AS exports FROM events")
 def module_facts(t):
-    used = t.events.select("event_id", F.when(F.col("event_type") == "click", "strict").when(F.col("event_type") == "view", "Cwd").otherwise("Other").alias("module"))
+    used = t.events.select("event_id", F.when(F.col("event_type") == "click", "strict").when(F.col("event_type") == "view", "Cwd").when(F.col("event_type").isNotNull(), "Other").alias("module"))
     pragma = dimensions.dim_pragma(t.spark).withColumn("pragma", F.lit(True))
-    exports = dimensions.dim_known_export(t.spark).groupBy("module").agg(F.collect_list("symbol").alias("exports"))
-    return used.join(F.broadcast(pragma), "module", "left").join(F.broadcast(exports), "module", "left").select("event_id", F.coalesce("pragma", F.lit(False)).alias("pragma"), "exports")
+    # Rows of a list come from several tasks, in any order.
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("position", "symbol"))), lambda x: x["symbol"])
+    exports = dimensions.dim_known_export(t.spark).groupBy("module").agg(listed.alias("exports"))
+    known = F.when(F.col("module").isNotNull(), F.coalesce("pragma", F.lit(False)))
+    return used.join(F.broadcast(pragma), "module", "left").join(F.broadcast(exports), "module", "left").select("event_id", known.alias("pragma"), "exports")
 
 
 @query("""SELECT conv_id, turn, role, text, CASE WHEN contains(m, 'class') OR contains(m, 'try') OR contains(m, 'catch') THEN 'ModernFeature' WHEN contains(m, 'string') OR contains(m, 'quote') OR contains(m, 'heredoc') OR contains(m, 'delimiter') OR role = 'user' THEN 'QuoteLike'
