@@ -191,15 +191,17 @@ def _closes(opening: Column, closing: Column) -> Column:
 def bracket_nodes(tokens: DataFrame) -> DataFrame:
     """(uri, node, parent, kind, depth, sb, eb): a node for each pair of brackets, numbered by its opening token, and its parent or null.
 
-    kind is the opening bracket, or `error` where another kind closes it.
-    Pairs are one equi join, and parents one as-of join.
+    kind is the opening bracket, or `error` where another kind closes it. At
+    each depth of a file openings and closings take turns, so the bracket after
+    an opening one closes it: pairs are one window, and parents one as-of join.
+    No join chooses its method by the size of tokens, which is not known before.
     """
-    marks = _turns(_depths(tokens))
-    opens = marks.filter("opening").select("uri", "depth", "_k", F.col("seq").alias("node"), F.col("text").alias("kind"), "sb")
-    closes = marks.filter("not opening").select("uri", "depth", "_k", "eb", F.col("text").alias("_close"))
-    pairs = opens.join(closes, ["uri", "depth", "_k"]).withColumn("kind", F.when(_closes(F.col("kind"), F.col("_close")), F.col("kind")).otherwise("error")).drop("_k", "_close")
+    following = lambda name: F.lead(name).over(Window.partitionBy("uri", "depth").orderBy("seq"))
+    marks = _depths(tokens).filter("not surplus").select("uri", "depth", "seq", "text", "opening", "sb", following("eb").alias("eb"), following("text").alias("_close"))
+    kind = F.when(_closes(F.col("text"), F.col("_close")), F.col("text")).otherwise("error").alias("kind")
+    pairs = marks.filter("opening and _close is not null").select("uri", "depth", F.col("seq").alias("node"), kind, "sb", "eb")
     above = pairs.select("uri", (F.col("depth") + 1).alias("depth"), "node", F.col("node").alias("parent"))
-    return joins.as_of(pairs.select("uri", "depth", "node", "kind", "sb", "eb"), above, ["uri", "depth"], "node", ["parent"]).select("uri", "node", "parent", "kind", "depth", "sb", "eb")
+    return joins.as_of(pairs, above, ["uri", "depth"], "node", ["parent"]).select("uri", "node", "parent", "kind", "depth", "sb", "eb")
 
 
 def bracket_errors(tokens: DataFrame) -> DataFrame:
