@@ -227,9 +227,11 @@ def node_counts(nodes: DataFrame) -> DataFrame:
 
 def tree_text(nodes: DataFrame, kind: Column) -> DataFrame:
     """(uri, tree): each file's nodes as nested parentheses, in order; as long as the file has nodes."""
-    begins = nodes.select("uri", F.col("sb").alias("_at"), F.concat(F.lit("("), kind).alias("_text"))
-    ends = nodes.select("uri", (F.col("eb") - 1).alias("_at"), F.lit(")").alias("_text"))
-    return begins.unionByName(ends).groupBy("uri").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "").alias("tree"))
+    begin = F.struct(F.col("sb").alias("_at"), F.concat(F.lit("("), kind).alias("_text"))
+    end = F.struct((F.col("eb") - 1).alias("_at"), F.lit(")").alias("_text"))
+    # Both rows of a node at once: a union would make the nodes twice.
+    marks = nodes.select("uri", F.explode(F.array(begin, end)).alias("_mark"))
+    return marks.groupBy("uri").agg(F.array_join(F.transform(F.sort_array(F.collect_list("_mark")), lambda x: x["_text"]), "").alias("tree"))
 
 
 def parse_outcomes(files: DataFrame, most_characters: int = 1_000_000) -> DataFrame:

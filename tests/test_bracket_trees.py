@@ -33,9 +33,13 @@ def test_nodes_equal_a_stack(spark):
     for r in nodes.collect():
         found.setdefault(r.uri, []).append((r.sb, r.eb, r.kind, r.depth))
     assert {uri: sorted(x) for uri, x in found.items()} == {uri: nodes_of(text) for uri, text in texts.items() if nodes_of(text)}
+    trees = {r.uri: r.tree for r in diagnostics.tree_text(nodes, nodes["kind"]).collect()}
+    for uri, text in texts.items():
+        marks = sorted([(b, "(" + kind) for b, _, kind, _ in nodes_of(text)] + [(e - 1, ")") for _, e, _, _ in nodes_of(text)])
+        assert trees.get(uri, "") == "".join(m for _, m in marks)
 
 
-@pytest.mark.parametrize("name", ["bracket_trees"])
+@pytest.mark.parametrize("name", ["bracket_trees", "tree_as_text"])
 def test_one_pass_without_joins(spark, name):
     """What Python makes of files counts as small as they are: a join would send all brackets to the driver."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
