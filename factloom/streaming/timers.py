@@ -8,13 +8,15 @@ batches its rows come in, and its state is dropped some time after.
 
 Defined results: rows later than the watermark allows are dropped, as in every
 event-time stream; equal times are ordered by the id; rows without a key or a
-time are left out; equal rows all count; the state of a key is as large as what the watermark still
-holds back, and what the processor keeps. Keys are of atomic types.
+time are left out; equal rows all count; the state of a key is as large as
+what the watermark still holds back, and what the processor keeps. Keys are of
+atomic types.
 
 Calls to the state cost far more than rows, so keys share BUCKETS groups: what
-waits is appended as packed rows, and once the watermark has passed some, a
+waits is kept as parts of packed rows, and once the watermark has passed some, a
 group's rows are read once and taken key by key. A task holds what waits in one
-group, 28 bytes a row.
+group, 28 bytes a row. A part has a key of its own in the state: what is appended
+to a list makes the state store read the list.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.states = handle.getMapState("states", "key string", f"{self.STATE}, _latest long")
-        self.waiting = handle.getListState("waiting", "keys array<string>, rows binary")
+        self.waiting = handle.getMapState("waiting", "part long", "keys array<string>, rows binary")
+        self.parts = handle.getValueState("parts", "n long")
         self.sweep = handle.getValueState("sweep", "at long")
         self.done = None
 
@@ -58,14 +61,16 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.done, first = None, []
+        self.done, first, parts = None, [], self._parts()
         for batch in rows:
             codes, keys = pd.factorize(batch["key"], use_na_sentinel=False)
             packed = np.empty(len(batch), ROWS)
             for name, column in (("key", codes), ("at", batch["ms"]), ("id", batch["id"]), ("value", batch["value"])):
                 packed[name] = column.astype(ROWS[name])
-            self.waiting.appendValue((keys.tolist(), packed.tobytes()))
+            self.waiting.updateValue((parts,), (keys.tolist(), packed.tobytes()))
             first.append(packed["at"].min())
+            parts += 1
+        self.parts.update((parts,))
         self._wake(min(first))
         yield from ()
 
@@ -81,26 +86,39 @@ class InOrder(StatefulProcessor):
             due, left = held[passed], held[~passed]
             del held
             yield from self._taken(keys, due[np.lexsort([due[c] for c in ("value", "id", "at", "key")])])
+            self._keep(keys, left)
             if len(left):
-                used, left["key"] = np.unique(left["key"], return_inverse=True)
-                self.waiting.put([([keys[i] for i in used.tolist()], left.tobytes())])
                 self._wake(left["at"].min())
-            else:
-                self.waiting.clear()
             if self.idle_ms is not None and not self.sweep.exists():
                 self._sweep_at(max(int(due["at"].max()) + self.idle_ms, mark + 1))
         if self.idle_ms is not None and self.sweep.exists() and self.sweep.get()[0] <= mark:
             self._forget(mark)
 
+    def _parts(self) -> int:
+        return self.parts.get()[0] if self.parts.exists() else 0
+
     def _held(self) -> tuple[list[str], np.ndarray]:
         """The keys and rows that wait."""
         places: dict[str, int] = {}
-        parts = [np.empty(0, ROWS)]
-        for keys, rows in self.waiting.get():
+        held = [np.empty(0, ROWS)]
+        for i in range(self._parts()):
+            keys, rows = self.waiting.getValue((i,))
             part = np.frombuffer(rows, ROWS).copy()
             part["key"] = np.array([places.setdefault(k, len(places)) for k in keys], "<i4")[part["key"]]
-            parts.append(part)
-        return list(places), np.concatenate(parts)
+            held.append(part)
+        return list(places), np.concatenate(held)
+
+    def _keep(self, keys: list[str], left: np.ndarray) -> None:
+        """These rows wait instead of those before."""
+        before, parts = self._parts(), 0
+        for begin in range(0, len(left), PART_ROWS):
+            part = left[begin : begin + PART_ROWS].copy()
+            used, part["key"] = np.unique(part["key"], return_inverse=True)
+            self.waiting.updateValue((parts,), ([keys[i] for i in used.tolist()], part.tobytes()))
+            parts += 1
+        for i in range(parts, before):
+            self.waiting.removeKey((i,))
+        self.parts.update((parts,))
 
     def _taken(self, keys: list[str], due: np.ndarray) -> Iterator[pd.DataFrame]:
         """Output of rows in the order of their keys and times; the states after them are kept."""

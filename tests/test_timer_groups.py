@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import windows
 from factloom.plans import catalog
 from factloom.streaming import timers
 
@@ -70,3 +71,20 @@ def test_idle_keys_start_anew(spark, tmp_path, kind):
         same = F.timestamp_micros(F.lit(n * 1_000_003)) if kind == "timestamp" else F.encode(F.lit(str(n)), "utf-8")
         rows = spark.read.parquet(f"{tmp_path}/out").filter(F.col("key") == same)
         assert sorted((r.id, r.pending, r.storm) for r in rows.collect()) == wanted
+
+
+def test_parts_of_shared_groups(spark, tmp_path, monkeypatch):
+    """Keys share a group, and what waits fills several parts from batch to batch."""
+    monkeypatch.setattr(timers, "BUCKETS", 2)
+    monkeypatch.setattr(timers, "PART_ROWS", 7)
+    stream = spark.readStream.schema("key string, ts timestamp, id long, value double").parquet(f"{tmp_path}/in/*")
+    found = timers.followed(stream, timers.Storms(above=4), "10 minutes")
+    rows = [("abcde"[i * i % 5], START + datetime.timedelta(seconds=i * 15 + i * 37 % 100), i, -1.0 if i % 4 == 3 else 1.0) for i in range(240)]
+    for batch, some in enumerate([rows[:100], rows[100:110], rows[110:], [("z", START + datetime.timedelta(days=1), 999, 0.0)]]):
+        spark.createDataFrame(some, "key string, ts timestamp, id long, value double").coalesce(1).write.parquet(f"{tmp_path}/in/{batch}")
+        found.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    table = spark.createDataFrame(rows, "key string, ts timestamp, id long, value double").withColumn("ms", F.unix_millis("ts"))
+    ordered = table.withColumn("place", F.struct("ms", "id")).withColumn("delta", F.col("value").cast("long"))
+    wanted = windows.storms(ordered, ["key"], "place", "delta", above=4).select("key", "ms", "id", "pending", "storm")
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.key != "z")
+    assert got == sorted(tuple(r) for r in wanted.collect()) and len(got) == 240
